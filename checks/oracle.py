@@ -315,6 +315,67 @@ PPL_WORD = (
     "WHEN ppl < 200 THEN 'Acceptable' ELSE 'Poor' END"
 )
 
+SUMMARY = (
+    "text_ppl",
+    "avg_audio_ppl",
+    "ppl_variance",
+    "ppl_std",
+    "ppl_max_diff",
+    "avg_diagonal",
+    "min_diagonal",
+    "avg_off_diagonal",
+    "max_off_diagonal",
+    "avg_output_variance",
+    "min_output_variance",
+    "max_output_variance",
+)
+
+PPL_VERDICTS = (
+    verdict("'layer_' || layer", "ppl", "ppl", PPL_WORD, "ppl < 200", "ppl")
+    + " UNION ALL "
+    + verdict(
+        "'all_layers'",
+        "ppl_variance",
+        "ppl_variance",
+        "CASE WHEN ppl_variance < 0.1 THEN 'Good layer isolation' ELSE 'High variance' END",
+        "ppl_variance < 0.1",
+        "psum WHERE ppl_variance IS NOT NULL",
+    )
+)
+VARIANCE_VERDICT = verdict(
+    "'outputs'",
+    "avg_output_variance",
+    "avg_output_variance",
+    "CASE WHEN avg_output_variance > 2.0 THEN 'Excellent' WHEN avg_output_variance > 1.5 "
+    "THEN 'Good' WHEN avg_output_variance > 1.0 THEN 'Acceptable' ELSE 'Poor' END",
+    "avg_output_variance > 1.0",
+    "outvar",
+)
+CONFUSION_VERDICT = verdict(
+    "'diagonal'",
+    "min_diagonal",
+    "min_diagonal",
+    "CASE WHEN min_diagonal > 0.8 THEN 'Excellent' WHEN min_diagonal > 0.6 THEN 'Good' "
+    "ELSE 'Poor' END",
+    "min_diagonal > 0.6",
+    "csum",
+)
+OVERALL = " UNION ALL ".join(
+    verdict(
+        "'overall'",
+        m,
+        m,
+        f"CASE WHEN {m} {op} THEN '{yes}' ELSE '{no}' END",
+        f"{m} {op}",
+        f"wide WHERE {m} IS NOT NULL",
+    )
+    for m, op, yes, no in (
+        ("ppl_variance", "< 0.1", "consistent", "too high"),
+        ("avg_output_variance", "> 1.5", "focused", "too diffuse"),
+        ("min_diagonal", "> 0.8", "excellent", "poor"),
+    )
+)
+
 ORACLE: dict[str, str] = {
     # --- sources and sinks
     "source_load": q(
@@ -443,6 +504,24 @@ FROM log WHERE step % 100 = 0""",
         DAMAGE,
         "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n_rows FROM damage GROUP BY 1",
     ),
+    "corpus_counts": q(
+        UTT,
+        """
+SELECT CASE o WHEN 0 THEN 'main' ELSE 'second' END AS source, count(*) AS n_read,
+       count(*) AS n_in_duration, CAST(0 AS BIGINT) AS n_rejected, count(*) AS n_prepared,
+       CASE o WHEN 1 THEN 150::BIGINT END AS cap,
+       CASE o WHEN 0 THEN count(*) ELSE least(count(*), 150) END AS n_kept,
+       o = 1 AND count(*) < 150 AS short_of_cap, CAST(o AS INTEGER) AS source_ord
+FROM utt, (SELECT unnest([0, 1]) AS o) GROUP BY o""",
+    ),
+    "corpus_rejects": q(
+        DAMAGE,
+        """
+SELECT CAST(o AS INTEGER) AS source_ord, CAST(utt_id AS VARCHAR) AS utt_id, 'damaged' AS source,
+       reason AS reject_reason
+FROM damage, (SELECT unnest([0, 1]) AS o)
+WHERE reason IS NOT NULL AND (reason = 'null_len' OR encoded_len <= 1500)""",
+    ),
     "collation_checks": q(
         BATCHED,
         """
@@ -676,21 +755,9 @@ SELECT step, round(early_alpha, 6) AS early_alpha, round(late_alpha, 6) AS late_
     "metric_table": q(
         WIDE,
         " UNION ALL ".join(
-            f"SELECT 'metrics/{m}' AS metric, round({m}, 6) AS value FROM wide"
-            for m in (
-                "text_ppl",
-                "avg_audio_ppl",
-                "ppl_variance",
-                "ppl_std",
-                "ppl_max_diff",
-                "avg_diagonal",
-                "min_diagonal",
-                "avg_off_diagonal",
-                "max_off_diagonal",
-                "avg_output_variance",
-                "min_output_variance",
-                "max_output_variance",
-            )
+            [f"SELECT 'metrics/{m}' AS metric, round({m}, 6) AS value FROM wide" for m in SUMMARY]
+            + ["SELECT 'metrics/layer_' || layer || '_ppl', round(ppl, 6) FROM ppl"]
+            + ["SELECT 'metrics/confusion_' || true_layer || '_' || pred_layer, round(share, 6) FROM norm"]
         ),
     ),
     # --- order, sampling, unions
@@ -744,31 +811,8 @@ SELECT replace(metric, 'metrics/', '') AS plain, 'eval_' || metric AS evaluated,
 FROM log GROUP BY metric""",
     ),
     # --- verdicts
-    "ppl_verdict": q(
-        PPL,
-        verdict("'layer_' || layer", "ppl", "ppl", PPL_WORD, "ppl < 200", "ppl")
-        + " UNION ALL "
-        + verdict(
-            "'all_layers'",
-            "ppl_variance",
-            "ppl_variance",
-            "CASE WHEN ppl_variance < 0.1 THEN 'Good layer isolation' ELSE 'High variance' END",
-            "ppl_variance < 0.1",
-            "psum WHERE ppl_variance IS NOT NULL",
-        ),
-    ),
-    "variance_verdict": q(
-        HIDDEN,
-        verdict(
-            "'outputs'",
-            "avg_output_variance",
-            "avg_output_variance",
-            "CASE WHEN avg_output_variance > 2.0 THEN 'Excellent' WHEN avg_output_variance > 1.5 "
-            "THEN 'Good' WHEN avg_output_variance > 1.0 THEN 'Acceptable' ELSE 'Poor' END",
-            "avg_output_variance > 1.0",
-            "outvar",
-        ),
-    ),
+    "ppl_verdict": q(PPL, PPL_VERDICTS),
+    "variance_verdict": q(HIDDEN, VARIANCE_VERDICT),
     "influence_verdict": q(
         INFLUENCE,
         verdict(
@@ -790,36 +834,19 @@ FROM log GROUP BY metric""",
             "share",
         ),
     ),
-    "confusion_verdict": q(
-        CONF,
-        verdict(
-            "'diagonal'",
-            "min_diagonal",
-            "min_diagonal",
-            "CASE WHEN min_diagonal > 0.8 THEN 'Excellent' WHEN min_diagonal > 0.6 THEN 'Good' "
-            "ELSE 'Poor' END",
-            "min_diagonal > 0.6",
-            "csum",
-        ),
+    "confusion_verdict": q(CONF, CONFUSION_VERDICT),
+    "overall_assessment": q(WIDE, OVERALL),
+    "verdict_report": q(
+        WIDE, " UNION ALL ".join((PPL_VERDICTS, VARIANCE_VERDICT, CONFUSION_VERDICT, OVERALL))
     ),
-    "overall_assessment": q(
-        WIDE,
+    "influence_metrics": q(
+        INFLUENCE,
         " UNION ALL ".join(
-            verdict(
-                "'overall'",
-                m,
-                m,
-                f"CASE WHEN {m} {op} THEN '{yes}' ELSE '{no}' END",
-                f"{m} {op}",
-                f"wide WHERE {m} IS NOT NULL",
-            )
-            for m, op, yes, no in (
-                ("ppl_variance", "< 0.1", "consistent", "too high"),
-                ("avg_output_variance", "> 1.5", "focused", "too diffuse"),
-                ("min_diagonal", "> 0.8", "excellent", "poor"),
-            )
+            f"SELECT 'metrics/layer_' || layer || '_{kind}' AS metric, round({kind}, 6) AS value FROM share"
+            for kind in ("text_influence", "same_layer_influence", "cross_layer_influence")
         ),
     ),
+    "unmatched_positions": q(TARGETS, "SELECT seq_id, pos, label FROM targets WHERE pos = 0"),
     "alpha_change": q(
         PARAMS,
         """

@@ -167,17 +167,15 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return sc.score_positions(p, p.drop("logits"), TINY)
 
 
-def chosen_targets(spark: SparkSession, sf: str) -> DataFrame:
-    return sm.sample_targets(sc.scored_targets(prediction_labels(spark, sf), TINY), 32, 42).select(
-        "seq_id", "pos", "layer"
-    )
+def targets_of(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.scored_targets(prediction_labels(spark, sf), TINY)
 
 
 def influence_pairs(spark: SparkSession, sf: str) -> DataFrame:
     sources = fx.predictions(spark, sf).select(
         "seq_id", "pos", vectors.l2_norm(F.col("logits")).alias("norm")
     )
-    pairs = at.past_token_pairs(chosen_targets(spark, sf), sources)
+    pairs = at.past_token_pairs(targets_of(spark, sf), sources, TINY)
     gap = F.lit(1) + F.col("pos") - F.col("src_pos")
     return pairs.withColumn("influence", F.col("norm") / gap)
 
@@ -186,10 +184,14 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
     tokens = prediction_labels(spark, sf).select("seq_id", "pos", F.col("label").alias("token_id"))
     recorded = influence_pairs(spark, sf).select("seq_id", "pos", "src_pos", "influence")
     return at.influence_share(
-        at.influence_by_target(recorded, chosen_targets(spark, sf), tokens, TINY)
+        at.influence_by_target(recorded, targets_of(spark, sf), tokens, TINY)
     )
 
 
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.score_totals(scored(spark, sf), TINY)
+
+
 def per_output(spark: SparkSession, sf: str) -> DataFrame:
     return at.variance_per_output(fx.hidden_states(spark, sf))
 
@@ -199,7 +201,7 @@ def alphas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metric_row(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.metric_row(scored(spark, sf), per_output(spark, sf), TINY)
+    return ev.metric_row(scored(spark, sf), fx.hidden_states(spark, sf), TINY)
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -332,7 +334,7 @@ def labels_mask(spark, sf):
 
 
 def training_columns(spark, sf):
-    out = pc.training_columns(pc.add_labels_and_mask(sequences_of(spark, sf)))
+    out = pc.training_columns(sequences_of(spark, sf))
     return out.select(
         "utt_id",
         F.size("input_ids").alias("n"),
@@ -419,6 +421,22 @@ def reject_summary(spark, sf):
     return va.reject_summary(damaged(spark, sf), L)
 
 
+def corpus_counts(spark, sf):
+    config = corpus_config(spark, sf)
+    return pc.corpus_counts(spark, config, L)
+
+
+def corpus_rejects(spark, sf):
+    """Rejects of a source that was written with damaged rows."""
+    key = (spark.sparkContext.applicationId, sf, "damaged")
+    fx.stored(spark, sf, "damaged", lambda: damaged(spark, sf))
+    entry = {"path": fx._TABLES[key], "name": "damaged", "id_col": "utt_id"}
+    config = CorpusConfig.from_dict({"max_duration_sec": CAP_SECONDS, "sources": [entry, entry]})
+    return pc.corpus_rejects(spark, config, L).select(
+        "source_ord", "utt_id", "source", "reject_reason"
+    )
+
+
 def collation_checks(spark, sf):
     out = va.collation_checks(co.collate(batched(spark, sf), L), fx.SPEAKER_DIM)
     return out.select("utt_id", "batch_id", "has_speaker", "speaker_dim", "check")
@@ -618,31 +636,27 @@ def stage_counts(spark, sf):
 
 
 def layer_ppl(spark, sf):
-    return r6(sc.layer_perplexity(scored(spark, sf), TINY))
+    return r6(sc.layer_perplexity(totals(spark, sf)))
 
 
 def text_ppl(spark, sf):
-    return r6(sc.text_perplexity(scored(spark, sf)))
+    return r6(sc.text_perplexity(totals(spark, sf)))
 
 
 def ppl_summary(spark, sf):
-    return r6(sc.perplexity_summary(sc.layer_perplexity(scored(spark, sf), TINY)))
+    return r6(sc.perplexity_summary(totals(spark, sf)))
 
 
 def layer_confusion(spark, sf):
-    return sc.layer_confusion(scored(spark, sf), TINY)
-
-
-def _normalized(spark, sf):
-    return sc.confusion_normalized(sc.layer_confusion(scored(spark, sf), TINY), TINY)
+    return sc.layer_confusion(totals(spark, sf), TINY)
 
 
 def confusion_normalized(spark, sf):
-    return r6(_normalized(spark, sf))
+    return r6(sc.confusion_normalized(totals(spark, sf), TINY))
 
 
 def confusion_summary(spark, sf):
-    return r6(sc.confusion_summary(_normalized(spark, sf)))
+    return r6(sc.confusion_summary(totals(spark, sf), TINY))
 
 
 def output_variance(spark, sf):
@@ -671,11 +685,11 @@ def alpha_early_late(spark, sf):
 
 
 def lm_loss(spark, sf):
-    return r6(sc.lm_loss(scored(spark, sf)))
+    return r6(sc.lm_loss(totals(spark, sf)))
 
 
 def metric_table(spark, sf):
-    return r6(ev.metric_table(metric_row(spark, sf)))
+    return r6(ev.metric_table(metric_row(spark, sf), TINY))
 
 
 # --- order, sampling, unions -----------------------------------------------------------------
@@ -701,11 +715,12 @@ def training_shuffle(spark, sf):
 
 
 def influence_sample(spark, sf):
-    return chosen_targets(spark, sf)
+    return sm.sample_targets(targets_of(spark, sf)).select("seq_id", "pos", "layer")
 
 
 def batch_assign(spark, sf):
-    return sm.assign_batches(rows(spark, sf).select("utt_id"), BATCH, SEED)
+    out = sm.assign_batches(rows(spark, sf).select("utt_id"), BATCH, SEED)
+    return out.select("utt_id", "batch_id", "batch_pos")
 
 
 def eval_batch_limit(spark, sf):
@@ -754,10 +769,9 @@ def metric_names(spark, sf):
 
 
 def ppl_verdict(spark, sf):
-    ppl = sc.layer_perplexity(scored(spark, sf), TINY)
-    return r6(
-        vd.perplexity_verdicts(ppl).unionByName(vd.isolation_verdict(sc.perplexity_summary(ppl)))
-    )
+    found = totals(spark, sf)
+    layers = vd.perplexity_verdicts(sc.layer_perplexity(found))
+    return r6(layers.unionByName(vd.isolation_verdict(sc.perplexity_summary(found))))
 
 
 def variance_verdict(spark, sf):
@@ -769,13 +783,28 @@ def influence_verdict(spark, sf):
 
 
 def confusion_verdict(spark, sf):
-    return r6(vd.confusion_verdict(sc.confusion_summary(_normalized(spark, sf))))
+    return r6(vd.confusion_verdict(sc.confusion_summary(totals(spark, sf), TINY)))
 
 
 def overall_assessment(spark, sf):
     return r6(vd.overall_assessment(metric_row(spark, sf)))
 
 
+def verdict_report(spark, sf):
+    return r6(vd.full_report(metric_row(spark, sf)))
+
+
+def influence_metrics(spark, sf):
+    return r6(ev.influence_metrics(shares(spark, sf)))
+
+
+def unmatched_positions(spark, sf):
+    """Targets whose logits are missing, here those of the first position of each sequence."""
+    p = fx.predictions(spark, sf)
+    short = p.where(F.col("pos") > 0)
+    return sc.unmatched_positions(short, p.drop("logits"), TINY).select("seq_id", "pos", "label")
+
+
 def alpha_change(spark, sf):
     return r6(vd.alpha_changes(alphas(spark, sf), ["step"]))
 
@@ -791,7 +820,7 @@ QUERIES: dict[str, Query] = {
         canonical_rename, lang_prompt, text_tokens, text_tokens_join, input_ids, labels_mask,
         training_columns, vocab_extension, token_layer,
         duration_filter, nonempty_codes, valid_labels, layer_mask, step_cadence, row_validation,
-        reject_summary, collation_checks,
+        reject_summary, corpus_rejects, corpus_counts, collation_checks,
         frame_zip, layer_offset, frame_dedup, flatten_codes, frame_positions,
         frame_positions_sequences, frame_positions_tokens, speaker_positions, mask_insert,
         label_insert, pad_batch, batch_defaults, training_batches,
@@ -805,6 +834,7 @@ QUERIES: dict[str, Query] = {
         eval_batch_limit, layer_sort,
         duration_sec, alpha_from_weight, metric_names,
         ppl_verdict, variance_verdict, influence_verdict, confusion_verdict, overall_assessment,
+        verdict_report, influence_metrics, unmatched_positions,
         alpha_change, alpha_pattern,
     )
 }

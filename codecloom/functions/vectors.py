@@ -1,15 +1,17 @@
-"""Single-pass folds over float vectors; no lambda refers to an outer computed value."""
+"""Single-pass folds over vectors; no lambda refers to an outer computed value."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def sample_variance(vec: Column) -> Column:
-    """Variance over components, divisor n-1, by a running mean and squared deviation.
+def moments(vec: Column, finish: Callable[[Column], Column]) -> Column:
+    """Fold to struct(n, mean, m2) (count, running mean, sum of squared deviations), then finish.
 
-    NULL for fewer than two components.
+    NULL components are skipped.
     """
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
@@ -18,14 +20,26 @@ def sample_variance(vec: Column) -> Column:
         n = acc["n"] + F.lit(1.0)
         delta = value - acc["mean"]
         mean = acc["mean"] + delta / n
-        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + delta * (value - mean)).alias("m2"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["n"] > F.lit(1.0), acc["m2"] / (acc["n"] - F.lit(1.0)))
+        m2 = acc["m2"] + delta * (value - mean)
+        grown = F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+        return F.when(x.isNull(), acc).otherwise(grown)
 
     return F.aggregate(vec, zero, step, finish)
 
 
+def sample_variance(vec: Column) -> Column:
+    """Variance over components, divisor n-1; NULL for fewer than two components."""
+    return moments(vec, lambda m: F.when(m["n"] > 1.0, m["m2"] / (m["n"] - F.lit(1.0))))
+
+
+def mean(vec: Column) -> Column:
+    return moments(vec, lambda m: F.when(m["n"] > 0.0, m["mean"]))
+
+
+def population_variance(vec: Column) -> Column:
+    return moments(vec, lambda m: F.when(m["n"] > 0.0, m["m2"] / m["n"]))
+
+
 def l2_norm(vec: Column) -> Column:
     return F.sqrt(
         F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codecloom.functions.vectors import sample_variance
 from codecloom.layout import TokenLayout
+from codecloom.operators.sampling import sample_targets
 
 
 def variance_per_output(
@@ -27,21 +28,38 @@ def output_variance(per_output: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# A sample is broadcast only if it cannot exceed this many narrow rows.
+MAX_BROADCAST_TARGETS = 100_000
+
+
+def _sampled(
+    targets: DataFrame, layout: TokenLayout, max_samples: int, seed: int, by: Sequence[str]
+) -> DataFrame:
+    """Sampled targets; broadcast where the sampling itself bounds their number.
+
+    With `by` groups the number of groups is unknown and the planner decides.
+    """
+    chosen = sample_targets(targets, max_samples, seed, by=by).select(*by, "seq_id", "pos", "layer")
+    bound = max_samples * layout.num_audio_layers
+    return F.broadcast(chosen) if not by and bound <= MAX_BROADCAST_TARGETS else chosen
+
+
 def past_token_pairs(
-    targets: DataFrame, sources: DataFrame, by: Sequence[str] = ()
+    targets: DataFrame,
+    sources: DataFrame,
+    layout: TokenLayout,
+    max_samples: int = 32,
+    seed: int = 42,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Each sampled target with the tokens of its own sequence up to its own position.
+    """Sampled targets with the tokens of their own sequence up to their own position.
 
-    `targets` must come from `sample_targets`: the output is then at most `max_samples` times the
-    number of layers times the sequence length, not all pairs of a sequence.
+    The output is at most `max_samples` times the number of layers times the sequence length per
+    group, not all pairs of a sequence.
     """
-    past = sources.select(
-        *by,
-        "seq_id",
-        F.col("pos").alias("src_pos"),
-        *[c for c in sources.columns if c not in (*by, "seq_id", "pos")],
-    )
-    return targets.join(past, [*by, "seq_id"]).where(F.col("src_pos") <= F.col("pos"))
+    past = sources.withColumnRenamed("pos", "src_pos")
+    chosen = _sampled(targets, layout, max_samples, seed, by)
+    return past.join(chosen, [*by, "seq_id"]).where(F.col("src_pos") <= F.col("pos"))
 
 
 def influence_by_target(
@@ -49,22 +67,26 @@ def influence_by_target(
     targets: DataFrame,
     sources: DataFrame,
     layout: TokenLayout,
+    max_samples: int = 32,
+    seed: int = 42,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Attach the target's layer and the source token's layer to recorded influences.
+    """Recorded influences on sampled targets, with the target's and the source token's layer.
 
-    Both joins are equi-joins on positions. The targets (a sample) cut the influences down first.
+    Both joins are equi-joins on positions. The sample cuts the influences and, by sequence, the
+    source tokens down before these two meet.
     """
-    chosen = targets.select(*by, "seq_id", "pos", F.col("layer").alias("target_layer"))
+    chosen = _sampled(targets, layout, max_samples, seed, by)
     tokens = sources.select(
         *by,
         "seq_id",
         F.col("pos").alias("src_pos"),
         layout.audio_layer(F.col("token_id")).alias("src_layer"),
+    ).join(chosen.select(*by, "seq_id"), [*by, "seq_id"], "left_semi")
+    kept = influences.join(
+        chosen.withColumnRenamed("layer", "target_layer"), [*by, "seq_id", "pos"]
     )
-    return influences.join(chosen, [*by, "seq_id", "pos"]).join(
-        tokens, [*by, "seq_id", "src_pos"]
-    )
+    return kept.join(tokens, [*by, "seq_id", "src_pos"])
 
 
 def influence_share(classified: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -19,6 +19,14 @@ def filter_duration(df: DataFrame, max_seconds: float | None, length: str = "enc
     return df if predicate is None else df.where(predicate)
 
 
+def within_or_unknown(
+    df: DataFrame, max_seconds: float | None, length: str = "encoded_len"
+) -> DataFrame:
+    """Rows inside the cap and rows without a length: what validation has to look at."""
+    predicate = within_duration(F.col(length), max_seconds)
+    return df if predicate is None else df.where(predicate | F.col(length).isNull())
+
+
 def add_frames(df: DataFrame, layout: TokenLayout) -> DataFrame:
     """Column `frames` from the parallel layer arrays."""
     return df.withColumn("frames", layer_frames(layout))

@@ -60,6 +60,64 @@ def global_rank(
     )
 
 
+def batch_places(
+    df: DataFrame,
+    keys: Sequence[str],
+    seed: int | str,
+    size: int,
+    digits: int = PREFIX_DIGITS,
+) -> DataFrame:
+    """Add `batch_id`, `batch_pos` and `batch_chunk`: batches of `size` rows in global rank order.
+
+    The wide rows are moved once. A chunk is one hash prefix, except that the rows which complete
+    a batch begun in an earlier prefix join the chunk of that prefix. Every batch then lies inside
+    one chunk, and windows over (batch_chunk, batch_id) need no further exchange. Where a prefix
+    hands rows over is found on the key columns alone: fewer than `size` rows per prefix take part.
+    """
+    hashed = _with_hash(df, keys, seed, digits)
+    narrow = hashed.select(_HASH, _PREFIX, *keys)
+    step = F.lit(size)
+    ordered = Window.partitionBy(F.lit(0)).orderBy(_PREFIX)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    # `skip` rows at the head of a prefix belong to a batch that began in the chunk `owner`.
+    plan = (
+        _prefix_offsets(narrow, [])
+        .withColumn("__skip", (step - F.col(_BEFORE) % step) % step)
+        .withColumn("__starts", F.col(_COUNT) > F.col("__skip"))
+        .withColumn(
+            "__owner", F.last(F.when(F.col("__starts"), F.col(_PREFIX)), True).over(earlier)
+        )
+        .withColumn("__first", ((F.col(_BEFORE) + F.col("__skip")) / step).cast("bigint"))
+    )
+    head = Window.partitionBy(_PREFIX).orderBy(_HASH, *keys)
+    place = F.struct(F.col(_HASH), *[F.col(k) for k in keys])
+    heads = (
+        narrow.withColumn("__n", F.row_number().over(head))
+        .where(F.col("__n") < step)
+        .join(F.broadcast(plan.select(_PREFIX, "__skip")), _PREFIX)
+        .where(F.col("__n") <= F.col("__skip"))
+        .groupBy(_PREFIX)
+        .agg(F.max(place).alias("__cut"))
+    )
+    # Both tables have at most 16**digits rows.
+    cuts = plan.select(_PREFIX, "__owner").join(F.broadcast(heads), _PREFIX, "left")
+    chunked = hashed.join(F.broadcast(cuts), _PREFIX).withColumn(
+        "batch_chunk",
+        F.when(place <= F.col("__cut"), F.col("__owner")).otherwise(F.col(_PREFIX)),
+    )
+    firsts = plan.where("__starts").select(F.col(_PREFIX).alias("batch_chunk"), "__first")
+    inner = Window.partitionBy("batch_chunk").orderBy(_HASH, *keys)
+    local = F.row_number().over(inner) - F.lit(1)
+    return (
+        chunked.drop(_PREFIX, _BEFORE, "__cut", "__owner")
+        .join(F.broadcast(firsts), "batch_chunk")
+        .withColumn("__local", local)
+        .withColumn("batch_id", F.col("__first") + F.floor(F.col("__local") / step))
+        .withColumn("batch_pos", (F.col("__local") % step).cast("int"))
+        .drop(_HASH, "__local", "__first")
+    )
+
+
 def seeded_cap(
     df: DataFrame,
     keys: Sequence[str],

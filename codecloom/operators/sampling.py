@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecloom.functions.hashing import order_hash
-from codecloom.operators.ranking import PREFIX_DIGITS, global_rank, seeded_cap
+from codecloom.operators.ranking import PREFIX_DIGITS, batch_places, global_rank, seeded_cap
 
 KEYS = ("utt_id",)
 
@@ -54,14 +54,11 @@ def assign_batches(
     keys: Sequence[str] = KEYS,
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Shuffle and cut into batches of `batch_size` rows; the last batch may be short."""
-    size = F.lit(batch_size)
-    return (
-        shuffle_rank(df, seed, epoch, keys, "__rank", digits)
-        .withColumn("batch_id", F.floor(F.col("__rank") / size).cast("bigint"))
-        .withColumn("batch_pos", (F.col("__rank") % size).cast("int"))
-        .drop("__rank")
-    )
+    """Shuffle and cut into batches of `batch_size` rows; the last batch may be short.
+
+    Adds `batch_id`, `batch_pos` and the exchange key `batch_chunk` (see `batch_places`).
+    """
+    return batch_places(df, keys, f"{seed}:{epoch}", batch_size, digits)
 
 
 def first_batches(df: DataFrame, max_batches: int = 10, batch: str = "batch_id") -> DataFrame:

@@ -1,17 +1,18 @@
 """Metrics from logits and labels: perplexity per layer, layer confusion, loss.
 
-`by` columns (for example run_id, step) are part of the keys everywhere. Aggregates over layers
-are conditional aggregates in one pass, so a layer that holds most rows is combined in each task
-before anything is shuffled.
+`by` columns (for example run_id, step) are part of the keys everywhere. Positions are aggregated
+once, by `score_totals`; every metric is then arithmetic on that one row per group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecloom.functions import vectors
 from codecloom.functions.logits import reduce_logits
 from codecloom.layout import TokenLayout
 
@@ -44,22 +45,19 @@ def scored_targets(labels: DataFrame, layout: TokenLayout, by: Sequence[str] = (
     )
 
 
-def score_positions(
-    logits: DataFrame,
-    labels: DataFrame,
+def score_aligned(
+    aligned: DataFrame,
     layout: TokenLayout,
     top_k: int = 5,
     by: Sequence[str] = (),
     wide: bool | None = None,
 ) -> DataFrame:
-    """One row per scored position: label, layer, nll, topk. The logits end here.
+    """One row per position: label, layer, nll, topk. The logits end here. No exchange.
 
-    Keys are (by, seq_id, pos), which no hot sequence can skew. Targets are four narrow columns;
-    the planner broadcasts them when their measured size allows and joins by shuffle otherwise.
+    `aligned` has logits and target side by side. A writer that has the labels at hand should
+    store its logits like that: the join of `score_positions` then falls away.
     """
-    targets = scored_targets(labels, layout, by)
-    joined = logits.select(*by, "seq_id", "pos", "logits").join(targets, [*by, "seq_id", "pos"])
-    reduced = joined.withColumn(
+    reduced = aligned.withColumn(
         "__r", reduce_logits(F.col("logits"), F.col("label"), layout, top_k, wide)
     )
     return reduced.select(
@@ -67,112 +65,148 @@ def score_positions(
         "seq_id",
         "pos",
         "label",
-        "layer",
-        "is_text",
+        layout.audio_layer(F.col("label")).alias("layer"),
+        layout.is_text(F.col("label")).alias("is_text"),
         F.col("__r.nll").alias("nll"),
         F.col("__r.topk").alias("topk"),
     )
 
 
+def score_positions(
+    logits: DataFrame,
+    labels: DataFrame,
+    layout: TokenLayout,
+    top_k: int = 5,
+    by: Sequence[str] = (),
+    wide: bool | None = None,
+) -> DataFrame:
+    """Join logits with their shifted targets and reduce them.
+
+    Keys are (by, seq_id, pos), which no hot sequence can skew. Targets are a few narrow columns;
+    the planner broadcasts them when their measured size allows and joins by shuffle otherwise.
+    Positions without a partner on the other side drop out; `unmatched_positions` counts them.
+    """
+    targets = scored_targets(labels, layout, by).drop("layer", "is_text")
+    joined = logits.select(*by, "seq_id", "pos", "logits").join(targets, [*by, "seq_id", "pos"])
+    return score_aligned(joined, layout, top_k, by, wide)
+
+
+def unmatched_positions(
+    logits: DataFrame, labels: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
+) -> DataFrame:
+    """Scored targets without logits, as when the label sequence is longer than the logits."""
+    keys = [*by, "seq_id", "pos"]
+    return scored_targets(labels, layout, by).join(logits.select(*keys), keys, "left_anti")
+
+
 def _layers(layout: TokenLayout) -> range:
     return range(layout.num_audio_layers)
 
 
-def layer_perplexity(scored: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
-    """(by, layer, ppl) for every layer; NULL where a layer has no scored position."""
-    means = scored.groupBy(*by).agg(
-        *[
-            F.exp(F.avg(F.when(F.col("layer") == F.lit(k), F.col("nll")))).alias(f"p{k}")
-            for k in _layers(layout)
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(F.lit(k).alias("layer"), F.col(f"p{k}").alias("ppl"))
-            for k in _layers(layout)
-        ]
+def score_totals(scored: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
+    """Everything the metrics need in one aggregation pass, one row per group.
+
+    ppl: perplexity by layer (NULL where a layer has no scored position). confusion[i][j]:
+    positions of true layer i with any top id in layer j; a position counts once per predicted
+    layer, text and special predictions count nowhere. Conditional aggregates are combined in each
+    task, so a layer that holds most rows does not load one task.
+    """
+    layer, nll = F.col("layer"), F.col("nll")
+    predicted = F.transform("topk", layout.audio_layer)
+    flagged = scored.withColumn("__pred", F.when(layer.isNotNull(), predicted))
+    ppl = [F.exp(F.avg(F.when(layer == F.lit(k), nll))) for k in _layers(layout)]
+    counts = [
+        F.array(
+            *[
+                F.count_if((layer == F.lit(i)) & F.array_contains("__pred", F.lit(j)))
+                for j in _layers(layout)
+            ]
+        )
+        for i in _layers(layout)
+    ]
+    return flagged.groupBy(*by).agg(
+        F.avg(nll).alias("loss"),
+        F.count(nll).alias("n_positions"),
+        F.exp(F.avg(F.when(F.col("is_text"), nll))).alias("text_ppl"),
+        F.array(*ppl).alias("ppl"),
+        F.array(*counts).alias("confusion"),
     )
-    return means.select(*by, F.inline(rows))
 
 
-def text_perplexity(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return scored.groupBy(*by).agg(
-        F.exp(F.avg(F.when(F.col("is_text"), F.col("nll")))).alias("text_ppl")
-    )
+def layer_perplexity(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, layer, ppl) for every layer."""
+    return totals.select(*by, F.posexplode("ppl").alias("layer", "ppl"))
+
 
+def text_perplexity(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return totals.select(*by, "text_ppl")
 
-def perplexity_summary(layer_ppl: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+
+def lm_loss(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean cross-entropy over all scored positions: text, special and audio."""
+    return totals.select(*by, "loss", "n_positions")
+
+
+def perplexity_columns() -> list[Column]:
     """Mean, squared coefficient of variation, population std and range over layers with data."""
-    mean = F.avg("ppl")
-    return layer_ppl.groupBy(*by).agg(
-        mean.alias("avg_audio_ppl"),
-        (F.var_pop("ppl") / (mean * mean)).alias("ppl_variance"),
-        F.stddev_pop("ppl").alias("ppl_std"),
-        (F.max("ppl") - F.min("ppl")).alias("ppl_max_diff"),
-    )
+    ppl = F.col("ppl")
+    variance, center = vectors.population_variance(ppl), vectors.mean(ppl)
+    return [
+        center.alias("avg_audio_ppl"),
+        (variance / (center * center)).alias("ppl_variance"),
+        F.sqrt(variance).alias("ppl_std"),
+        (F.array_max(ppl) - F.array_min(ppl)).alias("ppl_max_diff"),
+    ]
 
 
-def layer_confusion(scored: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
-    """(by, true_layer, pred_layer, n): positions of a true layer with any top id in a layer.
+def perplexity_summary(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return totals.select(*by, *perplexity_columns())
+
+
+def _cells(layout: TokenLayout) -> list[tuple[int, int]]:
+    return [(i, j) for i in _layers(layout) for j in _layers(layout)]
+
+
+def _grid(layout: TokenLayout, name: str, cell: Callable[[int, int], Column]) -> Column:
+    rows = [
+        F.struct(F.lit(i).alias("true_layer"), F.lit(j).alias("pred_layer"), cell(i, j).alias(name))
+        for i, j in _cells(layout)
+    ]
+    return F.inline(F.array(*rows))
 
-    A position counts once per predicted layer; text and special predictions count nowhere.
-    """
-    predicted = F.transform("topk", layout.audio_layer)
-    flagged = scored.where(F.col("layer").isNotNull()).select(
-        *by, "layer", predicted.alias("__pred")
-    )
-    cells = [(i, j) for i in _layers(layout) for j in _layers(layout)]
-    counts = flagged.groupBy(*by).agg(
-        *[
-            F.count_if(
-                (F.col("layer") == F.lit(i)) & F.array_contains("__pred", F.lit(j))
-            ).alias(f"c{i}_{j}")
-            for i, j in cells
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("true_layer"),
-                F.lit(j).alias("pred_layer"),
-                F.col(f"c{i}_{j}").alias("n"),
-            )
-            for i, j in cells
-        ]
-    )
-    return counts.select(*by, F.inline(rows))
+
+def _count(i: int, j: int) -> Column:
+    return F.col("confusion")[i][j]
+
+
+def confusion_share(layout: TokenLayout, i: int, j: int) -> Column:
+    """A cell over its row sum; a row without counts stays zero."""
+    total = reduce(lambda a, b: a + b, [_count(i, k) for k in _layers(layout)])
+    return F.coalesce(_count(i, j) / F.nullif(total, F.lit(0)), F.lit(0.0))
+
+
+def layer_confusion(totals: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
+    """(by, true_layer, pred_layer, n) for the whole grid."""
+    return totals.select(*by, _grid(layout, "n", _count))
 
 
 def confusion_normalized(
-    confusion: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
+    totals: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Divide each row by its row sum; a row without counts stays zero."""
-    totals = confusion.groupBy(*by, "true_layer").agg(
-        F.sum("n").alias("total"),
-        F.collect_list(F.struct("pred_layer", "n")).alias("cells"),
-    )
-    return totals.select(*by, "true_layer", "total", F.inline("cells")).select(
-        *by,
-        "true_layer",
-        "pred_layer",
-        F.coalesce(F.col("n") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("share"),
-    )
+    return totals.select(*by, _grid(layout, "share", lambda i, j: confusion_share(layout, i, j)))
 
 
-def confusion_summary(normalized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def confusion_columns(layout: TokenLayout) -> list[Column]:
     """Mean and minimum on the diagonal, mean and maximum off it; empty rows count as zero."""
-    on = F.col("true_layer") == F.col("pred_layer")
-    diagonal, other = F.when(on, F.col("share")), F.when(~on, F.col("share"))
-    return normalized.groupBy(*by).agg(
-        F.avg(diagonal).alias("avg_diagonal"),
-        F.min(diagonal).alias("min_diagonal"),
-        F.avg(other).alias("avg_off_diagonal"),
-        F.max(other).alias("max_off_diagonal"),
-    )
-
-
-def lm_loss(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean cross-entropy over all scored positions: text, special and audio."""
-    return scored.groupBy(*by).agg(
-        F.avg("nll").alias("loss"), F.count("nll").alias("n_positions")
-    )
+    diagonal = F.array(*[confusion_share(layout, i, j) for i, j in _cells(layout) if i == j])
+    other = F.array(*[confusion_share(layout, i, j) for i, j in _cells(layout) if i != j])
+    return [
+        vectors.mean(diagonal).alias("avg_diagonal"),
+        F.array_min(diagonal).alias("min_diagonal"),
+        vectors.mean(other).alias("avg_off_diagonal"),
+        F.array_max(other).alias("max_off_diagonal"),
+    ]
+
+
+def confusion_summary(totals: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
+    return totals.select(*by, *confusion_columns(layout))

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from codecloom.config import CorpusConfig
 from codecloom.functions.sequences import ones_like, training_sequence
 from codecloom.layout import TokenLayout
-from codecloom.operators.codes import add_codes, filter_duration
+from codecloom.operators.codes import add_codes, filter_duration, within_or_unknown
 from codecloom.operators.sampling import ordered_union, source_cap
 from codecloom.operators.tokens import add_text_tokens
-from codecloom.operators.validate import accepted
+from codecloom.operators.validate import accepted, rejected, stage_counts
 from codecloom.sources.load import load_sources
 from codecloom.sources.store import save_length_stats, save_training
 
 ORDER_KEYS = ("source_ord", "row_file", "row_ord", "utt_id")
+DERIVED_COLUMNS = ("labels", "attention_mask")
 TRAINING_COLUMNS = ("input_ids", "labels", "attention_mask", "encoded_len", "speaker_emb")
 
 Tokenizer = Callable[[Column], Column]
@@ -42,9 +43,16 @@ def add_labels_and_mask(df: DataFrame) -> DataFrame:
     return df.withColumns({"labels": F.col("input_ids"), "attention_mask": ones_like(F.col("input_ids"))})
 
 
-def training_columns(df: DataFrame) -> DataFrame:
+def training_columns(df: DataFrame, derived: bool = True) -> DataFrame:
+    """Order keys and the five training columns.
+
+    With derived=False, labels and mask are left out: they repeat `input_ids`, take as much space
+    again, and the collation fills them in.
+    """
     keys = [k for k in ORDER_KEYS if k in df.columns]
-    return df.select(*keys, *TRAINING_COLUMNS)
+    skipped = () if derived else DERIVED_COLUMNS
+    full = add_labels_and_mask(df) if derived else df
+    return full.select(*keys, *[c for c in TRAINING_COLUMNS if c not in skipped])
 
 
 def usable_rows(df: DataFrame, layout: TokenLayout, max_seconds: float | None) -> DataFrame:
@@ -57,6 +65,7 @@ def prepare_corpus(
     config: CorpusConfig,
     tokenizer: Tokenizer,
     layout: TokenLayout = TokenLayout(),
+    derived: bool = True,
 ) -> DataFrame:
     """The unified training corpus as one lazy plan.
 
@@ -67,22 +76,58 @@ def prepare_corpus(
     for cfg, rows in zip(config.sources, load_sources(spark, config, layout), strict=True):
         usable = usable_rows(rows, layout, config.max_duration_sec)
         capped = source_cap(usable, cfg.max_len, config.seed)
-        sequences = build_sequences(capped, tokenizer, layout)
-        prepared.append(training_columns(add_labels_and_mask(sequences)))
+        prepared.append(training_columns(build_sequences(capped, tokenizer, layout), derived))
     return ordered_union(prepared)
 
 
+def corpus_rejects(
+    spark: SparkSession, config: CorpusConfig, layout: TokenLayout = TokenLayout()
+) -> DataFrame:
+    """Rows of all sources that cannot be prepared, with the reason; the cap does not hide them."""
+    parts = [
+        rejected(within_or_unknown(rows, config.max_duration_sec), layout).select(
+            *ORDER_KEYS, "source", "reject_reason"
+        )
+        for rows in load_sources(spark, config, layout)
+    ]
+    return ordered_union(parts)
+
+
+def corpus_counts(
+    spark: SparkSession, config: CorpusConfig, layout: TokenLayout = TokenLayout()
+) -> DataFrame:
+    """Stage counts per source, with the configured cap and whether the source falls short of it."""
+    parts = []
+    for cfg, rows in zip(config.sources, load_sources(spark, config, layout), strict=True):
+        counts = stage_counts(rows, layout, config.max_duration_sec, ["source"])
+        cap = F.lit(cfg.max_len).cast("bigint")
+        parts.append(
+            counts.withColumns(
+                {
+                    "cap": cap,
+                    "n_kept": F.least(F.col("n_prepared"), cap),
+                    "short_of_cap": F.coalesce(F.col("n_prepared") < cap, F.lit(False)),
+                }
+            )
+        )
+    return ordered_union(parts)
+
+
 def run_preparation(
     spark: SparkSession,
     config: CorpusConfig,
     tokenizer: Tokenizer,
     output: str,
     layout: TokenLayout = TokenLayout(),
+    derived: bool = True,
 ) -> None:
-    """Save the corpus and, if configured, its length statistics next to it.
+    """Save the corpus and, next to it, the rejected rows and (if configured) the statistics.
 
-    The statistics read the saved table, so the corpus is not prepared twice.
+    The statistics read the saved table, so the corpus is not prepared twice. A source with fewer
+    usable rows than its cap contributes all of them; `corpus_counts` marks it.
     """
-    save_training(prepare_corpus(spark, config, tokenizer, layout), output)
+    base = output.rstrip("/")
+    save_training(prepare_corpus(spark, config, tokenizer, layout, derived), base)
+    save_training(corpus_rejects(spark, config, layout), f"{base}_rejects")
     if config.length_statistics:
-        save_length_stats(spark.read.parquet(output), f"{output.rstrip('/')}_length_statistics")
+        save_length_stats(spark.read.parquet(base), f"{base}_length_statistics")

@@ -1,25 +1,16 @@
-"""Evaluation: one wide metric row per group, in long form, with verdicts."""
+"""Evaluation: one wide metric row per group and its long form (`full_report` judges it)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecloom.layout import TokenLayout
 from codecloom.operators import scoring as sc
-from codecloom.operators.attention_stats import output_variance
-from codecloom.operators.run_metrics import long_metrics
-from codecloom.operators.verdicts import (
-    Thresholds,
-    confusion_verdict,
-    isolation_verdict,
-    overall_assessment,
-    perplexity_verdicts,
-    variance_verdict,
-)
+from codecloom.operators.attention_stats import output_variance, variance_per_output
+from codecloom.operators.run_metrics import TRAIN_PREFIX, long_metrics
 
 SUMMARY_METRICS = (
     "text_ppl",
@@ -37,49 +28,51 @@ SUMMARY_METRICS = (
 )
 
 
-def _side_by_side(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Join aggregate tables that have one row per group (one row in all when `by` is empty)."""
-    if by:
-        return reduce(lambda a, b: a.join(b, list(by), "full"), parts)
-    keyed = [p.withColumn("__one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "__one", "full"), keyed).drop("__one")
-
-
 def metric_row(
-    scored: DataFrame, per_output: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
+    scored: DataFrame, hidden: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Wide row of all summary metrics per group. `scored` is read several times: pass a written
-    table when it comes from real logits."""
-    ppl = sc.layer_perplexity(scored, layout, by)
-    confusion = sc.confusion_normalized(sc.layer_confusion(scored, layout, by), layout, by)
-    return _side_by_side(
-        [
-            sc.text_perplexity(scored, by),
-            sc.perplexity_summary(ppl, by),
-            sc.confusion_summary(confusion, by),
-            output_variance(per_output, by),
-        ],
-        by,
+    """All summary metrics side by side. Positions and hidden vectors are each read once."""
+    totals = sc.score_totals(scored, layout, by)
+    summary = totals.select(
+        *by,
+        "loss",
+        "ppl",
+        "text_ppl",
+        *sc.perplexity_columns(),
+        "confusion",
+        *sc.confusion_columns(layout),
+    )
+    variance = output_variance(variance_per_output(hidden, by), by)
+    if by:
+        return summary.join(variance, list(by), "left")
+    # Two single rows.
+    one = F.lit(1).alias("__one")
+    return (
+        summary.select("*", one).join(variance.select("*", one), "__one", "left").drop("__one")
     )
 
 
-def metric_table(wide: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return long_metrics(wide, SUMMARY_METRICS, by)
+def metric_table(row: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
+    """Long form of everything in a metric row, layers and confusion cells included."""
+    layers = range(layout.num_audio_layers)
+    named = row.withColumns(
+        {f"layer_{k}_ppl": F.col("ppl")[k] for k in layers}
+        | {f"confusion_{i}_{j}": sc.confusion_share(layout, i, j) for i in layers for j in layers}
+    )
+    cells = [f"confusion_{i}_{j}" for i in layers for j in layers]
+    return long_metrics(named, [f"layer_{k}_ppl" for k in layers] + cells + list(SUMMARY_METRICS), by)
 
 
-def verdict_report(
-    scored: DataFrame,
-    per_output: DataFrame,
-    layout: TokenLayout,
-    by: Sequence[str] = (),
-    limits: Thresholds = Thresholds(),
-) -> DataFrame:
-    wide = metric_row(scored, per_output, layout, by)
-    parts = [
-        perplexity_verdicts(sc.layer_perplexity(scored, layout, by), by),
-        isolation_verdict(wide, by, limits),
-        variance_verdict(wide, by, limits),
-        confusion_verdict(wide, by, limits),
-        overall_assessment(wide, by, limits),
+def influence_metrics(shares: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Long form of influence shares; layers without influence have no rows."""
+    kinds = ("text_influence", "same_layer_influence", "cross_layer_influence")
+    rows = [
+        F.struct(
+            F.concat(
+                F.lit(f"{TRAIN_PREFIX}layer_"), F.col("layer").cast("string"), F.lit(f"_{kind}")
+            ).alias("metric"),
+            F.col(kind).alias("value"),
+        )
+        for kind in kinds
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return shares.select(*by, F.inline(F.array(*rows)))
