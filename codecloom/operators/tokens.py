@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codecloom.functions.sequences import language_prompt
 from codecloom.layout import TokenLayout
@@ -120,7 +121,7 @@ class WordTokenizer:
         """Token ids of a prompt, without start and end markers."""
         shared = self._shared
 
-        @F.arrow_udf("array<bigint>")
+        @F.arrow_udf(T.ArrayType(T.LongType()))
         def encode(batch: pa.Array) -> pa.Array:
             known, ids = shared.value
             flat = batch.flatten()
@@ -137,7 +138,7 @@ def custom_tokenizer(
 ) -> Callable[[Column], Column]:
     """Wrap a user's own tokenizer; `factory` builds it once per task, not once per row."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = factory()
         for prompts in batches:

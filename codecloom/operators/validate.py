@@ -38,9 +38,9 @@ def accepted(df: DataFrame, layout: TokenLayout) -> DataFrame:
     """Rows without a reject reason, as separate conditions so that the reader gets what it can."""
     layers = [F.col(c) for c in layout.layer_columns]
     good = df.where(F.col("encoded_len").isNotNull() & F.col("text").isNotNull())
-    for layer in layers:
+    good = good.where(layers[0].isNotNull() & (F.size(layers[0]) > 0))
+    for layer in layers[1:]:
         good = good.where(layer.isNotNull() & (F.size(layer) == F.size(layers[0])))
-    good = good.where(F.size(layers[0]) > 0)
     for layer in layers:
         good = good.where(~F.exists(layer, lambda x: x.isNull()))
     return good

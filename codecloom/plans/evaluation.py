@@ -45,11 +45,9 @@ def metric_row(
     variance = output_variance(variance_per_output(hidden, by), by)
     if by:
         return summary.join(variance, list(by), "left")
-    # Two single rows.
-    one = F.lit(1).alias("__one")
-    return (
-        summary.select("*", one).join(variance.select("*", one), "__one", "left").drop("__one")
-    )
+    # Without groups the variance is one row, read as a scalar.
+    single = variance.select(F.struct("*").alias("v")).scalar()
+    return summary.withColumn("__v", single).select("*", "__v.*").drop("__v")
 
 
 def metric_table(row: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
