@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codecloom.functions.sequences import insert_second, speaker_positions, training_sequence
 from codecloom.operators.positions import (
     add_canonical_positions,
+    padded_positions,
     sequence_positions,
     token_positions,
 )
@@ -79,6 +80,19 @@ def test_closed_form_positions(spark, n_text, n_codes, step):
     assert row.position_ids == brute_force(ids, step)
 
 
+@pytest.mark.parametrize("step", [1.0, 0.5])
+@pytest.mark.parametrize("ids", [EXAMPLE, [64410] * 6, [5], [5, 64410, 64410, 64410, 64410, 64410]])
+@pytest.mark.parametrize("pads", [0, 1, 5])
+def test_padded_positions(spark, ids, pads, step):
+    rows = [(ids, True), (ids, False)]
+    df = spark.createDataFrame(rows, "input_ids array<bigint>, has_speaker boolean")
+    length = F.lit(len(ids) + pads)
+    out = padded_positions(df, L, length, step, F.col("has_speaker")).collect()
+    plain = brute_force(ids + [L.pad] * pads, step)
+    assert out[1].position_ids == plain
+    assert out[0].position_ids == [plain[0], plain[0] + 1] + [p + 1 for p in plain[1:]]
+
+
 def test_null_sequence_has_null_positions(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, None), (3, [])], "id int, ids array<bigint>")
     rows = df.select("id", sequence_positions(L)(F.col("ids")).alias("p")).orderBy("id").collect()
