@@ -734,6 +734,22 @@ WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric""",
 SELECT step, round(avg(alpha), 6) AS alpha_mean, round(min(alpha), 6) AS alpha_min,
        round(max(alpha), 6) AS alpha_max, round(stddev_samp(alpha), 6) AS std_samp
 FROM params GROUP BY step""",
+    ),
+    "alpha_metrics": q(
+        PARAMS,
+        """
+SELECT step, 'rope_alpha/layer_' || layer || '/value' AS metric, round(alpha, 6) AS value FROM params
+UNION ALL
+SELECT step, 'rope_alpha/layer_' || layer || '/raw_weight', round(weight, 6) FROM params
+UNION ALL
+SELECT step, 'rope_alpha/mean', round(avg(alpha), 6) FROM params GROUP BY step
+UNION ALL
+SELECT step, 'rope_alpha/min', round(min(alpha), 6) FROM params GROUP BY step
+UNION ALL
+SELECT step, 'rope_alpha/max', round(max(alpha), 6) FROM params GROUP BY step
+UNION ALL
+SELECT step, 'rope_alpha/std', round(stddev_samp(alpha), 6) FROM params GROUP BY step
+HAVING count(*) > 1""",
     ),
     "alpha_report": q(
         PARAMS,

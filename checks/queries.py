@@ -675,6 +675,10 @@ def alpha_stats(spark, sf):
     return r6(ar.alpha_stats(alphas(spark, sf)))
 
 
+def alpha_metrics(spark, sf):
+    return r6(ar.alpha_metrics(alphas(spark, sf)))
+
+
 def alpha_report(spark, sf):
     # Means of 16 short decimals end in exact halves at six places; eight places hold them.
     return r6(ar.alpha_report(alphas(spark, sf), ["step"]), weight_mean=8)
@@ -828,7 +832,7 @@ QUERIES: dict[str, Query] = {
         token_lookup, layer_range_join, past_token_pairs,
         length_stats, corpus_preparation, stage_counts, layer_ppl, text_ppl, ppl_summary,
         layer_confusion, confusion_normalized, confusion_summary, output_variance,
-        influence_share, eval_mean, alpha_stats, alpha_report, alpha_early_late, lm_loss,
+        influence_share, eval_mean, alpha_stats, alpha_metrics, alpha_report, alpha_early_late, lm_loss,
         metric_table,
         ordered_union, source_cap, training_shuffle, influence_sample, batch_assign,
         eval_batch_limit, layer_sort,

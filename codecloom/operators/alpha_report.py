@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecloom.functions.alpha import alpha_from_weight
@@ -49,6 +49,29 @@ def alpha_report(params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def alpha_metrics(params: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
+    """Long metric rows of a training step: factor and raw weight of each layer, the gradient norm
+    where the table has one (`grad_norm`), and the statistics over layers."""
+    layer = F.col("layer").cast("string")
+
+    def row(group: str, name: str, value: str) -> Column:
+        label = F.concat(F.lit(f"rope_{group}/layer_"), layer, F.lit(f"/{name}"))
+        return F.struct(label.alias("metric"), F.col(value).cast("double").alias("value"))
+
+    rows = [row("alpha", "value", "alpha"), row("alpha", "raw_weight", "weight")]
+    if "grad_norm" in params.columns:
+        rows.append(row("grad", "norm", "grad_norm"))
+    stats = [
+        F.struct(F.lit(f"rope_alpha/{name}").alias("metric"), F.col(column).alias("value"))
+        for name, column in (
+            ("mean", "alpha_mean"), ("min", "alpha_min"), ("max", "alpha_max"), ("std", "std_samp")
+        )
+    ]
+    per_layer = params.select(*by, F.inline(F.array(*rows)))
+    overall = alpha_stats(params, by).select(*by, F.inline(F.array(*stats)))
+    return per_layer.unionByName(overall).where(F.col("value").isNotNull())
+
+
 def _layer_order(lexicographic: bool) -> str:
     return "param_name" if lexicographic else "layer"
 

@@ -165,3 +165,6 @@ def test_json_source(spark, config, tmp_path):
     }
     df = prepare_corpus(spark, CorpusConfig.from_dict({"sources": [entry]}), tokenizer)
     assert sorted(len(r.input_ids) for r in df.collect()) == [6 + 3 + 4, 6 + 4 + 8]
+    capped = CorpusConfig.from_dict({"sources": [{**entry, "max_len": 1}]})
+    with pytest.raises(ValueError):
+        prepare_corpus(spark, capped, tokenizer)

@@ -38,6 +38,19 @@ def test_one_layer_has_no_sample_std(spark):
     assert ar.early_late(out, ["step"]).count() == 0
 
 
+def test_alpha_metrics(spark):
+    out = ar.rotation_parameters(weights(spark, [0.0, 1.0]), ["step"])
+    found = {r.metric: r.value for r in ar.alpha_metrics(out).collect()}
+    assert found["rope_alpha/layer_1/raw_weight"] == 1.0
+    assert found["rope_alpha/layer_0/value"] == found["rope_alpha/min"] == pytest.approx(1.05)
+    assert len(found) == 8
+    graded = out.withColumn("grad_norm", F.when(F.col("layer") == 1, 0.5))
+    found = {r.metric: r.value for r in ar.alpha_metrics(graded).collect()}
+    assert found["rope_grad/layer_1/norm"] == 0.5 and len(found) == 9
+    single = ar.alpha_metrics(out.where("layer = 0"))
+    assert "rope_alpha/std" not in {r.metric for r in single.collect()}
+
+
 def test_name_order_changes_the_halves(spark):
     params = ar.rotation_parameters(weights(spark, [i / 10 for i in range(12)]))
     order = [r.layer for r in ar.layer_order(params, lexicographic=True).orderBy("place").collect()]

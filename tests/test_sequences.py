@@ -66,9 +66,23 @@ def test_array_and_window_positions_agree_with_brute_force(spark, sequences):
         i: brute_force(s, 0.5) for i, s in enumerate(sequences)
     }
     tokens = df.select("seq_id", F.posexplode("ids").alias("pos", "token_id"))
-    found = token_positions(tokens, L, 0.5).collect()
-    for r in found:
-        assert r.position == brute_force(sequences[r.seq_id], 0.5)[r.pos]
+    for span in (3, 65_536):
+        found = token_positions(tokens, L, 0.5, span=span).collect()
+        assert len(found) == sum(len(s) for s in sequences)
+        for r in found:
+            assert r.position == brute_force(sequences[r.seq_id], 0.5)[r.pos]
+
+
+def test_one_long_sequence_is_split(spark):
+    """All rows in one sequence: no task gets more than a span of it."""
+    ids = spark.range(0, 20_000, 1, 8).select(
+        F.lit(1).alias("seq_id"),
+        F.col("id").alias("pos"),
+        F.when(F.col("id") % 5 == 0, 7).otherwise(64410).cast("bigint").alias("token_id"),
+    )
+    out = {r.pos: r.position for r in token_positions(ids, L, 1.0, span=1000).collect()}
+    want = brute_force([7 if i % 5 == 0 else 64410 for i in range(20_000)], 1.0)
+    assert [out[i] for i in range(20_000)] == want
 
 
 @pytest.mark.parametrize("n_text, n_codes, step", [(1, 4, 1.0), (3, 12, 0.5), (6, 20, 0.25), (2, 0, 1.0)])
