@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from codecloom.layout import TokenLayout
 
-WIDE_VOCABULARY = 1024
+# At 64 ids the Arrow form takes half the time of the fold, at 80,538 ids a twentieth.
+WIDE_VOCABULARY = 256
 
 
 def log_sum_exp(logits: Column) -> Column:
@@ -41,17 +42,11 @@ def top_ids(logits: Column, k: int) -> Column:
     return F.transform(F.slice(F.sort_array(pairs), 1, k), lambda p: p["id"])
 
 
-def _best(row: np.ndarray, k: int) -> np.ndarray:
-    k = min(k, row.size)
-    if k == 0:
-        return np.empty(0, dtype=np.int32)
-    floor = np.partition(row, row.size - k)[row.size - k]
-    candidates = np.flatnonzero(row >= floor)
-    return candidates[np.argsort(-row[candidates], kind="stable")][:k].astype(np.int32)
-
-
 def arrow_reducer(k: int):
-    """Arrow UDF (logits, label) -> struct(nll, topk)."""
+    """Arrow UDF (logits, label) -> struct(nll, topk).
+
+    The function refers to nothing else in this package, so executors need not have it installed.
+    """
 
     @F.arrow_udf("struct<nll: double, topk: array<int>>")
     def reduce(logits: pa.Array, label: pa.Array) -> pa.Array:
@@ -66,7 +61,11 @@ def arrow_reducer(k: int):
             else:
                 top = row.max()
                 nll.append(float(top + np.log(np.exp(row - top).sum()) - row[target]))
-            best.append(_best(row, k))
+            # All ids at or above the k-th value, in id order; a stable sort keeps ties that way.
+            size = min(k, row.size)
+            floor = np.partition(row, row.size - size)[row.size - size] if size else np.inf
+            ids = np.flatnonzero(row >= floor)
+            best.append(ids[np.argsort(-row[ids], kind="stable")][:size].astype(np.int32))
         return pa.StructArray.from_arrays(
             [pa.array(nll, pa.float64()), pa.array(best, pa.list_(pa.int32()))], ["nll", "topk"]
         )

@@ -29,6 +29,8 @@ def local_session(cores: int | str = 8, app: str = "codecloom", memory: str = "1
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Array work is uneven (row lengths vary widely): more, smaller splits balance the cores.
+        .config("spark.sql.files.minPartitionNum", str(4 * int(cores)))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
