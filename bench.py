@@ -12,6 +12,8 @@ import sys
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from checks import queries as q  # noqa: E402
@@ -43,9 +45,22 @@ def steps(spark):
         rows = spark.read.parquet(saved).select("utt_id", "input_ids", "speaker_emb")
         consume(training_view.training_batches(rows, q.L, 8, q.SEED))
 
+    def capped_codes():
+        usable = corpus.usable_rows(q.rows(spark, sf), q.L, q.CAP_SECONDS)
+        return codes.add_codes(usable, q.L)
+
+    def capped_positions():
+        # The text side counts as one token here: only codes and positions are timed.
+        one = F.array(F.lit(q.L.end_of_text).cast("bigint"))
+        rows = capped_codes().withColumn("text_tokens", one)
+        out = positions.add_canonical_positions(rows, q.L)
+        consume(out.select("utt_id", "codes", "position_ids"))
+
     named = {
         "codec_table": lambda: fx.codec_table(spark, sf),
         "vocabulary": lambda: q.tokenizer(spark, sf),
+        "codes_120s": lambda: consume(capped_codes().select("utt_id", "codes")),
+        "codes_positions_120s": capped_positions,
         "flatten_codes": lambda: consume(
             codes.add_codes(q.rows(spark, sf), q.L).select("utt_id", "codes")
         ),

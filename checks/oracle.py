@@ -10,7 +10,7 @@ from __future__ import annotations
 
 UTT = """
 utt AS (
-  SELECT doc_id AS utt_id, source, lang AS language_tag, split_part(text, chr(10), 1) AS text,
+  SELECT doc_id AS utt_id, source, lang AS language_tag, text,
          CAST(n_chars AS INTEGER) AS encoded_len, doc_id % 500 AS vec
   FROM documents)"""
 

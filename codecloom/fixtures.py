@@ -41,7 +41,7 @@ def codec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("utt_id"),
         "source",
         F.col("lang").alias("language_tag"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"),
+        "text",
         F.transform(F.split("text", ""), F.ascii).alias("c"),
         F.col("n_chars").cast("int").alias("encoded_len"),
     )
