@@ -7,17 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from codecloom.llm.common import table
 from codecloom.llm.exact_dedup import exact_groups
 from codecloom.llm.line_dedup import line_dedup
+from codecloom.llm.packing import pack_documents
+from codecloom.llm.simhash import near_duplicates
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
