@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from codecloom.llm.common import table
 from codecloom.llm.exact_dedup import exact_groups
 from codecloom.llm.line_dedup import line_dedup
+from codecloom.llm.mixing import mixed_order
 from codecloom.llm.packing import pack_documents
 from codecloom.llm.simhash import near_duplicates
+from codecloom.llm.topk import exact_top_k
+from codecloom.llm.toxicity import toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,13 +32,29 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixed_order(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_topk_search": op7_topk_search,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
