@@ -1,5 +1,44 @@
 """The queries in SQL, where SQL can express them."""
 
+OP1 = r"""
+WITH RECURSIVE msgs AS (
+    SELECT conv_id, turn::BIGINT AS turn, role, string_split(coalesce(text, ''), chr(10)) AS parts
+    FROM conversations
+), lines AS (
+    SELECT conv_id, turn, line,
+           length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+           lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', ''),
+                                     '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+    FROM (SELECT conv_id, turn, unnest(parts) AS line FROM msgs
+          WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+), own AS (
+    SELECT conv_id, norm, min(turn) AS origin FROM lines WHERE level = 0 AND norm <> '' GROUP BY ALL
+), per_origin AS (
+    SELECT l.conv_id, l.turn, l.level, o.origin, count(*) AS n
+    FROM lines l JOIN own o ON l.conv_id = o.conv_id AND l.norm = o.norm AND o.origin < l.turn
+    WHERE l.level > 0 GROUP BY ALL
+), links AS (
+    SELECT *, sum(n) OVER (PARTITION BY conv_id, turn)::BIGINT AS n_linked FROM per_origin
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1
+), chain AS (
+    SELECT conv_id, turn, origin AS root, 1::BIGINT AS depth FROM links
+    UNION ALL
+    SELECT c.conv_id, c.turn, l.origin, c.depth + 1
+    FROM chain c JOIN links l ON l.conv_id = c.conv_id AND l.turn = c.root
+), roots AS (
+    SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM chain GROUP BY ALL
+)
+SELECT m.conv_id, m.turn, m.role, coalesce(r.root, m.turn) AS thread_root, l.origin AS reply_to,
+       coalesce(r.depth, 0)::BIGINT AS depth,
+       len(list_filter(m.parts, lambda x: regexp_matches(x, '^[ \t]*(?:>[ \t]?)+'))) AS n_quoted,
+       coalesce(l.n_linked, 0)::BIGINT AS n_linked,
+       array_to_string(list_filter(m.parts, lambda x: NOT regexp_matches(x, '^[ \t]*(?:>[ \t]?)+')),
+                       chr(10)) AS body,
+       '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || body AS chat
+FROM msgs m LEFT JOIN links l ON m.conv_id = l.conv_id AND m.turn = l.turn
+LEFT JOIN roots r ON m.conv_id = r.conv_id AND m.turn = r.turn
+"""
+
 OP4 = r"""
 WITH lines AS (
     SELECT doc_id, u.pos, u.line,
@@ -42,6 +81,7 @@ FROM norm WINDOW same AS (PARTITION BY t)
 """
 
 ORACLE = {
+    "op1_quote_links": OP1,
     "op4_line_dedup": OP4,
     "op7_topk_search": OP7,
     "op9_exact_dedup": OP9,

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codecloom.llm.common import table
 from codecloom.llm.exact_dedup import exact_groups
+from codecloom.llm.language_id import identify
 from codecloom.llm.line_dedup import line_dedup
 from codecloom.llm.mixing import mixed_order
 from codecloom.llm.packing import pack_documents
+from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import near_duplicates
 from codecloom.llm.topk import exact_top_k
 from codecloom.llm.toxicity import toxicity
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threaded_conversations(table(spark, sf_dir, "conversations"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -24,6 +30,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -50,7 +60,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quote_links": op1_quote_links,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
