@@ -12,6 +12,7 @@ from codecloom.llm.mixing import mixed_order
 from codecloom.llm.packing import pack_documents
 from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import near_duplicates
+from codecloom.llm.suffix_dedup import suffix_dedup
 from codecloom.llm.topk import exact_top_k
 from codecloom.llm.toxicity import toxicity
 
@@ -51,6 +52,10 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_topk_search": op7_topk_search,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
