@@ -30,13 +30,13 @@ from codecloom.llm.common import id_order, slices, whole_text, written
 from codecloom.llm.induced_sort import sorted_suffixes
 
 WINDOW = 50
-GRAM = 12
+GRAM = 16
 RANGES = 64
 RANGE_ANCHORS = 1 << 20
 SHARDS = 64
 SHARD_BYTES = 6 << 20
 CHUNK = 8 << 20
-HASH_BYTES = 6
+HASH_BYTES = 5
 
 
 def text_key(col: str = "text"):
@@ -50,9 +50,9 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         part = text[base : base + CHUNK + WINDOW - 1]
         n = len(part)
         eight = np.ndarray((n - 7,), "<u8", part, strides=(1,))[: n - GRAM + 1]
-        four = np.ndarray((n - 3,), "<u4", part, strides=(1,))[8 : n - GRAM + 9]
+        rest = np.ndarray((n - 7,), "<u8", part, strides=(1,))[GRAM - 8 :]
         h = eight * np.uint64(0x9E3779B97F4A7C15)
-        h ^= (h >> np.uint64(29)) ^ (four * np.uint64(0xC2B2AE3D27D4EB4F))
+        h ^= (h >> np.uint64(29)) ^ (rest * np.uint64(0xC2B2AE3D27D4EB4F))
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         # Position in the low bits: of equal hashes the leftmost wins.
