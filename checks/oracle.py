@@ -11,7 +11,7 @@ from __future__ import annotations
 UTT = """
 utt AS (
   SELECT doc_id AS utt_id, source, lang AS language_tag, text,
-         CAST(n_chars AS INTEGER) AS encoded_len, doc_id % 500 AS vec
+         CAST(n_chars AS INTEGER) AS encoded_len, doc_id % (SELECT count(*) FROM embeddings) AS vec
   FROM documents)"""
 
 SPK = UTT + """,
@@ -92,7 +92,7 @@ placed AS (
          utt_id % 23 <> 0 AND e.embedding IS NOT NULL AS spoken,
          utt_id % 29 <> 0 AS has_mask, utt_id % 31 <> 0 AS has_labels,
          '-100' || substr(s, 6) AS own
-  FROM ids LEFT JOIN embeddings e ON e.vec_id = utt_id % 500),
+  FROM ids LEFT JOIN embeddings e ON e.vec_id = utt_id % (SELECT count(*) FROM embeddings)),
 batch AS (
   SELECT *, bool_and(has_labels) OVER w AS keep_labels, bool_and(spoken) OVER w AS has_speaker,
          max(n) OVER w AS longest
@@ -613,7 +613,7 @@ FROM filled""",
         HALVES.replace(IDS, IDS + f""",
 placed AS (
   SELECT ids.*, e.embedding IS NOT NULL AS spoken, {rank('7:0')} AS r
-  FROM ids LEFT JOIN embeddings e ON e.vec_id = utt_id % 500),
+  FROM ids LEFT JOIN embeddings e ON e.vec_id = utt_id % (SELECT count(*) FROM embeddings)),
 batch AS (
   SELECT *, r // 8 AS batch_id, CAST(r % 8 AS INTEGER) AS batch_pos, max(n) OVER w AS longest,
          bool_and(spoken) OVER w AS has_speaker

@@ -118,6 +118,11 @@ def prepared_path(spark: SparkSession, sf: str) -> str:
     return fx._TABLES[key]
 
 
+def _tail(column: str):
+    """All elements but the first."""
+    return F.slice(column, F.lit(2), F.greatest(F.size(column) - F.lit(1), F.lit(0)))
+
+
 def damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Codec rows with every kind of defect put into some of them."""
     u = F.col("utt_id")
@@ -125,11 +130,11 @@ def damaged(spark: SparkSession, sf: str) -> DataFrame:
     broken = {
         "encoded_len": F.when(u % 41 != 0, F.col("encoded_len")),
         "nano_layer_2": F.when(u % 43 != 0, F.col("nano_layer_2")),
-        "nano_layer_3": F.when(u % 47 == 0, F.slice("nano_layer_3", 2, 1000000)).otherwise(
+        "nano_layer_3": F.when(u % 47 == 0, _tail("nano_layer_3")).otherwise(
             F.col("nano_layer_3")
         ),
         "nano_layer_4": F.when(
-            u % 59 == 0, F.concat(F.array(F.lit(None).cast("int")), F.slice("nano_layer_4", 2, 1000000))
+            u % 59 == 0, F.concat(F.array(F.lit(None).cast("int")), _tail("nano_layer_4"))
         ).otherwise(F.col("nano_layer_4")),
     }
     hurt = rows(spark, sf).withColumns(broken)
@@ -152,7 +157,7 @@ def batched(spark: SparkSession, sf: str) -> DataFrame:
         {
             "attention_mask": F.when(u % 29 != 0, sequences.ones_like(ids)),
             "labels": F.when(
-                u % 31 != 0, F.concat(F.array(F.lit(-100).cast("bigint")), F.slice(ids, 2, 10000000))
+                u % 31 != 0, F.concat(F.array(F.lit(-100).cast("bigint")), _tail("input_ids"))
             ),
         }
     )

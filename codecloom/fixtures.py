@@ -57,10 +57,11 @@ def codec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("c", lambda c: F.floor(c / F.lit(2)).cast("int") % m).alias("nano_layer_4"),
         "encoded_len",
     )
-    vectors = table(spark, sf_dir, "embeddings").select(
+    embeddings = table(spark, sf_dir, "embeddings")
+    vectors = embeddings.select(
         F.col("vec_id").alias("__vec"), F.col("embedding").alias("speaker_emb")
     )
-    return rows.join(vectors, F.col("utt_id") % F.lit(500) == F.col("__vec"), "left").drop("__vec")
+    return rows.join(vectors, F.col("utt_id") % F.lit(max(1, embeddings.count())) == F.col("__vec"), "left").drop("__vec")
 
 
 _TABLES: dict[tuple[str, str, str], str] = {}

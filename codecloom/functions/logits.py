@@ -1,6 +1,8 @@
 """Reduce a logits vector to what the metrics need: label loss and best ids.
 
-Two forms with equal results. The expression form stays in the JVM and suits narrow vocabularies;
+Two forms with equal results, on every row: a NULL element counts as NaN; the loss of a vector with a
+NaN is NaN, of a vector without any logit above -inf NULL; NaN is never better than a number; a NULL
+vector has neither loss nor ids. The expression form stays in the JVM and suits narrow vocabularies;
 the Arrow form handles a whole batch with numpy and suits vocabularies of tens of thousands of ids,
 where interpreted array folds cost far more than the transfer. `reduce_logits` picks by width.
 """
@@ -15,30 +17,43 @@ from codecloom.layout import TokenLayout
 # At 64 ids the Arrow form takes half the time of the fold, at 80,538 ids a twentieth.
 WIDE_VOCABULARY = 256
 
+NAN, LOWEST = float("nan"), float("-inf")
+
 
 def log_sum_exp(logits: Column) -> Column:
     """ln(sum(exp(x))) in one pass, rescaling the running sum when the maximum grows."""
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("total"))
+    start = F.struct(F.lit(LOWEST).alias("top"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, x: Column) -> Column:
-        value = x.cast("double")
+        value = F.coalesce(x.cast("double"), F.lit(NAN))
         top = F.greatest(acc["top"], value)
         total = acc["total"] * F.exp(acc["top"] - top) + F.exp(value - top)
+        # -inf adds nothing, and -inf less -inf is not a number.
+        total = F.when(value == F.lit(LOWEST), acc["total"]).otherwise(total)
         return F.struct(top.alias("top"), total.alias("total"))
 
-    return F.aggregate(logits, start, step, lambda acc: acc["top"] + F.ln(acc["total"]))
+    def finish(acc: Column) -> Column:
+        return F.when(acc["top"] > F.lit(LOWEST), acc["top"] + F.ln(acc["total"]))
+
+    return F.aggregate(logits, start, step, finish)
 
 
 def label_nll(logits: Column, label: Column) -> Column:
     """Cross-entropy of one position. NULL when the label lies outside the vector."""
-    return log_sum_exp(logits) - F.get(logits, label.cast("int")).cast("double")
+    place = label.cast("int")
+    inside = (place >= F.lit(0)) & (place < F.size(logits))
+    target = F.coalesce(F.get(logits, place).cast("double"), F.lit(NAN))
+    return F.when(inside, log_sum_exp(logits) - target)
 
 
 def top_ids(logits: Column, k: int) -> Column:
     """Ids of the k highest logits, best first; equal logits go to the lower id."""
-    pairs = F.transform(
-        logits, lambda v, i: F.struct((-v.cast("double")).alias("neg"), i.cast("int").alias("id"))
-    )
+
+    def pair(v: Column, i: Column) -> Column:
+        value = F.coalesce(F.nanvl(v.cast("double"), F.lit(LOWEST)), F.lit(LOWEST))
+        return F.struct((-value).alias("neg"), i.cast("int").alias("id"))
+
+    pairs = F.transform(logits, pair)
     return F.transform(F.slice(F.sort_array(pairs), 1, k), lambda p: p["id"])
 
 
@@ -53,14 +68,22 @@ def arrow_reducer(k: int):
         values = logits.flatten().to_numpy(zero_copy_only=False)
         starts = logits.offsets.to_numpy() - logits.offsets[0].as_py()
         nll: list[float | None] = []
-        best: list[np.ndarray] = []
-        for i, target in enumerate(label.to_pylist()):
+        best: list[np.ndarray | None] = []
+        for i, (target, known) in enumerate(zip(label.to_pylist(), logits.is_valid().to_pylist())):
+            if not known:
+                nll.append(None)
+                best.append(None)
+                continue
             row = values[starts[i] : starts[i + 1]].astype(np.float64)
             if target is None or not 0 <= target < row.size:
                 nll.append(None)
             else:
                 top = row.max()
-                nll.append(float(top + np.log(np.exp(row - top).sum()) - row[target]))
+                if top == -np.inf:
+                    nll.append(None)
+                else:
+                    nll.append(float(top + np.log(np.exp(row - top).sum()) - row[target]))
+            row = np.where(np.isnan(row), -np.inf, row)
             # All ids at or above the k-th value, in id order; a stable sort keeps ties that way.
             size = min(k, row.size)
             floor = np.partition(row, row.size - size)[row.size - size] if size else np.inf

@@ -168,3 +168,24 @@ def test_json_source(spark, config, tmp_path):
     capped = CorpusConfig.from_dict({"sources": [{**entry, "max_len": 1}]})
     with pytest.raises(ValueError):
         prepare_corpus(spark, capped, tokenizer)
+
+
+def test_std_of_long_lengths_is_exact(spark):
+    from codecloom.operators.corpus_stats import length_stats
+
+    df = spark.range(1000).select((F.col("id") % 2 + 100_000_000).alias("encoded_len"))
+    assert length_stats(df).first()["frames_std"] == 0.5
+
+
+def test_rows_of_a_partitioned_folder_have_keys_of_their_own(spark, tmp_path):
+    from codecloom.config import SourceConfig
+    from codecloom.sources.load import load_source
+
+    rows = spark.range(200).select(
+        (F.col("id") % 4).alias("part"), F.lit("t").alias("text"), F.lit(3).alias("encoded_len"),
+        *[F.array(F.lit(1)).alias(f"nano_layer_{k}") for k in range(1, 5)],
+    )
+    # One file a folder, all of one task and so of one name.
+    rows.coalesce(1).write.partitionBy("part").parquet(str(tmp_path / "in"))
+    cfg = SourceConfig.from_dict({"name": "s", "path": str(tmp_path / "in"), "speaker_emb": None})
+    assert load_source(spark, cfg, 0, L).select("utt_id").distinct().count() == 200

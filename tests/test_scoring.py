@@ -219,3 +219,23 @@ def test_metric_row_reads_each_input_once(spark, tables, tmp_path):
     assert len(found) == 12 + 4 + 16
     assert found["metrics/avg_output_variance"] == 2.0
     assert found["metrics/layer_3_ppl"] is None
+
+
+def test_both_forms_agree_on_odd_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        ([-inf, -inf, 1.0, 2.0], 3), ([-inf, -inf], 0), ([1.0, nan, 3.0], 0), ([1.0, None, 3.0], 2),
+        (None, 0), ([], 0), ([1.0, 2.0], None), ([1.0, 2.0], 7), ([1.0, 2.0], -1), ([2.0, 2.0, -inf], 2),
+    ]
+    df = spark.createDataFrame(rows, "logits array<double>, label bigint").repartition(1)
+    out = [
+        df.select(reduce_logits(F.col("logits"), F.col("label"), TINY, 2, wide=w).alias("r")).collect()
+        for w in (False, True)
+    ]
+    for a, b in zip(*out):
+        assert str(a["r"]["topk"]) == str(b["r"]["topk"])
+        x, y = a["r"]["nll"], b["r"]["nll"]
+        assert (x is None) == (y is None) and (x is None or x == y or x != x and y != y or abs(x - y) < 1e-12)
+    nll = [r["r"]["nll"] for r in out[0]]
+    assert abs(nll[0] - 0.31326168751822286) < 1e-12 and nll[1] is None and nll[2] != nll[2]
+    assert nll[9] == inf and out[0][4]["r"]["topk"] is None
