@@ -165,7 +165,8 @@ def test_packing_is_a_partition_of_the_tokens(docs):
         assert b"".join(pieces["ids"]) in whole and pieces["doc_tokens"].nunique() == 1
 
 
-@pytest.mark.parametrize("text", ["", "a b", " a  b\n c", "it's\n\n x", "x  y", "a\tb  ", "\x1cq \x85z"])
+@pytest.mark.parametrize("text", ["", "a b", " a  b\n c", "it's\n\n x", "x  y", "a\tb  ", "\x1cq \x85z", "a.\nB c\nd", "a.\nB c\n\nd", "x\n", "\nq r",
+             "a\n\tb", "a\n b", "a \nb", "\n", "it's\n's\nx"])
 def test_cut_words_have_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
