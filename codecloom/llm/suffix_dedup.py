@@ -2,9 +2,9 @@
 
 1. Anchors. In every window of WINDOW bytes the GRAM-byte string with the smallest hash (the leftmost
    of several) is the window's anchor. Equal windows have equal anchors, and an anchor is shared by a
-   run of neighbouring windows. Anchor hashes are dealt by hash ranges, in packed arrays, to find
-   those that occur in two texts at least.
-2. Segments. The run of windows around such an anchor is a segment of its text, some 65 bytes for 16
+   run of neighbouring windows. Anchor hashes are dealt by hash ranges, in packed arrays and in the
+   order of the text; a range answers with one bit an anchor: two texts at least have it, or not.
+2. Segments. The run of windows around such an anchor is a segment of its text, some 63 bytes for 14
    windows. Equal segments are combined in each task before they are shuffled.
 3. Shards. Segments are dealt to shards by anchor, so equal windows meet in one shard. A shard sorts
    the suffixes of its segments by induction (`induced_sort`), and neighbours that agree on WINDOW
@@ -12,6 +12,9 @@
 4. Spans. Windows whose smallest document is another one are joined to their documents, and the bytes
    they cover are cut out.
 
+Steps 2 to 4 are one plan that meets the texts three times by their keys, always with the same columns,
+so that their one exchange is reused; segments are cut anew rather than stored.
+
 Texts that are copies of an earlier document as a whole are found by SHA-256 and need no search.
 """
 
@@ -30,17 +33,17 @@ from codecloom.llm.common import id_order, slices, whole_text, written
 from codecloom.llm.induced_sort import sorted_suffixes
 
 WINDOW = 50
-GRAM = 16
-RANGES = 64
-RANGE_ANCHORS = 1 << 20
+GRAM = 24
+KEY_BYTES = 12
+RANGES = 24
+RANGE_ANCHORS = 4 << 20
 SHARDS = 64
 SHARD_BYTES = 6 << 20
 CHUNK = 8 << 20
-HASH_BYTES = 5
 
 
 def text_key(col: str = "text"):
-    return F.substring(F.unhex(F.sha2(F.col(col), 256)), 1, 16)
+    return F.substring(F.unhex(F.sha2(F.col(col), 256)), 1, KEY_BYTES)
 
 
 def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -49,11 +52,12 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
     for base in range(0, len(text) - WINDOW + 1, CHUNK):
         part = text[base : base + CHUNK + WINDOW - 1]
         n = len(part)
-        eight = np.ndarray((n - 7,), "<u8", part, strides=(1,))[: n - GRAM + 1]
-        rest = np.ndarray((n - 7,), "<u8", part, strides=(1,))[GRAM - 8 :]
-        h = eight * np.uint64(0x9E3779B97F4A7C15)
-        h ^= (h >> np.uint64(29)) ^ (rest * np.uint64(0xC2B2AE3D27D4EB4F))
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        eight = np.ndarray((n - 7,), "<u8", part, strides=(1,))
+        h = np.zeros(n - GRAM + 1, dtype=np.uint64)
+        for k in range(0, GRAM, 8):
+            h ^= eight[k : k + len(h)] * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         # Position in the low bits: of equal hashes the leftmost wins.
         low = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
@@ -69,116 +73,139 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield h[at[first]], at[first] + base, first + base, count
 
 
-def planes(values: np.ndarray, width: int) -> bytes:
-    """Little-endian bytes, all lowest bytes first: high bytes that are zero compress away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
+def dealt(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors in the order of their hash ranges, and where each range begins. Text order stays within."""
+    # Anchors have small high bits, so the low ones are left to tell anchors of a range apart.
+    part = (h >> np.uint64(32)) % np.uint64(ranges)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(ranges + 1))
 
 
-def from_planes(raw: bytes, width: int, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    out = np.zeros((len(raw) // width, size), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
-    return out.view(dtype).ravel()
+def all_anchors(text: bytes) -> list[np.ndarray]:
+    """The columns of `anchors` over all chunks of a text."""
+    return [np.concatenate(x) for x in zip(*anchors(text))]
 
 
 def dealt_anchors(texts: DataFrame, ranges: int) -> DataFrame:
-    """(part, keys, hashes, owners, places): anchors of a slice of texts that fall into a hash range."""
+    """(part, keys, counts, hashes): anchors of a slice of texts that fall into a hash range.
+
+    Each text with an anchor there has a key and a count; hashes follow in the order of the text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=0, rows=4096, size=16 << 20):
-            keys, hashes, owners, places = {}, [], [], []
+            keys: dict[bytes, int] = {}
+            hashes, owners = [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                key = hashlib.sha256(text).digest()[:16]
+                key = hashlib.sha256(text).digest()[:KEY_BYTES]
                 if len(text) < WINDOW or key in keys:
                     continue
-                keys[key] = len(keys)
-                for h, at, _, _ in anchors(text):
+                for h, _, _, _ in anchors(text):
                     hashes.append(h)
-                    places.append(at)
-                    owners.append(np.full(len(h), keys[key], dtype="<u2"))
+                    owners.append(np.full(len(h), len(keys), dtype="<u2"))
+                keys[key] = len(keys)
             if not keys:
                 continue
             h, owner = np.concatenate(hashes), np.concatenate(owners)
-            place = np.concatenate(places).astype("<u4")
-            part = (h % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(ranges + 1))
-            packed = b"".join(keys)
+            names = np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, KEY_BYTES)
+            order, bounds = dealt(h, ranges)
             for r in range(ranges):
                 o = order[bounds[r] : bounds[r + 1]]
                 if len(o):
-                    arrays = (planes(h[o] >> np.uint64(16), HASH_BYTES), planes(owner[o], 2), planes(place[o], 4))
-                    row = [r, packed, *arrays]
+                    held, counts = np.unique(owner[o], return_counts=True)
+                    low = (h[o] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                    row = [r, names[held].tobytes(), counts.astype("<u4").tobytes(), low.tobytes()]
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
-    schema = pa.schema(
-        [("part", pa.int32()), *[(c, pa.binary()) for c in ("keys", "hashes", "owners", "places")]]
-    )
-    return texts.select("text").mapInArrow(
-        run, "part int, keys binary, hashes binary, owners binary, places binary"
-    )
+    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "hashes")]])
+    return texts.select("text").mapInArrow(run, "part int, keys binary, counts binary, hashes binary")
 
 
 def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """(key, places) of the anchors of one hash range that two texts at least have."""
-    known: dict[bytes, int] = {}
-    hashes, owners, places = [], [], []
-    for row in rows.itertuples():
-        names = [row.keys[i : i + 16] for i in range(0, len(row.keys), 16)]
-        number = np.array([known.setdefault(k, len(known)) for k in names], dtype=np.int64)
-        hashes.append(from_planes(row.hashes, HASH_BYTES, "<u8"))
-        owners.append(number[from_planes(row.owners, 2, "<u2")])
-        places.append(from_planes(row.places, 4, "<u4"))
-    h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
-    order = np.lexsort((owner, h))
-    h, owner, place = h[order], owner[order], place[order]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    ends = np.append(starts[1:], len(h))
-    several = owner[starts] != owner[ends - 1]
-    keep = np.repeat(several, ends - starts)
-    owner, place = owner[keep], place[keep]
-    order = np.lexsort((place, owner))
-    owner, place = owner[order], place[order]
-    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])]) if len(owner) else []
-    owner, place = owner[fresh], place[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    names = list(known)
+    """(key, part, n, bits) of the texts that share an anchor of a hash range: one bit an anchor."""
+    raw = np.frombuffer(b"".join(rows["keys"]), dtype=np.uint8).reshape(-1, KEY_BYTES)
+    head = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel()
+    tail = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
+    counts = np.frombuffer(b"".join(rows["counts"]), dtype="<u4").astype(np.int64)
+    low = np.frombuffer(b"".join(rows["hashes"]), dtype="<u4")
+    # The same text of several slices counts once.
+    order = np.lexsort((tail, head))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
+    once = np.zeros(len(order), dtype=bool)
+    once[order[fresh]] = True
+    low, counts, raw = low[np.repeat(once, counts)], counts[once], raw[once]
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    order = np.argsort(low, kind="stable")
+    at = low[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends = np.append(starts[1:], len(at))
+    # Owners ascend within equal hashes, as the sort is stable.
+    several = owner[order[starts]] != owner[order[ends - 1]]
+    flags = np.zeros(len(low), dtype=bool)
+    flags[order] = np.repeat(several, ends - starts)
+    begin = np.cumsum(counts) - counts
+    n = np.add.reduceat(flags.astype(np.int64), begin)
+    found = np.flatnonzero(n)
     return pd.DataFrame(
         {
-            "key": [names[owner[s]] for s in starts],
-            "places": [x.tobytes() for x in (np.split(place, starts[1:]) if len(owner) else [])],
+            "key": [raw[i].tobytes() for i in found],
+            "part": np.full(len(found), rows["part"].iloc[0]),
+            "n": n[found],
+            "bits": [np.packbits(flags[begin[i] : begin[i] + counts[i]]).tobytes() for i in found],
         }
     )
 
 
-def segments(found: DataFrame) -> DataFrame:
-    """(key, first, start, sid, anchor, segment) of the runs of windows around shared anchors."""
+def segment_id(segment: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
+
+
+def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
+    """(num, first, start, anchor, sid) of the runs of windows around shared anchors.
+
+    With `bytes_too` (first, anchor, segment) instead. Segments are told apart by anchor and sid.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=2, rows=256):
             out = [[] for _ in names]
             texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for key, first, text, places in zip(
+            for num, first, text, places in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()
             ):
-                wanted = np.frombuffer(b"".join(places), dtype="<u4").astype(np.int64)
-                for h, at, start, count in anchors(text):
-                    pick = np.flatnonzero(np.isin(at, wanted))
-                    for i, a, c in zip(h[pick].view(np.int64).tolist(), start[pick].tolist(), count[pick].tolist()):
-                        segment = text[a : a + c - 1 + WINDOW]
-                        digest = hashlib.blake2b(segment, digest_size=16).digest()
-                        for column, value in zip(out, (key, first, a, digest, i, segment)):
-                            column.append(value)
+                h, _, start, count = all_anchors(text)
+                order, bounds = dealt(h, ranges)
+                pick = []
+                for place in places:
+                    o = order[bounds[place["part"]] : bounds[place["part"] + 1]]
+                    bits = np.unpackbits(np.frombuffer(place["bits"], dtype=np.uint8), count=len(o))
+                    pick.append(o[bits.astype(bool)])
+                pick = np.sort(np.concatenate(pick))
+                low = (h[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                for i, a, c in zip(low.tolist(), start[pick].tolist(), count[pick].tolist()):
+                    segment = text[a : a + c - 1 + WINDOW]
+                    row = (first, i, segment) if bytes_too else (num, first, a, i, segment_id(segment))
+                    for column, value in zip(out, row):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
-    names = ["key", "first", "start", "sid", "anchor", "segment"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-    schema = "key binary, first bigint, start bigint, sid binary, anchor bigint, segment binary"
-    return found.select("key", "first", "text", "places").mapInArrow(run, schema)
+    if bytes_too:
+        names, kinds = ["first", "anchor", "segment"], [pa.int64(), pa.int32(), pa.binary()]
+        schema = "first bigint, anchor int, segment binary"
+    else:
+        names = ["num", "first", "start", "anchor", "sid"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        schema = "num bigint, first bigint, start bigint, anchor int, sid bigint"
+    # The id is not used here, but all readers of the texts take the same columns.
+    return found.select("num", "first", "text", "places", "id").mapInArrow(run, schema)
 
 
 def window_owners(rows: pd.DataFrame) -> pd.DataFrame:
-    """(sid, offsets, firsts): for each segment the smallest document of its windows, as runs."""
+    """(anchor, sid, offsets, firsts): the smallest document of a segment's windows, as runs.
+
+    Segments whose holders all come no later than any of these documents are left out.
+    """
     raw = b"\x00".join(rows["segment"]) + b"\x00"
     data = np.frombuffer(raw, dtype=np.uint8)
     lengths = np.fromiter(map(len, rows["segment"]), dtype=np.int64, count=len(rows))
@@ -219,13 +246,18 @@ def window_owners(rows: pd.DataFrame) -> pd.DataFrame:
                 held = held[tail:]
     if len(held):
         close(held)
-    offsets, firsts = [], []
-    for s, n in zip(starts.tolist(), windows.tolist()):
+    offsets, firsts, kept = [], [], []
+    for i, (s, n, last) in enumerate(zip(starts.tolist(), windows.tolist(), rows["last"].tolist())):
         values = smallest[s : s + n]
+        if values.min() >= last:
+            continue
+        kept.append(i)
         heads = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
         offsets.append(np.append(heads, n))
         firsts.append(values[heads])
-    return pd.DataFrame({"sid": rows["sid"].array, "offsets": offsets, "firsts": firsts})
+    some = rows.iloc[kept]
+    sids = np.array([segment_id(x) for x in some["segment"]], dtype=np.int64)
+    return pd.DataFrame({"anchor": some["anchor"].array, "sid": sids, "offsets": offsets, "firsts": firsts})
 
 
 def cut(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, int]:
@@ -252,39 +284,39 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     NULL is the empty text; texts under 50 bytes lose nothing. Cuts may fall inside a character. Rows
     that share an id do not cut each other; NULL ids come last. Other columns are ignored.
     """
-    texts = docs.select(
-        F.col(id_col).cast("bigint").alias("id"), id_order(id_col).alias("ord"), whole_text(text_col).alias("text")
-    )
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), whole_text(text_col).alias("text"))
     firsts = texts.groupBy(text_key().alias("key")).agg(
-        F.min("ord").alias("first"), F.max(F.octet_length("text")).alias("n_bytes")
+        F.min(id_order("id")).alias("first"), F.max(F.octet_length("text")).alias("n_bytes")
     )
-    firsts = written(firsts, "suffix-texts")
+    firsts = written(firsts.withColumn("num", F.monotonically_increasing_id()), "suffix-texts")
     size = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(RANGES, size // (20 * RANGE_ANCHORS))
+    ranges = max(RANGES, size // (14 * RANGE_ANCHORS))
     shared = (
         dealt_anchors(texts, ranges)
         .groupBy("part")
-        .applyInPandas(shared_anchors, "key binary, places binary")
+        .applyInPandas(shared_anchors, "key binary, part int, n bigint, bits binary")
         .groupBy("key")
-        .agg(F.collect_list("places").alias("places"))
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "bits")).alias("places"))
+    )
+    shared = written(
+        shared.join(firsts, "key").select(F.col("key").alias("at"), "num", "first", "n", "places"), "suffix-anchors"
     )
-    shared = written(shared.join(firsts, "key"), "suffix-anchors")
-    keyed = texts.select("ord", text_key().alias("key"), "text")
-    owners = keyed.join(
-        shared.select(F.col("key"), F.col("first"), "places"),
-        (keyed["key"] == shared["key"]) & (keyed["ord"] == shared["first"]),
-    ).select(shared["key"], shared["first"], keyed["text"], shared["places"])
-    parts = written(segments(owners), "suffix-segments")
-    total = parts.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    total = (shared.agg(F.sum("n")).first()[0] or 0) * (WINDOW + (WINDOW - GRAM) // 2)
     shards = max(SHARDS, total // SHARD_BYTES)
+    keyed = texts.select("id", text_key().alias("key"), "text")
+    # No id is below the first one; an equality here would become a part of the exchange's key.
+    owners = keyed.join(shared, (F.col("key") == F.col("at")) & (id_order("id") <= F.col("first")))
     # One row per distinct segment; those that many documents hold are combined in each task.
-    distinct = parts.groupBy("anchor", "segment", "sid").agg(F.min("first").alias("first"))
-    sorted_shards = (
+    distinct = (
+        segments(owners, ranges, True)
+        .groupBy("anchor", "segment")
+        .agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    )
+    fates = (
         distinct.withColumn("shard", F.pmod("anchor", F.lit(shards)))
         .groupBy("shard")
-        .applyInPandas(window_owners, "sid binary, offsets array<bigint>, firsts array<bigint>")
+        .applyInPandas(window_owners, "anchor int, sid bigint, offsets array<bigint>, firsts array<bigint>")
     )
-    fates = written(sorted_shards, "suffix-fates")
     runs = F.arrays_zip(
         F.slice("offsets", F.lit(1), F.size("firsts")).alias("a"),
         F.slice("offsets", F.lit(2), F.size("firsts")).alias("b"),
@@ -292,21 +324,21 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     hits = F.filter("runs", lambda x: x["f"] < F.col("first"))
     spans = (
-        parts.select("key", "first", "start", "sid")
-        .join(fates.select("sid", runs.alias("runs")), "sid")
-        .select("key", "start", hits.alias("hits"))
+        segments(owners, ranges, False)
+        .join(fates.select("anchor", "sid", runs.alias("runs")), ["anchor", "sid"])
+        .select("num", "start", hits.alias("hits"))
         .where(F.size("hits") > F.lit(0))
         .select(
-            "key",
+            "num",
             F.transform("hits", lambda x: F.col("start") + x["a"]).alias("a"),
             F.transform("hits", lambda x: F.col("start") + x["b"] + F.lit(WINDOW - 1)).alias("b"),
         )
-        .groupBy("key")
+        .groupBy("num")
         .agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-        .select("key", F.flatten("a").alias("a"), F.flatten("b").alias("b"))
+        .select("num", F.flatten("a").alias("a"), F.flatten("b").alias("b"))
     )
-    facts = written(firsts.join(spans, "key", "left").select("key", "first", "a", "b"), "suffix-spans")
-    rows = texts.select("id", "ord", text_key().alias("key"), "text").join(facts, "key")
+    facts = firsts.join(spans, "num", "left").select(F.col("key").alias("at"), "first", "a", "b")
+    rows = keyed.join(facts, F.col("key") == F.col("at")).withColumn("ord", id_order("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=3):
