@@ -2,9 +2,11 @@
 
 1. Anchors. In every window of WINDOW bytes the GRAM-byte string with the smallest hash (the leftmost
    of several) is the window's anchor. Equal windows have equal anchors, and an anchor is shared by a
-   run of neighbouring windows. Anchor hashes are dealt by hash ranges, in packed arrays and in the
-   order of the text; a range answers with one bit an anchor: two texts at least have it, or not.
-2. Segments. The run of windows around such an anchor is a segment of its text, some 63 bytes for 14
+   run of neighbouring windows. A window holds its anchor and SIDE bytes before or after it, so hashes
+   of the anchor with either side are dealt by ranges of the anchor's hash, in packed arrays and in the
+   order of the text; a range answers with one bit an anchor: two texts at least have it with the same
+   side, or not.
+2. Segments. The run of windows around such an anchor is a segment of its text, some 66 bytes for 17
    windows. Equal segments are combined in each task before they are shuffled.
 3. Shards. Segments are dealt to shards by anchor, so equal windows meet in one shard. A shard sorts
    the suffixes of its segments by induction (`induced_sort`), and neighbours that agree on WINDOW
@@ -33,7 +35,8 @@ from codecloom.llm.common import id_order, slices, whole_text, written
 from codecloom.llm.induced_sort import sorted_suffixes
 
 WINDOW = 50
-GRAM = 24
+GRAM = 16
+SIDE = (WINDOW - GRAM + 1) // 2
 KEY_BYTES = 12
 RANGES = 24
 RANGE_ANCHORS = 4 << 20
@@ -73,6 +76,25 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield h[at[first]], at[first] + base, first + base, count
 
 
+def sides(text: bytes, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of anchors with the SIDE bytes before them, and after them; without such bytes, of the anchor.
+
+    The bytes are those of the whole text, so they do not depend on its chunks.
+    """
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    out = []
+    for begin in (at - SIDE, at + GRAM):
+        there = np.flatnonzero((begin >= 0) & (begin + SIDE <= len(text)))
+        mixed = h.copy()
+        for k in (*range(0, SIDE - 8, 8), SIDE - 8):
+            x = mixed[there] ^ (words[begin[there] + k] * np.uint64(0x9E3779B97F4A7C15))
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            mixed[there] = x ^ (x >> np.uint64(32))
+        out.append((mixed & np.uint64(0xFFFFFFFF)).astype("<u4"))
+    return out[0], out[1]
+
+
 def dealt(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchors in the order of their hash ranges, and where each range begins. Text order stays within."""
     # Anchors have small high bits, so the low ones are left to tell anchors of a range apart.
@@ -87,38 +109,43 @@ def all_anchors(text: bytes) -> list[np.ndarray]:
 
 
 def dealt_anchors(texts: DataFrame, ranges: int) -> DataFrame:
-    """(part, keys, counts, hashes): anchors of a slice of texts that fall into a hash range.
+    """(part, keys, counts, before, after): anchors of a slice of texts that fall into a hash range.
 
-    Each text with an anchor there has a key and a count; hashes follow in the order of the text.
+    Each text with an anchor there has a key and a count; hashes with the bytes before and after the
+    anchors follow in the order of the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=0, rows=4096, size=16 << 20):
             keys: dict[bytes, int] = {}
-            hashes, owners = [], []
+            hashes, owners, before, after = [], [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 key = hashlib.sha256(text).digest()[:KEY_BYTES]
                 if len(text) < WINDOW or key in keys:
                     continue
-                for h, _, _, _ in anchors(text):
+                for h, at, _, _ in anchors(text):
                     hashes.append(h)
+                    for column, values in zip((before, after), sides(text, h, at)):
+                        column.append(values)
                     owners.append(np.full(len(h), len(keys), dtype="<u2"))
                 keys[key] = len(keys)
             if not keys:
                 continue
             h, owner = np.concatenate(hashes), np.concatenate(owners)
+            left, right = np.concatenate(before), np.concatenate(after)
             names = np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, KEY_BYTES)
             order, bounds = dealt(h, ranges)
             for r in range(ranges):
                 o = order[bounds[r] : bounds[r + 1]]
                 if len(o):
                     held, counts = np.unique(owner[o], return_counts=True)
-                    low = (h[o] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    row = [r, names[held].tobytes(), counts.astype("<u4").tobytes(), low.tobytes()]
+                    arrays = (names[held], counts.astype("<u4"), left[o], right[o])
+                    row = [r, *[x.tobytes() for x in arrays]]
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
 
-    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("keys", "counts", "hashes")]])
-    return texts.select("text").mapInArrow(run, "part int, keys binary, counts binary, hashes binary")
+    columns = ("keys", "counts", "before", "after")
+    schema = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in columns]])
+    return texts.select("text").mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in columns))
 
 
 def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
@@ -127,23 +154,25 @@ def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     head = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel()
     tail = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
     counts = np.frombuffer(b"".join(rows["counts"]), dtype="<u4").astype(np.int64)
-    low = np.frombuffer(b"".join(rows["hashes"]), dtype="<u4")
     # The same text of several slices counts once.
     order = np.lexsort((tail, head))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
     once = np.zeros(len(order), dtype=bool)
     once[order[fresh]] = True
-    low, counts, raw = low[np.repeat(once, counts)], counts[once], raw[once]
+    taken = np.repeat(once, counts)
+    counts, raw = counts[once], raw[once]
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    order = np.argsort(low, kind="stable")
-    at = low[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    ends = np.append(starts[1:], len(at))
-    # Owners ascend within equal hashes, as the sort is stable.
-    several = owner[order[starts]] != owner[order[ends - 1]]
-    flags = np.zeros(len(low), dtype=bool)
-    flags[order] = np.repeat(several, ends - starts)
+    flags = np.zeros(len(owner), dtype=bool)
+    for side in ("before", "after"):
+        low = np.frombuffer(b"".join(rows[side]), dtype="<u4")[taken]
+        order = np.argsort(low, kind="stable")
+        at = low[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        ends = np.append(starts[1:], len(at))
+        # Owners ascend within equal hashes, as the sort is stable.
+        several = owner[order[starts]] != owner[order[ends - 1]]
+        flags[order] |= np.repeat(several, ends - starts)
     begin = np.cumsum(counts) - counts
     n = np.add.reduceat(flags.astype(np.int64), begin)
     found = np.flatnonzero(n)
@@ -290,7 +319,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     firsts = written(firsts.withColumn("num", F.monotonically_increasing_id()), "suffix-texts")
     size = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(RANGES, size // (14 * RANGE_ANCHORS))
+    ranges = max(RANGES, size // (17 * RANGE_ANCHORS))
     shared = (
         dealt_anchors(texts, ranges)
         .groupBy("part")
