@@ -42,11 +42,15 @@ codes AS (
 
 WORD = "'[^ \\t\\r\\n\\f]+'"
 
+# The bytes of a word, each plus 10.
+BYTE_IDS = """array_to_string(list_transform(regexp_extract_all(hex(encode(word)), '..'),
+    lambda x: 16 * strpos('0123456789ABCDEF', x[1]) + strpos('0123456789ABCDEF', x[2]) - 7), ',')"""
+
 VOCAB = UTT + f""",
 vocab AS (
-  SELECT word, 10 + row_number() OVER (ORDER BY md5('vocab:' || word), word) - 1 AS token_id
-  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, {WORD})) AS word FROM utt)
-  WHERE length(word) <= 64
+  SELECT word, 266 + row_number() OVER (ORDER BY n DESC, md5('vocab:' || word), word) - 1 AS token_id
+  FROM (SELECT word, count(*) AS n
+        FROM (SELECT unnest(regexp_extract_all(text, {WORD})) AS word FROM utt) GROUP BY word)
   QUALIFY token_id < 64400),
 prompts AS (
   SELECT utt_id, CASE WHEN language_tag IS NULL THEN text
@@ -55,12 +59,14 @@ prompts AS (
 words AS (
   SELECT utt_id, generate_subscripts(ws, 1) - 1 AS word_pos, unnest(ws) AS word
   FROM (SELECT utt_id, regexp_extract_all(prompt, {WORD}) AS ws FROM prompts)),
-found AS (
-  SELECT utt_id, word_pos, coalesce(token_id, 0) AS token_id
-  FROM words LEFT JOIN vocab USING (word)),
+coded AS (
+  SELECT word, CASE WHEN token_id IS NULL THEN '42,' || {BYTE_IDS} ELSE CAST(token_id AS VARCHAR) END AS ids,
+         CASE WHEN token_id IS NULL THEN 1 + octet_length(encode(word)) ELSE 1 END AS n
+  FROM (SELECT DISTINCT word FROM words) LEFT JOIN vocab USING (word)),
+found AS (SELECT utt_id, word_pos, ids, n FROM words JOIN coded USING (word)),
 toks AS (
-  SELECT utt_id, '1,' || coalesce(string_agg(token_id, ',' ORDER BY word_pos) || ',', '') || '2' AS ts,
-         CAST(2 + count(token_id) AS INTEGER) AS nt
+  SELECT utt_id, '1,' || coalesce(string_agg(ids, ',' ORDER BY word_pos) || ',', '') || '2' AS ts,
+         CAST(2 + coalesce(sum(n), 0) AS INTEGER) AS nt
   FROM prompts LEFT JOIN found USING (utt_id) GROUP BY utt_id)"""
 
 IDS = VOCAB + "," + KEPT + """,
@@ -246,13 +252,13 @@ LENGTHS = ", ".join(
 # The prepared corpus: every row, then a seeded sample of 150 rows without a language tag.
 PREPARED = IDS + f""",
 bare AS (
-  SELECT utt_id, '1,' || coalesce(string_agg(token_id, ',' ORDER BY word_pos) || ',', '') || '2' AS ts,
-         2 + count(token_id) AS nt
+  SELECT utt_id, '1,' || coalesce(string_agg(ids, ',' ORDER BY word_pos) || ',', '') || '2' AS ts,
+         2 + coalesce(sum(n), 0) AS nt
   FROM utt LEFT JOIN (
-    SELECT utt_id, word_pos, coalesce(token_id, 0) AS token_id
+    SELECT utt_id, word_pos, ids, n
     FROM (SELECT utt_id, generate_subscripts(ws, 1) AS word_pos, unnest(ws) AS word
           FROM (SELECT utt_id, regexp_extract_all(text, {WORD}) AS ws FROM utt))
-    LEFT JOIN vocab USING (word)) USING (utt_id) GROUP BY utt_id),
+    JOIN coded USING (word)) USING (utt_id) GROUP BY utt_id),
 sampled AS (
   SELECT CAST(utt_id AS VARCHAR) AS utt_id FROM utt
   QUALIFY {rank('42', 'CAST(utt_id AS VARCHAR)')} < 150),
@@ -659,7 +665,7 @@ GROUP BY seq_id, pos""",
 SELECT seq_id, pos, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS norm
 FROM hidden""",
     ),
-    "token_lookup": q(VOCAB, "SELECT utt_id, CAST(word_pos AS INTEGER) AS word_pos, token_id FROM found"),
+    "token_lookup": q(VOCAB, "SELECT utt_id, CAST(word_pos AS INTEGER) AS word_pos, ids AS token_ids FROM found"),
     "past_token_pairs": q(
         INFLUENCE, "SELECT seq_id, pos, layer, src_pos, round(influence, 6) AS influence FROM infl"
     ),

@@ -606,7 +606,7 @@ def token_lookup(spark, sf):
         "utt_id", F.posexplode(tk.words(F.col("prompt"))).alias("word_pos", "word")
     )
     return tk.lookup_words(exploded, fx.vocabulary(spark, sf), L).select(
-        "utt_id", "word_pos", "token_id"
+        "utt_id", "word_pos", F.array_join(F.col("token_ids").cast("array<string>"), ",").alias("token_ids")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecloom.layout import TokenLayout
-from codecloom.operators.tokens import build_vocabulary
+from codecloom.operators.tokens import vocabulary_of_counts, word_counts
 from codecloom.session import shared_path
 
 # Tiny layout whose 64 ids match the 64 components of the embedding vectors.
@@ -91,12 +91,8 @@ def codec_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(
-        spark,
-        sf_dir,
-        "vocabulary",
-        lambda: build_vocabulary(codec_table(spark, sf_dir), TokenLayout()),
-    )
+    counts = stored(spark, sf_dir, "word_counts", lambda: word_counts(codec_table(spark, sf_dir)))
+    return stored(spark, sf_dir, "vocabulary", lambda: vocabulary_of_counts(counts, TokenLayout()))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,30 @@
-"""Text to token ids: a bounded vocabulary inside Arrow batches, or a relational lookup."""
+"""Text to token ids: a bounded vocabulary inside Arrow batches, or a relational lookup.
+
+No text is lost: a word outside the vocabulary is spelled, as the byte id of a space and the byte ids of
+its UTF-8 form. Words hold no space, so the ids give back the words.
+"""
 
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codecloom.functions.hashing import order_hash
 from codecloom.functions.sequences import language_prompt
 from codecloom.layout import TokenLayout
 from codecloom.operators.ranking import global_rank
 
-# Ids of the word vocabulary.
-UNKNOWN_ID = 0
-FIRST_WORD_ID = 10
+# Ids of the text range: ten for markers, 256 for bytes, then words.
+FIRST_BYTE_ID = 10
+FIRST_WORD_ID = FIRST_BYTE_ID + 256
+SPELLED_ID = FIRST_BYTE_ID + ord(" ")
 
-MAX_WORD_CHARS = 64
+# A vocabulary of more bytes is neither broadcast nor fetched.
+MAX_VOCABULARY_BYTES = 64 << 20
 _SPACE = " \\t\\r\\n\\f"
 
 
@@ -32,36 +38,83 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([^{_SPACE}]+)"), F.lit(1))
 
 
-def build_vocabulary(df: DataFrame, layout: TokenLayout, text: str = "text") -> DataFrame:
-    """Word ids in md5 order. The id space is the text range, so later words stay unknown.
+def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each word occurs. Counted in each task before the shuffle."""
+    return (
+        df.select(F.explode(words(F.col(text))).alias("word"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
-    A vocabulary therefore never has more than `text_vocab_size` rows or words of more than
-    `MAX_WORD_CHARS` characters: that is its proven size bound.
+
+def vocabulary_of_counts(counts: DataFrame, layout: TokenLayout) -> DataFrame:
+    """(word, token_id) of the most frequent words, ties in md5 order, as many as the text range holds.
+
+    `counts` is read several times and should be a stored table. The lowest count that still fits is
+    found on the histogram of counts (N words have at most sqrt(2 N) different ones); of the words with
+    that count as many are taken as there is room for. Only the chosen words are numbered in one task.
     """
-    distinct = (
-        df.select(F.explode(words(F.col(text))).alias("word"))
-        .where(F.length("word") <= MAX_WORD_CHARS)
-        .distinct()
+    room = max(0, layout.text_vocab_size - FIRST_WORD_ID)
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    cut = (
+        counts.groupBy("n")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(above), F.lit(0)))
+        .where(F.col("before") < F.lit(room))
+        .agg(F.min("n").alias("n"), F.max("before").alias("before"))
+        .first()
+    )
+    lowest, before = (cut["n"], cut["before"]) if cut["n"] is not None else (0, 0)
+    ties = global_rank(counts.where(F.col("n") == F.lit(lowest)), ["word"], "vocab", "__rank")
+    chosen = (
+        counts.where((F.col("n") > F.lit(lowest)) & F.lit(cut["n"] is not None))
+        .unionByName(ties.where(F.col("__rank") < F.lit(room - before)).drop("__rank"))
+        .withColumn("__hash", order_hash(["word"], "vocab"))
     )
-    ranked = global_rank(distinct, ["word"], "vocab", "__rank")
-    return ranked.select(
-        "word", (F.col("__rank") + F.lit(FIRST_WORD_ID)).cast("bigint").alias("token_id")
-    ).where(F.col("token_id") < F.lit(layout.text_vocab_size))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "__hash", "word"))
+    return chosen.select("word", (place + F.lit(FIRST_WORD_ID - 1)).cast("bigint").alias("token_id"))
+
+
+def build_vocabulary(df: DataFrame, layout: TokenLayout, text: str = "text") -> DataFrame:
+    """The vocabulary of a table's texts; store `word_counts` and number those for a large corpus."""
+    return vocabulary_of_counts(word_counts(df, text), layout)
+
+
+def vocabulary_bytes(vocab: DataFrame, layout: TokenLayout) -> int:
+    """Size of the words of a vocabulary. Bad ids, words that occur twice or NULL raise an error."""
+    facts = vocab.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("word").alias("words"),
+        F.count_if(~F.coalesce(F.col("token_id").between(FIRST_WORD_ID, layout.text_vocab_size - 1), F.lit(False)))
+        .alias("outside"),
+        F.coalesce(F.sum(F.octet_length("word").cast("bigint")), F.lit(0)).alias("bytes"),
+    ).first()
+    if facts["outside"]:
+        raise ValueError(f"{facts['outside']} ids are not in [{FIRST_WORD_ID}, {layout.text_vocab_size})")
+    if facts["rows"] != facts["words"]:
+        raise ValueError("a word of the vocabulary is NULL or occurs twice")
+    return facts["bytes"]
+
+
+def spelled(word: Column) -> Column:
+    """Ids of a word outside the vocabulary."""
+    pairs = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("(..)"), F.lit(1))
+    ids = F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("bigint") + F.lit(FIRST_BYTE_ID))
+    return F.concat(F.array(F.lit(SPELLED_ID).cast("bigint")), ids)
 
 
 def lookup_words(exploded: DataFrame, vocab: DataFrame, layout: TokenLayout) -> DataFrame:
-    """Left equi-join of a `word` column with the vocabulary; unknown words get `UNKNOWN_ID`.
+    """Column `token_ids` for a `word` column: the vocabulary's id, or the spelled word.
 
-    The broadcast side is cut to ids of the text range and words of `MAX_WORD_CHARS`, so it holds
-    at most `text_vocab_size` short rows.
+    The vocabulary is broadcast when its measured size allows; else the planner chooses the join.
     """
-    bounded = vocab.where(
-        F.col("token_id").between(0, layout.text_vocab_size - 1)
-        & (F.length("word") <= MAX_WORD_CHARS)
-    ).select("word", "token_id")
-    return exploded.join(F.broadcast(bounded), "word", "left").withColumn(
-        "token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID).cast("bigint"))
+    small = vocabulary_bytes(vocab, layout) <= MAX_VOCABULARY_BYTES
+    known = vocab.select("word", F.col("token_id").cast("bigint").alias("token_id"))
+    found = exploded.join(F.broadcast(known) if small else known, "word", "left")
+    ids = F.when(F.col("token_id").isNotNull(), F.array("token_id")).when(
+        F.col("word").isNotNull(), spelled(F.col("word"))
     )
+    return found.withColumn("token_ids", ids).drop("token_id")
 
 
 def text_tokens_by_join(
@@ -69,18 +122,19 @@ def text_tokens_by_join(
 ) -> DataFrame:
     """(keys, text_tokens) by exploding the prompt, joining the vocabulary and regrouping by key.
 
-    Only keys and words are shuffled. A prompt is one row's text, so a group is bounded by it.
+    `keys` must be unique. Only keys and words are shuffled. A prompt is one row's text, so a group is
+    bounded by it. `WordTokenizer` gives the same ids without a shuffle.
     """
     exploded = (
         add_prompt(df)
         .select(*keys, F.posexplode_outer(words(F.col("prompt"))).alias("word_pos", "word"))
     )
     found = lookup_words(exploded, vocab, layout)
-    item = F.when(F.col("word").isNotNull(), F.struct("word_pos", "token_id"))
-    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["token_id"])
+    item = F.when(F.col("word").isNotNull(), F.struct("word_pos", "token_ids"))
+    ordered = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["token_ids"])
     return (
         found.groupBy(*keys)
-        .agg(ordered.alias("__ids"))
+        .agg(F.flatten(ordered).alias("__ids"))
         .withColumn(
             "text_tokens",
             F.concat(
@@ -96,39 +150,50 @@ def text_tokens_by_join(
 class WordTokenizer:
     """Arrow tokenizer over a bounded vocabulary: no shuffle and no per-row Python.
 
-    The vocabulary is fetched once (it may not exceed the text range, which is checked) and sent
-    to the executors as a Spark broadcast; each Arrow batch is one vectorised lookup.
+    The vocabulary is fetched once (its ids and its size are checked) and sent to the executors as a
+    Spark broadcast. A worker builds its index once, looks up the different words of an Arrow batch
+    and gathers their ids.
     """
 
     def __init__(self, vocab: DataFrame, layout: TokenLayout):
-        bound = layout.text_vocab_size
-        table = (
-            vocab.where(F.length("word") <= MAX_WORD_CHARS)
-            .select("word", "token_id")
-            .limit(bound + 1)
-            .toArrow()
-        )
-        if table.num_rows > bound:
+        if vocabulary_bytes(vocab, layout) > MAX_VOCABULARY_BYTES:
             raise ValueError(
-                f"vocabulary has more than {bound} words; use text_tokens_by_join instead"
+                f"vocabulary of more than {MAX_VOCABULARY_BYTES} bytes; use text_tokens_by_join instead"
             )
-        spark = vocab.sparkSession
-        self._shared = spark.sparkContext.broadcast(
-            (table.column("word").to_pylist(), np.asarray(table.column("token_id")))
+        table = vocab.select("word", F.col("token_id").cast("bigint").alias("token_id")).toArrow()
+        self._shared = vocab.sparkSession.sparkContext.broadcast(
+            (table.column("word").to_pylist(), table.column("token_id").to_numpy())
         )
 
     def column(self, prompt: Column) -> Column:
         """Token ids of a prompt, without start and end markers."""
         shared = self._shared
+        first, lead = FIRST_BYTE_ID, SPELLED_ID
 
         @F.arrow_udf(T.ArrayType(T.LongType()))
-        def encode(batch: pa.Array) -> pa.Array:
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known, ids = shared.value
-            flat = batch.flatten()
-            found = pc.index_in(flat, value_set=pa.array(known, flat.type))
-            tokens = pc.fill_null(pc.take(pa.array(ids, pa.int64()), found), UNKNOWN_ID)
-            offsets = pc.subtract(batch.offsets, batch.offsets[0])
-            return pa.ListArray.from_arrays(offsets.cast(pa.int32()), tokens)
+            index = pd.Index(known, dtype=object)
+            for batch in batches:
+                coded = batch.flatten().dictionary_encode()
+                different = coded.dictionary.cast(pa.large_binary())
+                place = index.get_indexer(pd.Index(coded.dictionary.to_pylist(), dtype=object))
+                text = np.frombuffer(b"".join(different.to_pylist()), dtype=np.uint8)
+                size = np.fromiter(map(len, different.to_pylist()), dtype=np.int64, count=len(different))
+                # One run of ids for each different word: its id, or a space and its bytes.
+                runs = np.where(place >= 0, 1, size + 1)
+                begin = np.cumsum(runs) - runs
+                flat = np.full(int(runs.sum()), lead, dtype=np.int64)
+                flat[begin[place >= 0]] = ids[place[place >= 0]]
+                out = np.repeat(place < 0, size)
+                shift = begin + 1 - (np.cumsum(size) - size)
+                flat[(np.repeat(shift, size) + np.arange(len(text)))[out]] = text[out].astype(np.int64) + first
+                codes = coded.indices.to_numpy()
+                counts = runs[codes]
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                tokens = flat[np.repeat(begin[codes] - ends[:-1], counts) + np.arange(ends[-1])]
+                rows = batch.offsets.to_numpy() - batch.offsets[0].as_py()
+                yield pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(tokens))
 
         return encode(words(prompt))
 

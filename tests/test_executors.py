@@ -18,7 +18,7 @@ spark = local_session(2, memory="1g")
 L = TokenLayout()
 df = spark.createDataFrame([("a b", [1.0, 2.0], 1, [5, 64410])],
                            "p string, x array<float>, y bigint, ids array<bigint>")
-vocab = spark.createDataFrame([("a", 10)], "word string, token_id bigint")
+vocab = spark.createDataFrame([("a", 300)], "word string, token_id bigint")
 row = df.select(
     arrow_reducer(2)("x", "y").alias("r"),
     sequence_positions(L)("ids").alias("q"),
@@ -35,4 +35,4 @@ def test_from_another_folder(tmp_path):
         [sys.executable, "-c", SCRIPT.format(root=root)],
         cwd=tmp_path, capture_output=True, text=True, timeout=300,
     )
-    assert out.stdout.strip().endswith("[1, 0] [0.0, 1.0] [10, 0] [3]"), out.stderr[-2000:]
+    assert out.stdout.strip().endswith("[1, 0] [0.0, 1.0] [300, 42, 108] [3]"), out.stderr[-2000:]

@@ -5,7 +5,25 @@ from codecloom.layout import TokenLayout
 from codecloom.operators import tokens as tk
 from tests.helpers import L, one
 
-SMALL = TokenLayout(text_vocab_size=13)
+W = tk.FIRST_WORD_ID
+SMALL = TokenLayout(text_vocab_size=W + 3)
+
+
+def spell(word):
+    return [tk.SPELLED_ID, *[b + tk.FIRST_BYTE_ID for b in word.encode()]]
+
+
+def read_words(ids, names):
+    """The words that ids stand for."""
+    out = []
+    for i in ids:
+        if i >= W:
+            out.append(bytes(names[i], "utf-8"))
+        elif i == tk.SPELLED_ID:
+            out.append(b"")
+        else:
+            out[-1] += bytes([i - tk.FIRST_BYTE_ID])
+    return [w.decode() for w in out]
 
 
 @pytest.fixture(scope="module")
@@ -22,11 +40,16 @@ def texts(spark):
 @pytest.fixture(scope="module")
 def vocab(spark):
     return spark.createDataFrame(
-        [("the", 10), ("cat", 11), ("sat", 12), ("en:", 13), ("end", 14)], "word string, token_id bigint"
+        [("the", W), ("cat", W + 1), ("sat", W + 2), ("en:", W + 3), ("end", W + 4)], "word string, token_id bigint"
     )
 
 
-WANT = {1: [1, 13, 10, 11, 12, 2], 2: [1, 10, 14, 2], 3: [1, 2], 4: [1, 0, 0, 0, 2]}
+WANT = {
+    1: [1, W + 3, W, W + 1, W + 2, 2],
+    2: [1, W, W + 4, 2],
+    3: [1, 2],
+    4: [1, *spell("fr:"), *spell("unknown-word"), *spell("x" * 70), 2],
+}
 
 
 def test_prompt(texts):
@@ -55,21 +78,56 @@ def test_own_tokenizer(texts):
 
 
 def test_vocabulary_stays_in_the_text_range(spark):
-    df = spark.createDataFrame([("a b c d e a a " + "y" * 80,)], "text string")
-    full = tk.build_vocabulary(df, L)
-    assert {r.word for r in full.collect()} == set("abcde")
-    assert sorted(r.token_id for r in full.collect()) == [10, 11, 12, 13, 14]
-    assert sorted(r.token_id for r in tk.build_vocabulary(df, SMALL).collect()) == [10, 11, 12]
-
-
-def test_vocabulary_over_the_bound_is_refused(spark):
-    big = spark.range(20).select(F.col("id").cast("string").alias("word"), F.col("id").alias("token_id"))
+    df = spark.createDataFrame([("a b c d e a a " + "y" * 80,), ("b b c",), (None,), ("",)], "text string")
+    full = {r.word: r.token_id for r in tk.build_vocabulary(df, L).collect()}
+    assert set(full) == {*"abcde", "y" * 80}
+    assert sorted(full.values()) == list(range(W, W + 6))
+    # By count; words of one count by md5.
+    assert {full["a"], full["b"]} == {W, W + 1} and full["c"] == W + 2
+    few = {r.word: r.token_id for r in tk.build_vocabulary(df, SMALL).collect()}
+    assert few == {k: v for k, v in full.items() if v < W + 3}
+    four = tk.build_vocabulary(df, TokenLayout(text_vocab_size=W + 4)).collect()
+    assert {r.word: r.token_id for r in four} == {k: v for k, v in full.items() if v < W + 4}
+    assert tk.build_vocabulary(df, TokenLayout(text_vocab_size=W)).count() == 0
+    assert tk.build_vocabulary(df.where("false"), L).count() == 0
+
+
+def test_tokens_give_back_the_words(spark):
+    texts = ["a a b  c", "日本 naïve a", "zz\tzz 🙂 b", "", None, "x" * 5000 + " a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "utt_id bigint, text string")
+    df = df.withColumn("language_tag", F.lit(None).cast("string"))
+    for layout in (SMALL, L, TokenLayout(text_vocab_size=W)):
+        vocab = tk.build_vocabulary(df, layout)
+        names = {r.token_id: r.word for r in vocab.collect()}
+        arrow = tk.add_text_tokens(df, tk.WordTokenizer(vocab, layout).column, layout)
+        joined = tk.text_tokens_by_join(df, vocab, layout)
+        got = {r.utt_id: r.text_tokens for r in arrow.collect()}
+        assert got == {r.utt_id: r.text_tokens for r in joined.collect()}
+        for i, text in enumerate(texts):
+            assert read_words(got[i][1:-1], names) == (text or "").split()
+
+
+def test_bad_vocabularies_are_refused(spark):
+    def words(*rows):
+        return spark.createDataFrame(list(rows), "word string, token_id bigint")
+
+    for bad in (words(("a", W - 1)), words(("a", W + 3)), words(("a", W), ("a", W + 1)), words((None, W)), words(("a", None))):
+        with pytest.raises(ValueError):
+            tk.WordTokenizer(bad, SMALL)
+        with pytest.raises(ValueError):
+            tk.lookup_words(spark.createDataFrame([("a",)], "word string"), bad, SMALL)
+
+
+def test_large_vocabularies_are_joined_without_broadcast(spark, texts, vocab, monkeypatch):
+    monkeypatch.setattr(tk, "MAX_VOCABULARY_BYTES", 3)
     with pytest.raises(ValueError):
-        tk.WordTokenizer(big, SMALL)
+        tk.WordTokenizer(vocab, L)
+    out = tk.text_tokens_by_join(texts, vocab, L)
+    assert {r.utt_id: r.text_tokens for r in out.collect()} == WANT
 
 
 def test_hot_word_is_not_shuffled_by_word(spark, vocab):
     hot = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "the").otherwise("cat").alias("word"))
     out = tk.lookup_words(hot, vocab, L)
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
-    assert one(out.agg(F.sum("token_id").alias("s"))).s == 666 * 10 + 334 * 11
+    assert one(out.agg(F.sum(F.col("token_ids")[0]).alias("s"))).s == 666 * W + 334 * (W + 1)
