@@ -432,7 +432,7 @@ arrays AS (
          md5(string_agg(d, ',' ORDER BY i)) AS nano_layer_4
   FROM fr GROUP BY utt_id)""",
         """
-SELECT utt_id, text, 'EN' AS language_tag, encoded_len, nano_layer_1, nano_layer_2, nano_layer_3,
+SELECT utt_id, text, 'EN' AS language_tag, CAST(encoded_len AS BIGINT) AS encoded_len, nano_layer_1, nano_layer_2, nano_layer_3,
        nano_layer_4, CAST(len(speaker_emb) AS INTEGER) AS speaker_dim
 FROM spk JOIN arrays USING (utt_id)""",
     ),
@@ -787,15 +787,15 @@ SELECT step, round(early_alpha, 6) AS early_alpha, round(late_alpha, 6) AS late_
         UTT,
         """
 SELECT utt_id, language_tag, encoded_len, CAST(o AS INTEGER) AS source_ord
-FROM utt JOIN (SELECT unnest(['en', 'fr', 'de', 'es', 'en']) AS l, unnest(range(5)) AS o) s
-  ON s.l = language_tag""",
+FROM utt JOIN (SELECT unnest(['en', 'fr', 'de', 'rest', 'en']) AS l, unnest(range(5)) AS o) s
+  ON s.l = CASE WHEN language_tag IN ('en', 'fr', 'de') THEN language_tag ELSE 'rest' END""",
     ),
     "source_cap": q(
         UTT,
         """
 SELECT utt_id, language_tag, encoded_len, CAST(o AS INTEGER) AS source_ord
-FROM utt JOIN (SELECT unnest(['en', 'fr', 'de', 'es', 'en']) AS l, unnest(range(5)) AS o,
-                      unnest([50, 60, NULL, 100000, 0]) AS cap) s ON s.l = language_tag
+FROM utt JOIN (SELECT unnest(['en', 'fr', 'de', 'rest', 'en']) AS l, unnest(range(5)) AS o,
+                      unnest([50, 60, NULL, 100000, 0]) AS cap) s ON s.l = CASE WHEN language_tag IN ('en', 'fr', 'de') THEN language_tag ELSE 'rest' END
 QUALIFY cap IS NULL OR row_number() OVER (PARTITION BY o ORDER BY md5('42:' || utt_id), utt_id) <= cap
 """,
     ),
@@ -810,8 +810,9 @@ FROM (SELECT utt_id, """ + rank("7:0") + " AS r FROM utt)",
     "eval_batch_limit": q(
         LOG,
         """
-SELECT step, batch_id, metric, round(value, 6) AS value FROM log
-WHERE batch_id < 5 AND (value IS NULL OR NOT isnan(value))""",
+SELECT step, batch_id, metric, coalesce(isnan(value), false) AS is_nan,
+       CASE WHEN NOT isnan(value) THEN round(value, 6) END AS value
+FROM log WHERE batch_id < 5""",
     ),
     "layer_sort": q(
         PARAMS,

@@ -705,8 +705,11 @@ def metric_table(spark, sf):
 
 
 def _by_language(spark, sf):
+    """Five sources: three languages, all other rows, and the first language again."""
     base = rows(spark, sf).select("utt_id", "language_tag", "encoded_len")
-    return [base.where(F.col("language_tag") == lang) for lang in ("en", "fr", "de", "es", "en")]
+    en, fr, de = (base.where(F.col("language_tag") == lang) for lang in ("en", "fr", "de"))
+    rest = base.where(~F.coalesce(F.col("language_tag").isin("en", "fr", "de"), F.lit(False)))
+    return [en, fr, de, rest, en]
 
 
 def ordered_union(spark, sf):
@@ -733,7 +736,9 @@ def batch_assign(spark, sf):
 
 
 def eval_batch_limit(spark, sf):
-    return r6(sm.first_batches(fx.metric_log(spark, sf), 5).where(~F.isnan("value")))
+    first = sm.first_batches(fx.metric_log(spark, sf), 5)
+    flagged = first.withColumn("is_nan", F.coalesce(F.isnan("value"), F.lit(False)))
+    return r6(flagged.withColumn("value", F.when(~F.col("is_nan"), F.col("value"))))
 
 
 def layer_sort(spark, sf):

@@ -26,12 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """A table of fewer files than cores is read by a few tasks only; spread it for the array work.
-
-    A table of many files already has its parallelism and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4, key) if len(df.inputFiles()) < cores else df
+    """Spread by key for the array work: a file of one row group is read by a single task."""
+    spark = df.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(spark.sparkContext.defaultParallelism * 4, shuffled), key)
 
 
 def codec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

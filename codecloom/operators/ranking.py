@@ -60,6 +60,33 @@ def global_rank(
     )
 
 
+def group_heads(
+    df: DataFrame,
+    keys: Sequence[str],
+    n: int,
+    groups: Sequence[str],
+    seed: int | str = 42,
+    digits: int = PREFIX_DIGITS,
+) -> DataFrame:
+    """The first `n` rows of each group in the order (md5(seed:keys), keys); NULL is a group, too.
+
+    Only prefixes that reach into the first `n` rows are joined and numbered.
+    """
+    hashed = _with_hash(df, keys, seed, digits)
+    offsets = _prefix_offsets(hashed.select(*groups, _HASH, _PREFIX), groups).where(F.col(_BEFORE) < F.lit(n))
+    ahead = offsets.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(_PREFIX).alias("__p"), _BEFORE)
+    same = F.col(_PREFIX) == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inner = Window.partitionBy(*groups, _PREFIX).orderBy(_HASH, *keys)
+    return (
+        hashed.join(ahead, same)
+        .withColumn("__n", F.col(_BEFORE) + F.row_number().over(inner))
+        .where(F.col("__n") <= F.lit(n))
+        .select(*df.columns)
+    )
+
+
 def batch_places(
     df: DataFrame,
     keys: Sequence[str],

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecloom.functions.hashing import order_hash
-from codecloom.operators.ranking import PREFIX_DIGITS, batch_places, global_rank, seeded_cap
+from codecloom.operators.ranking import PREFIX_DIGITS, batch_places, global_rank, group_heads, seeded_cap
 
 KEYS = ("utt_id",)
 
@@ -75,13 +74,8 @@ def sample_targets(
 ) -> DataFrame:
     """At most `max_samples` scored positions per audio layer (and per `by` group).
 
-    The rank filter becomes a group limit below the exchange, so each task sends at most
-    `max_samples` rows per layer however large a layer is.
+    The first ones in the order of a hash. Prefixes of the hash are counted per group, whole prefixes
+    behind the last sample are left out, and rows are numbered within a prefix: no task gets a whole
+    layer, whatever the number of samples. `targets` is read twice, once for its keys only.
     """
-    span = Window.partitionBy(*by, "layer").orderBy(order_hash(keys, seed), *keys)
-    return (
-        targets.where(F.col("layer").isNotNull())
-        .withColumn("__n", F.row_number().over(span))
-        .where(F.col("__n") <= F.lit(max_samples))
-        .drop("__n")
-    )
+    return group_heads(targets.where(F.col("layer").isNotNull()), keys, max_samples, [*by, "layer"], seed)

@@ -12,6 +12,10 @@ from codecloom.functions.codec import within_duration
 from codecloom.layout import TokenLayout
 
 
+# Lengths are stored as 32-bit numbers.
+MAX_LENGTH = 2**31 - 1
+
+
 def reject_reason(layout: TokenLayout) -> Column:
     """First reason why a row is unusable, or NULL for a good row."""
     layers = [F.col(c) for c in layout.layer_columns]
@@ -22,6 +26,7 @@ def reject_reason(layout: TokenLayout) -> Column:
 
     return (
         F.when(F.col("encoded_len").isNull(), "null_len")
+        .when(F.col("encoded_len") > F.lit(MAX_LENGTH), "long_len")
         .when(F.col("text").isNull(), "null_text")
         .when(either([c.isNull() for c in layers]), "null_layer")
         .when(either([s != sizes[0] for s in sizes[1:]] or [F.lit(False)]), "ragged_layers")
@@ -38,6 +43,7 @@ def accepted(df: DataFrame, layout: TokenLayout) -> DataFrame:
     """Rows without a reject reason, as separate conditions so that the reader gets what it can."""
     layers = [F.col(c) for c in layout.layer_columns]
     good = df.where(F.col("encoded_len").isNotNull() & F.col("text").isNotNull())
+    good = good.where(F.col("encoded_len") <= F.lit(MAX_LENGTH))
     good = good.where(layers[0].isNotNull() & (F.size(layers[0]) > 0))
     for layer in layers[1:]:
         good = good.where(layer.isNotNull() & (F.size(layer) == F.size(layers[0])))

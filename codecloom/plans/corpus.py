@@ -51,7 +51,8 @@ def training_columns(df: DataFrame, derived: bool = True) -> DataFrame:
     """
     keys = [k for k in ORDER_KEYS if k in df.columns]
     skipped = () if derived else DERIVED_COLUMNS
-    full = add_labels_and_mask(df) if derived else df
+    whole = df.withColumn("encoded_len", F.col("encoded_len").cast("int"))
+    full = add_labels_and_mask(whole) if derived else whole
     return full.select(*keys, *[c for c in TRAINING_COLUMNS if c not in skipped])
 
 

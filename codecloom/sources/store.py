@@ -42,8 +42,11 @@ def open_training(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_training(spark: SparkSession, path: str, seed: int, epoch: int = 0) -> DataFrame:
-    """Open a saved corpus and give each row its place in the shuffled order of an epoch."""
-    return shuffle_rank(open_training(spark, path), seed, epoch)
+    """Open a saved corpus and give each row its place in the shuffled order of an epoch.
+
+    Sources may share ids, so the order follows the source and the id.
+    """
+    return shuffle_rank(open_training(spark, path), seed, epoch, keys=("source_ord", "utt_id"))
 
 
 def save_length_stats(df: DataFrame, path: str) -> bool:

@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codecloom.config import SourceConfig
 from codecloom.functions.codec import duration_seconds, shift_layers, without_repeats
 from codecloom.operators.codes import (
     add_codes,
@@ -11,6 +12,7 @@ from codecloom.operators.codes import (
     filter_duration,
     nonempty_codes,
 )
+from codecloom.sources.load import load_source
 from tests.helpers import L, layers, one
 
 A, B = (1, 2, 3, 4), (5, 6, 7, 8)
@@ -93,6 +95,17 @@ def test_duration_filter_reaches_the_reader(spark, tmp_path):
     assert "LessThanOrEqual(encoded_len,500)" in plan
 
 
+def test_duration_filter_of_a_source_reaches_the_reader(spark, tmp_path):
+    for kind in ("int", "bigint"):
+        path = str(tmp_path / kind)
+        columns = [f"array(1) {c}" for c in L.layer_columns]
+        spark.range(1000).selectExpr(f"cast(id as {kind}) n", "'t' text", *columns).write.parquet(path)
+        source = load_source(spark, SourceConfig(path=path, name="s", encoded_len_col="n"), 0, L)
+        capped = filter_duration(source, 40.04)
+        assert "LessThanOrEqual(n,500)" in capped._jdf.queryExecution().toString()
+        assert capped.count() == 501
+
+
 def test_empty_and_null_codes_are_dropped(spark):
     df = spark.createDataFrame([(1, [1]), (2, []), (3, None)], "id int, codes array<int>")
     assert [r.id for r in nonempty_codes(df).collect()] == [1]

@@ -96,6 +96,22 @@ def test_target_sample_is_bounded_per_layer_even_if_one_layer_is_hot(spark):
         F.col("id").alias("pos"),
         F.when(F.col("id") % 50 == 0, 1).when(F.col("id") % 3 > 0, 0).alias("layer"),
     )
-    out = sample_targets(df, 32)
-    assert {r.layer: r["count"] for r in out.groupBy("layer").count().collect()} == {0: 32, 1: 32}
-    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    places = {}
+    for row in df.where("layer is not null").collect():
+        order = hashlib.md5(f"42:{row.seq_id}:{row.pos}".encode()).hexdigest()
+        places.setdefault(row.layer, []).append((order, row.pos))
+    for n in (0, 1, 32, 2000, 5000):
+        out = sample_targets(df, n)
+        assert out.columns == df.columns
+        want = {(k, pos) for k, v in places.items() for _, pos in sorted(v)[:n]}
+        got = [(r.layer, r.pos) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_target_sample_of_groups_with_null(spark):
+    df = spark.createDataFrame(
+        [(s, p, p % 2, None if s == 0 else s) for s in range(3) for p in range(40)],
+        "seq_id int, pos int, layer int, step int",
+    )
+    out = sample_targets(df, 7, by=("step",))
+    assert [r["count"] for r in out.groupBy("step", "layer").count().collect()] == [7] * 6
