@@ -733,6 +733,16 @@ SELECT layer, round(text_influence, 6) AS text_influence,
         """
 SELECT metric, round(avg(value), 6) AS value FROM log
 WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric""",
+    ),
+    "batch_evaluation": q(
+        SCORED,
+        """
+SELECT step, metric, round(avg(value), 6) AS value
+FROM (SELECT seq_id // 5 AS step, seq_id, 'metrics/loss' AS metric, avg(nll) AS value FROM nll GROUP BY seq_id
+      UNION ALL SELECT seq_id // 5, seq_id, 'metrics/text_ppl', exp(avg(nll)) FROM nll WHERE is_text GROUP BY seq_id
+      UNION ALL SELECT seq_id // 5, seq_id, 'metrics/layer_' || layer || '_ppl', exp(avg(nll)) FROM nll
+                WHERE layer IS NOT NULL GROUP BY seq_id, layer)
+WHERE seq_id % 5 < 3 GROUP BY step, metric""",
     ),
     "alpha_stats": q(
         PARAMS,

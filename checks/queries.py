@@ -168,8 +168,7 @@ def prediction_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    p = fx.predictions(spark, sf)
-    return sc.score_positions(p, p.drop("logits"), TINY)
+    return sc.score_aligned(fx.aligned_predictions(spark, sf), TINY)
 
 
 def targets_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -676,6 +675,15 @@ def eval_mean(spark, sf):
     return r6(rm.eval_mean(fx.metric_log(spark, sf)))
 
 
+def batch_evaluation(spark, sf):
+    """Sequences stand for batches here: five batches a step, of which the first three count."""
+    s = F.col("seq_id")
+    batches = fx.aligned_predictions(spark, sf).withColumns(
+        {"step": F.floor(s / F.lit(5)).cast("bigint"), "batch_id": s % F.lit(5)}
+    )
+    return r6(ev.batch_evaluation(batches, TINY, 3))
+
+
 def alpha_stats(spark, sf):
     return r6(ar.alpha_stats(alphas(spark, sf)))
 
@@ -842,7 +850,7 @@ QUERIES: dict[str, Query] = {
         token_lookup, layer_range_join, past_token_pairs,
         length_stats, corpus_preparation, stage_counts, layer_ppl, text_ppl, ppl_summary,
         layer_confusion, confusion_normalized, confusion_summary, output_variance,
-        influence_share, eval_mean, alpha_stats, alpha_metrics, alpha_report, alpha_early_late, lm_loss,
+        influence_share, eval_mean, batch_evaluation, alpha_stats, alpha_metrics, alpha_report, alpha_early_late, lm_loss,
         metric_table,
         ordered_union, source_cap, training_shuffle, influence_sample, batch_assign,
         eval_batch_limit, layer_sort,

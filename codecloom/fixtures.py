@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecloom.layout import TokenLayout
+from codecloom.operators.scoring import align_logits
 from codecloom.operators.tokens import vocabulary_of_counts, word_counts
 from codecloom.session import shared_path
 
@@ -107,6 +108,16 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def aligned_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits stored next to their targets, as a model run should write them."""
+
+    def build() -> DataFrame:
+        p = predictions(spark, sf_dir)
+        return align_logits(p, p.drop("logits"), TINY)
+
+    return stored(spark, sf_dir, "aligned", build)
+
+
 def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("model_layer"),

@@ -55,7 +55,7 @@ def score_aligned(
     """One row per position: label, layer, nll, topk. The logits end here. No exchange.
 
     `aligned` has logits and target side by side. A writer that has the labels at hand should
-    store its logits like that: the join of `score_positions` then falls away.
+    store its logits like that, or `align_logits` be stored once: then no metric moves logits again.
     """
     reduced = aligned.withColumn(
         "__r", reduce_logits(F.col("logits"), F.col("label"), layout, top_k, wide)
@@ -72,6 +72,19 @@ def score_aligned(
     )
 
 
+def align_logits(
+    logits: DataFrame, labels: DataFrame, layout: TokenLayout, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, seq_id, pos, logits, label): logits with their shifted target, scored positions only.
+
+    Keys are (by, seq_id, pos), which no hot sequence can skew. Targets are a few narrow columns;
+    the planner broadcasts them when their measured size allows and joins by shuffle otherwise.
+    Positions without a partner on the other side drop out; `unmatched_positions` counts them.
+    """
+    targets = scored_targets(labels, layout, by).drop("layer", "is_text")
+    return logits.select(*by, "seq_id", "pos", "logits").join(targets, [*by, "seq_id", "pos"])
+
+
 def score_positions(
     logits: DataFrame,
     labels: DataFrame,
@@ -80,15 +93,8 @@ def score_positions(
     by: Sequence[str] = (),
     wide: bool | None = None,
 ) -> DataFrame:
-    """Join logits with their shifted targets and reduce them.
-
-    Keys are (by, seq_id, pos), which no hot sequence can skew. Targets are a few narrow columns;
-    the planner broadcasts them when their measured size allows and joins by shuffle otherwise.
-    Positions without a partner on the other side drop out; `unmatched_positions` counts them.
-    """
-    targets = scored_targets(labels, layout, by).drop("layer", "is_text")
-    joined = logits.select(*by, "seq_id", "pos", "logits").join(targets, [*by, "seq_id", "pos"])
-    return score_aligned(joined, layout, top_k, by, wide)
+    """`align_logits` and `score_aligned` in one plan, for logits that are scored once."""
+    return score_aligned(align_logits(logits, labels, layout, by), layout, top_k, by, wide)
 
 
 def unmatched_positions(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from codecloom.layout import TokenLayout
 from codecloom.operators import scoring as sc
 from codecloom.operators.attention_stats import output_variance, variance_per_output
-from codecloom.operators.run_metrics import TRAIN_PREFIX, long_metrics
+from codecloom.operators.run_metrics import TRAIN_PREFIX, eval_mean, long_metrics
+from codecloom.operators.sampling import first_batches
 
 SUMMARY_METRICS = (
     "text_ppl",
@@ -61,6 +62,25 @@ def metric_table(row: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) ->
     return long_metrics(named, [f"layer_{k}_ppl" for k in layers] + cells + list(SUMMARY_METRICS), by)
 
 
+def batch_evaluation(
+    aligned: DataFrame,
+    layout: TokenLayout,
+    max_batches: int = 10,
+    by: Sequence[str] = ("step",),
+    batch: str = "batch_id",
+) -> DataFrame:
+    """(by, metric, value): loss and perplexities of each batch, averaged over the first batches.
+
+    Later batches are left out before their logits are read. A batch without a value for a metric
+    does not count in its mean.
+    """
+    keys = [*by, batch]
+    scored = sc.score_aligned(first_batches(aligned, max_batches, batch), layout, by=keys)
+    layers = {f"layer_{k}_ppl": F.col("ppl")[k] for k in range(layout.num_audio_layers)}
+    totals = sc.score_totals(scored, layout, keys).withColumns(layers)
+    return eval_mean(long_metrics(totals, ["loss", "text_ppl", *layers], keys), by)
+
+
 def influence_metrics(shares: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long form of influence shares; layers without influence have no rows."""
     kinds = ("text_influence", "same_layer_influence", "cross_layer_influence")

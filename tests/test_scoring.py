@@ -239,3 +239,15 @@ def test_both_forms_agree_on_odd_vectors(spark):
     nll = [r["r"]["nll"] for r in out[0]]
     assert abs(nll[0] - 0.31326168751822286) < 1e-12 and nll[1] is None and nll[2] != nll[2]
     assert nll[9] == inf and out[0][4]["r"]["topk"] is None
+
+
+def test_scoring_of_stored_aligned_logits_moves_no_logits(spark, tables, tmp_path):
+    path = str(tmp_path / "aligned")
+    sc.align_logits(*tables, TINY).write.parquet(path)
+    scored = sc.score_aligned(spark.read.parquet(path), TINY)
+    key = ("seq_id", "pos")
+    assert scored.orderBy(*key).collect() == sc.score_positions(*tables, TINY).orderBy(*key).collect()
+    plan = sc.score_totals(scored, TINY)._jdf.queryExecution().executedPlan().toString()
+    # Only the totals of each task are exchanged.
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
