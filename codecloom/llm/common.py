@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """`df` with its rows numbered from 0 in the order in which its files hold them.
+
+    Spark numbers files by the task that wrote them. A table that was not read from files is numbered
+    in the order of its partitions.
+    """
+    if df.inputFiles():
+        path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    else:
+        path = F.spark_partition_id().cast("string")
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = df.select("*", path.alias("_path"), row.alias("_row"))
+    files = numbered.groupBy("_path").agg(F.count(F.lit(1)).alias("n")).collect()
+
+    def written_at(path: str) -> tuple[int, str]:
+        return int(re.sub(r"\D.*", "", path.rsplit("/", 1)[-1].removeprefix("part-")) or 0), path
+
+    before, starts = 0, []
+    for r in sorted(files, key=lambda r: written_at(r["_path"])):
+        starts.append((r["_path"], before))
+        before += r["n"]
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_path string, _before bigint"))
+    return numbered.join(table, "_path").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row")).alias(name)
+    )
+
+
 def id_order(col: str) -> Column:
     """An id as a number that sorts NULL last."""
     return F.coalesce(F.col(col).cast("bigint"), F.lit(LAST_ID))

@@ -4,6 +4,8 @@ Every document is tokenised where it is read; only its lengths and checksums tra
 longer than a sequence is cut into full pieces, which fill sequences of their own, and a remainder.
 Documents are dealt to groups by a hash of their id, so a group is a random sample of about
 `group_docs` documents whatever the sources look like, and the number of groups follows the table.
+Where the documents have an order to keep (a mixture), a group is a stretch of `group_docs` places of
+it instead, and sequences are numbered along the order.
 Inside a group the remainders are placed in descending order, each into the first open sequence with
 room: a tournament tree over the sequences' free places finds it in a logarithmic number of steps.
 """
@@ -116,9 +118,15 @@ class WordIds:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, width: int, with_ids: bool
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str,
+    text_col: str,
+    width: int,
+    with_ids: bool,
+    place_col: str | None = None,
 ) -> DataFrame:
-    """(id, n_tokens, crcs[, ids]) per row: a checksum for every piece of at most `width` ids."""
+    """(id, n_tokens, crcs[, ids][, place]) per row: a checksum for every piece of at most `width` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -140,17 +148,29 @@ def token_pieces(
             if with_ids:
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("ids")
+            if place_col is not None:
+                columns.append(batch.column(2))
+                names.append("place")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "id bigint, n_tokens bigint, crcs array<bigint>" + (", ids binary" if with_ids else "")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), whole_text(text_col).alias("text"))
+    columns = [F.col(id_col).cast("bigint").alias("id"), whole_text(text_col).alias("text")]
+    if place_col is not None:
+        schema += ", place bigint"
+        columns.append(F.col(place_col).cast("bigint").alias("place"))
+    rows = docs.select(*columns)
     return rows.mapInArrow(run, schema)
 
 
 def pack_group(group: int, rows: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Pieces of one group with their places; full pieces first, then the packed remainders."""
+    """Pieces of one group with their places; full pieces first, then the packed remainders.
+
+    With a column `place`, equal lengths are packed in its order, and sequences are numbered by the
+    place of the document that opened them.
+    """
     rows = rows.assign(first_crc=[c[0] for c in rows["crcs"]])
-    rows = rows.sort_values(["n_tokens", "id", "first_crc"], na_position="last", kind="stable")
+    ties = ["place"] if "place" in rows else ["id", "first_crc"]
+    rows = rows.sort_values(["n_tokens", *ties], na_position="last", kind="stable")
     tokens = rows["n_tokens"].to_numpy()
     full, rest = tokens // width, tokens % width
     with_rest = np.flatnonzero(rest)
@@ -162,6 +182,13 @@ def pack_group(group: int, rows: pd.DataFrame, width: int) -> pd.DataFrame:
     ).astype("int64")
     length = np.concatenate([np.full(n_full, width), rest[with_rest]]).astype("int64")
     place = np.concatenate([np.arange(n_full), n_full + np.array(bins, dtype="int64")]).astype("int64")
+    if "place" in rows and len(place):
+        # The piece at offset 0 opened its sequence.
+        opened = np.concatenate([np.zeros(n_full, dtype="int64"), np.array(offsets, dtype="int64")]) == 0
+        order = np.lexsort((place[opened], rows["place"].to_numpy()[owner[opened]]))
+        renumbered = np.empty(len(order), dtype="int64")
+        renumbered[place[opened][order]] = np.arange(len(order))
+        place = renumbered[place]
     out = pd.DataFrame(
         {
             "id": rows["id"].array[owner],
@@ -189,6 +216,7 @@ def pack_documents(
     group_docs: int = GROUP_DOCS,
     seed: int = 1,
     with_ids: bool = False,
+    place_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
@@ -196,11 +224,19 @@ def pack_documents(
     sequence lie side by side from offset 0. `with_ids` adds the ids (little-endian unsigned 32 bits).
     Rows that repeat an id are documents of their own; NULL ids are allowed and stay NULL. An empty
     table gives an empty result; other columns are ignored.
+
+    `place_col` holds each row's place in an order, 0 and up without gaps: groups are then stretches of
+    that order, and sequence ids ascend along it (inside a group by the place of the document that
+    opened the sequence). Without it documents are dealt to groups at random.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, width, with_ids)
-    mixed = F.xxhash64(F.col("id"), F.element_at("crcs", 1), F.lit(seed))
-    grouped = pieces.withColumn("part", F.pmod(mixed, F.lit(groups)))
+    pieces = token_pieces(docs, tokenizer_path, id_col, text_col, width, with_ids, place_col)
+    if place_col is None:
+        groups = max(1, -(-docs.count() // group_docs))
+        mixed = F.xxhash64(F.col("id"), F.element_at("crcs", 1), F.lit(seed))
+        part = F.pmod(mixed, F.lit(groups))
+    else:
+        part = F.floor(F.col("place") / F.lit(group_docs))
+    grouped = pieces.withColumn("part", part)
     fields = [
         T.StructField(c, T.LongType())
         for c in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from checks import compare
+from codecloom.llm.common import written
 from codecloom.llm.oracle import ORACLE
 from codecloom.llm.queries import QUERIES
 
@@ -60,6 +61,26 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == {1, 2, 5, 6}
 
 
+def test_sequences_follow_the_mixture(spark):
+    """A large source and small ones: each prefix of sequences holds the shares of the mixture."""
+    sizes = {"a": 6400, "b": 1600, "c": 400}
+    rows = [(i, "x", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    mixed = written(corpus_pipeline.mixing_stage(spark, docs, SF), "test-mixture")
+    packed = corpus_pipeline.packing_stage(spark, mixed, SF).join(docs.drop("text"), "doc_id")
+    got = packed.select("sequence_id", "source").sort("sequence_id").collect()
+    # The square roots 80, 40, 20 are the weights until c is used up, after 2,800 documents.
+    second = sorted({r["sequence_id"] for r in got})[1]
+    prefix = [r["source"] for r in got if r["sequence_id"] <= second]
+    for source, share in {"a": 4 / 7, "b": 2 / 7, "c": 1 / 7}.items():
+        assert abs(prefix.count(source) / len(prefix) - share) < 0.05
+    # Long documents, one to a sequence: sequences are in the order of the files.
+    long = [(i, " ".join(["word"] * (1200 + i % 7))) for i in reversed(range(60))]
+    stored = written(spark.createDataFrame(long, "doc_id bigint, text string"), "test-order")
+    placed = corpus_pipeline.packing_stage(spark, stored, SF).sort("sequence_id").collect()
+    assert [r["doc_id"] for r in placed] == [i for i, _ in long]
+
+
 def test_pipeline_runs_and_repeats(spark):
     first, second = (
         {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} for _ in range(2)
