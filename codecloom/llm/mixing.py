@@ -5,77 +5,142 @@ is released at slot floor(k / w) and due before slot ceil((k + 1) / w); in every
 block with the earliest deadline runs. With weights that sum to one every block runs inside its
 window, so a source is never a whole block ahead of or behind its share.
 
-Weights are rounded to multiples of 1 / period. The schedule then repeats every `period` slots, so one
-period is simulated and the slot of any block follows from its number: nothing that grows with the
-documents is scheduled on the driver. A source that has run out leaves its slots empty; the others
-keep their places and so their proportions among themselves.
+Weights are exact: a float is the fraction it stands for, and windows are computed in whole numbers, so
+no error grows with the table. The schedule is as long as the blocks, one to `block_docs` documents: one
+task emits it in order, holding one block a source, and the documents are joined to it. A source that
+has run out leaves its slots empty; the others keep to their windows and so to their proportions among
+themselves.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecloom.llm.common import written
+
 BLOCK_DOCS = 32
+# A source without a weight gets one slot of a period.
 PERIOD = 1024
-# Slots per source in a period at least, so that rounding a weight stays fine.
+# Slots per source in a period at least, so that such sources take little from the others.
 SLOTS_PER_SOURCE = 16
+# The smallest share of a source with a weight: slots stay far below 2**63.
+LEAST_SHARE = Fraction(1, 1 << 30)
 MAX_SOURCES = 65_536
 TEMPERATURE = 0.5
 # A source's rows are ranked inside 2**PREFIX_BITS ranges of their hash.
 PREFIX_BITS = 12
 
 
-def rounded_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Integer parts of a period, at least one for each source, by largest remainder."""
+def _in_order(names) -> list[str | None]:
+    return sorted(names, key=lambda s: (s is None, s or ""))
+
+
+def exact_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
+    """Whole numbers in the proportions of the weights, none of them zero.
+
+    Sources whose weight is not above zero get one slot of a period each; the others share the rest
+    exactly. If no weight is above zero, all are equal.
+    """
     if len(weights) > MAX_SOURCES:
         raise ValueError(f"{len(weights)} sources; at most {MAX_SOURCES} can be mixed")
-    if not weights:
-        return {}
     period = max(period, SLOTS_PER_SOURCE * len(weights))
-    order = sorted(weights, key=lambda s: (s is None, s or ""))
-    positive = {s: max(0.0, float(weights[s])) for s in order}
-    total = sum(positive.values())
-    if total <= 0:
-        positive, total = dict.fromkeys(order, 1.0), float(len(order))
-    spare = period - len(order)
-    exact = {s: positive[s] / total * spare for s in order}
-    parts = {s: 1 + int(exact[s]) for s in order}
+    positive = {s: Fraction(weights[s]) for s in _in_order(weights) if weights[s] > 0}
+    if not positive:
+        return dict.fromkeys(_in_order(weights), 1)
+    # Multiples of the finest of the floats' binary fractions.
+    scale = math.lcm(*(x.denominator for x in positive.values()))
+    whole = {s: int(x * scale) for s, x in positive.items()}
+    total = sum(whole.values())
+    least = -(-total * LEAST_SHARE.numerator // LEAST_SHARE.denominator)
+    whole = {s: max(n, least) for s, n in whole.items()}
+    others = len(weights) - len(positive)
+    each = sum(whole.values())
+    return {s: whole[s] * (period - others) if s in whole else each for s in _in_order(weights)}
+
+
+def block_slots(
+    weights: Mapping[str | None, int], blocks: Mapping[str | None, int]
+) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block, slot) of every block: earliest deadline first among the released blocks."""
+    total = sum(weights.values())
+    names = _in_order(weights)
+    waiting = [(0, number, 0) for number, name in enumerate(names) if blocks.get(name, 0) > 0]
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, number, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(block + 1) * total // weights[names[number]]), number, block))
+        deadline, number, block = heapq.heappop(ready)
+        if slot >= deadline:
+            raise AssertionError("a block missed its deadline")
+        yield names[number], block, slot
+        slot += 1
+        if block + 1 < blocks[names[number]]:
+            release = (block + 1) * total // weights[names[number]]
+            heapq.heappush(waiting, (max(slot, release), number, block + 1))
+
+
+def rounded_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
+    """Slots of one period, at least one for each source, by largest remainder; for a look at a mixture.
+
+    Only sources that would get no slot are raised, at the cost of the sources with the most slots.
+    """
+    exact = exact_weights(weights, period)
+    if not exact:
+        return {}
+    period = max(period, SLOTS_PER_SOURCE * len(exact))
+    total = sum(exact.values())
+    parts = {s: max(1, n * period // total) for s, n in exact.items()}
     left = period - sum(parts.values())
-    for s in sorted(order, key=lambda s: (int(exact[s]) - exact[s], s is None, s or ""))[:left]:
+    for s in sorted(exact, key=lambda s: -(exact[s] * period % total))[: max(0, left)]:
         parts[s] += 1
+    for _ in range(-left):
+        parts[max(parts, key=parts.get)] -= 1
     return parts
 
 
 def period_schedule(parts: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one period: earliest deadline first among the released blocks."""
-    period = sum(parts.values())
-    names = sorted(parts, key=lambda s: (s is None, s or ""))
-    releases: list[list[tuple[int, int, int]]] = [[] for _ in range(period)]
-    for number, name in enumerate(names):
-        part = parts[name]
-        for block in range(part):
-            deadline = -(-(block + 1) * period // part)
-            releases[block * period // part].append((deadline, number, block))
-    ready: list[tuple[int, int, int]] = []
-    plan = []
-    for slot in range(period):
-        for job in releases[slot]:
-            heapq.heappush(ready, job)
-        deadline, number, block = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a block missed its deadline")
-        plan.append((names[number], block, slot))
-    return plan
+    """(source, block, slot) of one period in which each source has its number of blocks."""
+    return list(block_slots(parts, parts))
+
 
+def source_sizes(docs: DataFrame, source_col: str = "source") -> dict[str | None, int]:
+    rows = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return {r["s"]: r["n"] for r in rows.limit(MAX_SOURCES + 1).collect()}
 
-def size_weights(docs: DataFrame, source_col: str = "source", temperature: float = TEMPERATURE) -> dict:
+
+def size_weights(sizes: Mapping[str | None, int], temperature: float = TEMPERATURE) -> dict:
     """A weight per source: its number of documents to the power `temperature`."""
-    rows = docs.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    return {r[0]: r["n"] ** temperature for r in rows}
+    return {s: n**temperature for s, n in sizes.items()}
+
+
+def planned(
+    docs: DataFrame, weights: Mapping[str | None, int], blocks: Mapping[str | None, int]
+) -> DataFrame:
+    """(_s, _b, _t): source, block and slot of every block, emitted by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found = block_slots(weights, blocks)
+            while rows := list(islice(found, 16_384)):
+                columns = zip(*rows)
+                types = [pa.string(), pa.int64(), pa.int64()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                yield pa.RecordBatch.from_arrays(arrays, ["_s", "_b", "_t"])
+
+    one = docs.sparkSession.range(0, 1, 1, 1)
+    return one.mapInArrow(run, "_s string, _b bigint, _t bigint")
 
 
 def mixed_order(
@@ -90,21 +155,18 @@ def mixed_order(
     """All rows and columns of `docs`, with mix_block, mix_slot and mix_position.
 
     `mix_position` orders the mixture: slot times `block_docs` plus the place in the block. Every row
-    appears once. NULL is a source like any other; a source that `weights` does not name gets the
-    smallest share, one slot of a period. Without weights the sources' sizes give them
+    appears once. NULL is a source like any other; a source that `weights` does not name gets one slot
+    of a period. Without weights the sources' sizes give them
     (`size_weights`). NULL ids and rows that repeat an id are ranked like others, in any order among
     equals. An empty table gives an empty result. Columns that already bear one of the three new
     names are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_slot", "mix_position")
-    sizes = size_weights(docs, source_col)
-    weights = sizes if weights is None else {s: weights.get(s, 0.0) for s in sizes}
-    parts = rounded_weights(weights, period)
-    length = sum(parts.values())
-    plan = spark.createDataFrame(
-        [(s, b, t, parts[s]) for s, b, t in period_schedule(parts)] if parts else [],
-        "_s string, _b bigint, _t bigint, _n bigint",
+    sizes = source_sizes(docs, source_col)
+    weights = size_weights(sizes) if weights is None else {s: weights.get(s, 0.0) for s in sizes}
+    plan = written(
+        planned(docs, exact_weights(weights, period), {s: -(-n // block_docs) for s, n in sizes.items()}),
+        "mixing-plan",
     )
     source = F.col(source_col).cast("string")
     hashed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn(
@@ -120,16 +182,11 @@ def mixed_order(
     ranked = hashed.withColumn("_r", F.row_number().over(inside) - F.lit(1))
     same = source.eqNullSafe(F.col("_src")) & (F.col("_p") == F.col("_pre"))
     ranked = ranked.join(counts, same).withColumn("_rank", F.col("_r") + F.col("_before"))
-    per_period = F.broadcast(plan.groupBy(F.col("_s").alias("_s1")).agg(F.max("_n").alias("_each")))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / F.lit(block_docs))).join(
-        per_period, source.eqNullSafe(F.col("_s1"))
-    )
-    number = F.col("mix_block") % F.col("_each")
-    placed = ranked.join(F.broadcast(plan), source.eqNullSafe(F.col("_s")) & (number == F.col("_b")))
-    slot = F.floor(F.col("mix_block") / F.col("_each")) * F.lit(length) + F.col("_t")
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / F.lit(block_docs)))
+    placed = ranked.join(plan, source.eqNullSafe(F.col("_s")) & (F.col("mix_block") == F.col("_b")))
     position = F.col("mix_slot") * F.lit(block_docs) + F.col("_rank") % F.lit(block_docs)
     return (
-        placed.withColumn("mix_slot", slot)
+        placed.withColumn("mix_slot", F.col("_t"))
         .withColumn("mix_position", position)
         .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", "mix_position")
     )

@@ -202,6 +202,35 @@ def test_pfair_windows_and_deviation():
             assert abs(n - parts[s] * (slot + 1) / 1024) < 1
 
 
+@pytest.mark.parametrize("name", ["one holds a third", "half among a hundred", "odd shares"])
+def test_deviation_from_the_target_weights_over_many_periods(name):
+    weights = {
+        "one holds a third": {f"s{i}": (9.5 if i == 0 else 1.0) ** 0.5 for i in range(20)},
+        "half among a hundred": {f"s{i}": 0.5 if i == 0 else 0.5 / 99 for i in range(100)},
+        "odd shares": {"a": 0.1, "b": 1 / 3, None: 2**0.5, "d": 1e-4},
+    }[name]
+    slots, total = 20_000, sum(weights.values())
+    blocks = {s: int(slots * w / total) for s, w in weights.items()}
+    exact, done = mixing.exact_weights(weights), dict.fromkeys(weights, 0)
+    for source, block, slot in mixing.block_slots(exact, blocks):
+        # Just before and just after its slot the source is less than a block from its target.
+        assert block == done[source]
+        assert abs(block - weights[source] / total * slot) < 1 + 1e-9
+        assert abs(block + 1 - weights[source] / total * (slot + 1)) < 1 + 1e-9
+        done[source] += 1
+    assert done == blocks
+
+
+def test_slots_of_mixed_rows_follow_the_target_weights(spark):
+    """A hot source of weight one half among a hundred, over several periods."""
+    rows = [(i, "hot" if i % 2 else f"s{i // 2 % 99}") for i in range(8000)]
+    weights = {"hot": 0.5} | {f"s{i}": 0.5 / 99 for i in range(99)}
+    df = spark.createDataFrame(rows, "doc_id bigint, source string")
+    got = mixing.mixed_order(df, weights, block_docs=1).where("source = 'hot'").collect()
+    assert len(got) == 4000
+    assert all(abs(r["mix_block"] + 1 - (r["mix_slot"] + 1) / 2) < 1 for r in got)
+
+
 def test_mixed_order_keeps_every_row(docs):
     got = mixing.mixed_order(docs, {"s0": 3.0, "s1": 1.0}, block_docs=2, period=64)
     assert bag(got, "doc_id", "text") == sorted(((i, t) for i, t in TEXTS), key=repr)
