@@ -28,11 +28,11 @@ SEGMENT_BITS = 32
 SEED = 42
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """The fingerprint of a UTF-8 text as an unsigned integer."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """A hash for every run of `size` words of a UTF-8 text; one for all words if there are fewer."""
     words = text.lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
         hashes = [xxhash.xxh64_intdigest(joined, SEED)]
@@ -43,7 +43,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         digest = xxhash.xxh64_intdigest
         spans = zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())
         hashes = [digest(joined[a:b], SEED) for a, b in spans]
-    values = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text as an unsigned integer."""
+    values = shingle_hashes(text, size)
+    if not len(values):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(values), 65536):
         part = values[k : k + 65536].view(np.uint8).reshape(-1, 8)

@@ -61,6 +61,25 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == {1, 2, 5, 6}
 
 
+def test_near_copies_with_edits_are_dropped(spark):
+    """100 words: with one word changed in the middle similarity 0.90, with two 0.81, with three 0.73."""
+    rows, stays = [], set()
+    for k in range(40):
+        words = [f"t{k}w{i}" for i in range(100)]
+        for edits in range(4):
+            changed = [f"e{edits}" if i in (20, 50, 80)[:edits] else w for i, w in enumerate(words)]
+            rows.append((4 * k + edits, " ".join(changed)))
+        if k % 2:  # without the steps between them, the first and the last are not alike
+            del rows[-3:-1]
+            stays |= {4 * k, 4 * k + 3}
+        else:
+            del rows[-1], rows[-2]
+            stays.add(4 * k)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    assert stays <= left and len(left - stays) <= 1
+
+
 def test_sequences_follow_the_mixture(spark):
     """A large source and small ones: each prefix of sequences holds the shares of the mixture."""
     sizes = {"a": 6400, "b": 1600, "c": 400}
