@@ -80,9 +80,50 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM norm WINDOW same AS (PARTITION BY t)
 """
 
+OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+), grams AS (
+    SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM lists, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+), f AS (
+    SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT f.lang, f.k, f.phrase, f.a, c AS cut, string_split(f.phrase, ' ') AS w
+    FROM f, LATERAL (SELECT unnest(range(1, f.k)) AS c) WHERE f.k > 1
+), scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, x.a AS l, y.a AS r, t.n,
+           ((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score, cut
+    FROM cuts c JOIN totals t USING (lang)
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.cut], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1 :], ' ')
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+), parts AS (
+    SELECT f.lang, f.a, array_to_string(string_split(f.phrase, ' ')[i : i + m - 1], ' ') AS phrase
+    FROM f, LATERAL (SELECT unnest(range(2, f.k)) AS m), LATERAL (SELECT unnest(range(1, f.k - m + 2)) AS i)
+    WHERE f.k > 2
+), inside AS (
+    SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL
+), ranked AS (
+    SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+    FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+    WHERE i.longer IS NULL OR 100 * i.longer < 100 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op1_quote_links": OP1,
     "op4_line_dedup": OP4,
     "op7_topk_search": OP7,
     "op9_exact_dedup": OP9,
+    "op12_collocations": OP12,
 }

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codecloom.llm.common import slices, whole_text
+from codecloom.llm.token_ids import SLICE_BYTES, SLICE_ROWS, encoder
 
 WIDTH = 2048
 END_ID = 1
 GROUP_DOCS = 4096
-CACHED_WORDS = 400_000
 # Sequence ids are group * GROUP_SPAN + number in the group.
 GROUP_SPAN = 1 << 32
 
@@ -71,52 +71,6 @@ def first_fit_decreasing(sizes: Sequence[int], width: int) -> tuple[list[int], l
     return bins, offsets, used
 
 
-class WordIds:
-    """Token ids of texts, with the ids of space-led words remembered.
-
-    In the byte-level vocabulary a space in front of a character that is not white space always
-    begins a new piece, so a text without adjacent spaces may be cut there and its parts tokenised
-    one by one. Other texts are tokenised whole.
-    """
-
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cached = cached
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.cached:
-            self.known.clear()
-        known, cut, whole = self.known, {}, []
-        missing: dict[str, None] = {}
-        for i, text in enumerate(texts):
-            words = text.split(" ")
-            # A part that is empty or begins with white space has a space before white space.
-            if "" in words or any(word[0].isspace() for word in words):
-                whole.append(i)
-                continue
-            cut[i] = words
-            missing.update(dict.fromkeys(word for word in words[1:] if word not in known))
-        if missing:
-            names = list(missing)
-            known.update(zip(names, self._encode([" " + word for word in names])))
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
-        heads = self._encode([words[0] for words in cut.values()]) if cut else []
-        for (i, words), head in zip(cut.items(), heads):
-            out[i] = head + b"".join(map(known.__getitem__, words[1:]))
-        return out
-
-
 def token_pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -129,16 +83,15 @@ def token_pieces(
     """(id, n_tokens, crcs[, ids][, place]) per row: a checksum for every piece of at most `width` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordIds(tokenizer_path)
+        words = encoder(tokenizer_path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         step = 4 * width
-        for batch in slices(batches, text=1):
+        for batch in slices(batches, text=1, rows=SLICE_ROWS, size=SLICE_BYTES):
             lengths, crcs, kept = [], [], []
-            for ids in encoder.encode(batch.column(1).to_pylist()):
-                ids += end
+            found, offsets = words.encode(batch.column(1))
+            bounds = offsets.tolist()
+            for first, last in zip(bounds, bounds[1:]):
+                ids = found[first:last].tobytes() + end
                 lengths.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k : k + step]) for k in range(0, len(ids), step)])
                 if with_ids:

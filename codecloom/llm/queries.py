@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codecloom.llm.collocations import collocations
 from codecloom.llm.common import table
 from codecloom.llm.exact_dedup import exact_groups
 from codecloom.llm.language_id import identify
@@ -13,8 +14,11 @@ from codecloom.llm.packing import pack_documents
 from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import near_duplicates
 from codecloom.llm.suffix_dedup import suffix_dedup
+from codecloom.llm.token_files import read_documents, write_token_files
 from codecloom.llm.topk import exact_top_k
 from codecloom.llm.toxicity import toxicity
+from codecloom.llm.whitening import whiten
+from codecloom.session import shared_path
 
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +68,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+    return read_documents(spark, folder)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).drop("first_doc")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quote_links": op1_quote_links,
     "op2_packing": op2_packing,
@@ -75,4 +93,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
