@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -17,6 +18,7 @@ from codecloom.llm.queries import tokenizer_path
 from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import fingerprint, near_duplicates
 from codecloom.llm.suffix_dedup import suffix_dedup
+from codecloom.llm.token_ids import WordIds
 from codecloom.llm.toxicity import toxicity
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -171,10 +173,10 @@ def test_cut_words_have_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    encoder = packing.WordIds(tokenizer_path())
+    encoder = WordIds(tokenizer_path())
     for _ in range(2):  # from the tokenizer, then from memory
-        got = np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_first_fit_decreasing_is_first_fit():
