@@ -2,15 +2,14 @@
 
 A slice of whole texts is one array of bytes. Prefix sums of a polynomial over the bytes give the hash
 of every word, prefix sums of a polynomial over the words that of every n-gram of every length. Length
-by length, tasks count fingerprints and Spark adds them up, each with the place of an occurrence. An
-n-gram can be frequent only if both n-grams one word shorter are, so a filter of the frequent
-fingerprints (a Bloom filter of bounded size: it may let too much through, never too little) spares the
-shuffle most n-grams of the next length.
+by length, tasks count fingerprints and Spark adds them up. An n-gram can be frequent only if both
+n-grams one word shorter are, so a filter of the frequent fingerprints (a Bloom filter of bounded size:
+it may let too much through, never too little) spares the shuffle most n-grams of the next length.
 
 Fingerprints only preselect. In a last pass over the texts, the occurrences of frequent fingerprints
-are compared, word by word, with the occurrence that stands for them, those that differ are
-counted apart, and counts are added up by the words themselves: a collision cannot change a count. Only
-these phrases are ever written out as text.
+are compared, word by word, with the occurrence that stands for them, and those that differ are counted
+apart. Counts are added up by the words themselves, each with a pointer to an occurrence: a collision
+cannot change a count. Only these phrases are ever written out as text.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from codecloom.llm.common import id_order, slices, whole_text, written
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 # Filters take 16 bits a fingerprint, within these limits.
 LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
 UNKNOWN = "und"
@@ -125,27 +125,34 @@ class Words:
         found = mixed(window + salts[self.lang[:count]] + np.uint64(n)) & self.keep
         return found, self.piece[:count] == self.piece[n - 1 : n - 1 + count]
 
-    def word_numbers(self) -> np.ndarray:
-        """A number for each different word; equal hashes are compared by their bytes."""
+    def word_numbers(self) -> tuple[np.ndarray, pa.StringArray]:
+        """(a number for each word, the different words); equal hashes are compared by their bytes."""
         _, first, group = np.unique(self.hash, return_index=True, return_inverse=True)
         size = self.end - self.start
         other = size != size[first[group]]
         same = np.flatnonzero(~other)
-        length = size[same]
-        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        mine = self.raw[np.repeat(self.start[same], length) + at]
-        theirs = self.raw[np.repeat(self.start[first[group[same]]], length) + at]
-        unequal = np.repeat(same, length)[mine != theirs]
-        other[unequal] = True
+        mine, theirs = self._bytes(same), self._bytes(first[group[same]])
+        other[np.repeat(same, size[same])[mine != theirs]] = True
         if other.any():
             numbers: dict[tuple[int, bytes], int] = {}
+            more = []
             for i in np.flatnonzero(other).tolist():
-                key = (int(group[i]), self.word(i))
-                group[i] = numbers.setdefault(key, len(first) + len(numbers))
-        return group
-
-    def word(self, i: int) -> bytes:
-        return self.raw[self.start[i] : self.end[i]].tobytes()
+                key = (int(group[i]), self.raw[self.start[i] : self.end[i]].tobytes())
+                if key not in numbers:
+                    numbers[key] = len(first) + len(more)
+                    more.append(i)
+                group[i] = numbers[key]
+            first = np.concatenate([first, more])
+        offsets = np.zeros(len(first) + 1, dtype=np.int32)
+        np.cumsum(size[first], out=offsets[1:])
+        text = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(self._bytes(first)))
+        return group, text
+
+    def _bytes(self, words: np.ndarray) -> np.ndarray:
+        """The bytes of some words, one after another."""
+        size = (self.end - self.start)[words]
+        at = np.arange(int(size.sum()))
+        return self.raw[at + np.repeat(self.start[words] - np.cumsum(size) + size, size)]
 
 
 def passes(table: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -225,7 +232,7 @@ def _salt(name: str) -> int:
 def _fingerprint_counts(
     docs: DataFrame, n: int, shorter: np.ndarray | None, min_count: int, size: int, longest: int, bits: int
 ) -> DataFrame:
-    """(fp, a, doc, word) of the n-gram fingerprints that occur often, with the place of an occurrence."""
+    """(fp, a) of the n-gram fingerprints that occur often."""
     shared = None if shorter is None else docs.sparkSession.sparkContext.broadcast(shorter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,41 +244,36 @@ def _fingerprint_counts(
                 known = passes(shared.value, less)
                 kept &= known[:-1][: len(found)] & known[1:]
             at = np.flatnonzero(kept)
-            different, first, count = np.unique(found[at], return_index=True, return_counts=True)
-            place = at[first]
-            number = words.numbers()[place] + own[place]
+            different, count = np.unique(found[at], return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(different.view(np.int64)),
-                    pa.array(count.astype(np.int64)),
-                    pa.array(words.docs[words.text[place]]),
-                    pa.array(number.astype(np.int64)),
-                ],
-                ["fp", "n", "doc", "word"],
+                [pa.array(different.view(np.int64)), pa.array(count.astype(np.int64))], ["fp", "n"]
             )
 
-    rows = docs.mapInArrow(run, "fp bigint, n bigint, doc bigint, word bigint")
-    counted = rows.groupBy("fp").agg(
-        F.sum("n").alias("a"), F.min("doc").alias("doc"), F.min_by("word", "doc").alias("word")
-    )
-    return counted.where(F.col("a") >= F.lit(min_count))
+    rows = docs.mapInArrow(run, "fp bigint, n bigint")
+    return rows.groupBy("fp").agg(F.sum("n").alias("a")).where(F.col("a") >= F.lit(min_count))
 
 
 def _phrase_counts(
     docs: DataFrame, filters: list[np.ndarray], min_count: int, size: int, bits: int
 ) -> DataFrame:
-    """(lang, n_words, phrase, a, first_doc) of the frequent phrases; n_words 0 counts all words of a language."""
+    """The table of `phrase_counts`."""
     longest = len(filters)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
+    def rows_of(lang: pa.Array, n: int, phrase: pa.Array, count, doc, word) -> pa.RecordBatch:
+        columns = [lang, pa.array(np.full(len(lang), n, dtype=np.int32)), phrase, *map(pa.array, (count, doc, word))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "n_words", "phrase", "n", "doc", "word"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, names, salts, own in _slices(batches, size, longest, bits):
             if not words.n:
                 continue
-            numbers = words.word_numbers()
-            total = np.bincount(words.lang[own >= 0], minlength=len(names))
-            out = [(k, 0, "", int(c), None) for k, c in enumerate(total.tolist()) if c]
-            texts: dict[int, str] = {}
+            numbers, texts = words.word_numbers()
+            places = words.numbers() + own
+            langs = pa.array(names, pa.string())
+            total = np.bincount(words.lang[own >= 0], minlength=len(names)).astype(np.int64)
+            none = np.zeros(len(names), dtype=np.int64)
+            yield rows_of(langs, 0, pa.array([""] * len(names)), total, none, none)
             for n in range(1, longest + 1):
                 found, whole = words.fingerprints(n, salts)
                 at = np.flatnonzero(whole & (own[: len(found)] >= 0))
@@ -283,36 +285,25 @@ def _phrase_counts(
                 other = words.lang[at] != words.lang[stands[group]]
                 for k in range(n):
                     other |= numbers[at + k] != numbers[stands[group] + k]
+                count = count - np.bincount(group[other], minlength=len(first))
                 apart: dict[tuple[int, ...], list[int]] = {}
-                for i, g in zip(at[other].tolist(), group[other].tolist()):
-                    count[g] -= 1
+                for i in at[other].tolist():
                     key = (int(words.lang[i]), *numbers[i : i + n].tolist())
                     apart.setdefault(key, [i, 0])[1] += 1
-                counted = [*zip(stands.tolist(), count.tolist()), *apart.values()]
-                for i, c in counted:
-                    parts = []
-                    for k, w in enumerate(numbers[i : i + n].tolist()):
-                        if w not in texts:
-                            texts[w] = words.word(i + k).decode("utf-8", "surrogateescape")
-                        parts.append(texts[w])
-                    out.append((int(words.lang[i]), n, " ".join(parts), c, int(words.docs[words.text[i]])))
-            lang, n_words, phrase, count, doc = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([names[k] for k in lang], pa.string()),
-                    pa.array(n_words, pa.int32()),
-                    pa.array(phrase, pa.string()),
-                    pa.array(count, pa.int64()),
-                    pa.array(doc, pa.int64()),
-                ],
-                ["lang", "n_words", "phrase", "n", "doc"],
-            )
-
-    rows = docs.mapInArrow(run, "lang string, n_words int, phrase string, n bigint, doc bigint")
+                place = np.concatenate([stands, [i for i, _ in apart.values()]]).astype(np.int64)
+                count = np.concatenate([count, [c for _, c in apart.values()]]).astype(np.int64)
+                parts = [texts.take(pa.array(numbers[place + k])) for k in range(n)]
+                phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+                lang = langs.take(pa.array(words.lang[place]))
+                yield rows_of(lang, n, phrase, count, words.docs[words.text[place]], places[place])
+
+    rows = docs.mapInArrow(
+        run, "lang string, n_words int, phrase string, n bigint, doc bigint, word bigint"
+    )
     counted = rows.groupBy("lang", "n_words", "phrase").agg(
-        F.sum("n").alias("a"), F.min("doc").alias("first_doc")
+        F.sum("n").alias("a"), F.min("doc").alias("first_doc"), F.min_by("word", "doc").alias("first_word")
     )
-    return counted.where((F.col("a") >= F.lit(min_count)) | (F.col("n_words") == 0))
+    return counted.where((F.col("a") >= F.lit(min_count)) | ((F.col("n_words") == 0) & (F.col("a") > 0)))
 
 
 def phrase_counts(
@@ -325,9 +316,10 @@ def phrase_counts(
     slice_bytes: int = SLICE_BYTES,
     fingerprint_bits: int = 64,
 ) -> DataFrame:
-    """(lang, n_words, phrase, a, first_doc): every phrase of up to `longest` words that occurs often enough.
+    """(lang, n_words, phrase, a, first_doc, first_word) of every phrase of up to `longest` words that occurs
+    often enough, with the place of an occurrence: the smallest id and the number of its first word there.
 
-    Rows with n_words 0 count all words of a language. The table is written once.
+    Rows with n_words 0 count all words of a language; their place means nothing. The table is written once.
     """
     given = docs.select(
         id_order(id_col).alias("doc"),
@@ -343,7 +335,7 @@ def phrase_counts(
 
 
 def _scored(phrases: DataFrame) -> DataFrame:
-    """Candidates with their lowest-scoring cut: (lang, phrase, n_words, a, l, r, n, score, first_doc)."""
+    """Candidates with their lowest-scoring cut: with the place of an occurrence."""
     whole = "decimal(38,0)"
     frequent = phrases.where(F.col("n_words") > 0)
     totals = phrases.where(F.col("n_words") == 0).select("lang", F.col("a").alias("n"))
@@ -364,9 +356,9 @@ def _scored(phrases: DataFrame) -> DataFrame:
     )
     lowest = F.min(F.struct("score", "k", "l", "r"))
     return (
-        exact.groupBy("lang", "phrase", "n_words", "a", "n", "first_doc")
+        exact.groupBy("lang", "phrase", "n_words", "a", "n", "first_doc", "first_word")
         .agg(lowest.alias("cut"))
-        .select("lang", "phrase", "n_words", "a", "cut.l", "cut.r", "n", "cut.score", "first_doc")
+        .select("lang", "phrase", "n_words", "a", "cut.l", "cut.r", "n", "cut.score", "first_doc", "first_word")
     )
 
 
@@ -387,8 +379,8 @@ def collocations(
     at spaces and tabs; phrases do not cross pieces. A phrase that occurs at least `min_count` times (a)
     scores floor(1000 a n / (l r)) at its lowest cut into parts that occur l and r times among n words.
     Phrases inside a longer one that occurs as often are left out. Returns lang, rank, phrase, a, l, r, n,
-    score and first_doc, the smallest id of a document that holds the phrase (NULL ids count as the
-    largest long). NULL languages are `und`, NULL texts empty; rows that repeat an id or a text count each
+    score, first_doc and first_word: the smallest id of a document that holds the phrase (NULL ids count as
+    the largest long) and the number of the phrase's first word in it. NULL languages are `und`, NULL texts empty; rows that repeat an id or a text count each
     time; an empty table gives no rows; other columns are ignored. Products are exact up to 38 digits.
     """
     phrases = phrase_counts(
@@ -416,5 +408,5 @@ def collocations(
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.lit(top))
     return ranked.select(
-        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score", "first_doc"
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score", "first_doc", "first_word"
     )

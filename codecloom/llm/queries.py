@@ -75,7 +75,7 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations(table(spark, sf_dir, "documents")).drop("first_doc")
+    return collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_word")
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
