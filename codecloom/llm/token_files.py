@@ -3,8 +3,8 @@
 Documents are dealt to tasks by ranges of their id and sorted there. A task tokenises its documents
 one after another, ends each with `end_id`, cuts the stream into sequences of `width` ids and writes
 them in batches of `BATCH_ROWS` to one Arrow file of its own: two columns of fixed-size lists, `ids`
-(the smallest unsigned type that holds the vocabulary) and `mask` (1 for an id, 0 for the padding
-behind the last id of a file). A batch's list values lie side by side, so a sequence, or any run of
+(the smallest unsigned type that holds the vocabulary) and `mask` (true for an id, false for the padding
+behind the last id of a file; a bit each). A batch's list values lie side by side, so a sequence, or any run of
 ids, is a view of the mapped file.
 
 Files of failed or repeated attempts have names of their own and are in no index. The index (a row a
@@ -46,7 +46,7 @@ def filesystem(uri: str):
 
 def sequence_schema(dtype: str, width: int) -> pa.Schema:
     ids = pa.from_numpy_dtype(np.dtype(dtype))
-    return pa.schema([("ids", pa.list_(ids, width)), ("mask", pa.list_(pa.uint8(), width))])
+    return pa.schema([("ids", pa.list_(ids, width)), ("mask", pa.list_(pa.bool_(), width))])
 
 
 class SequenceWriter:
@@ -76,8 +76,7 @@ class SequenceWriter:
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
         """Write a batch whose first `n` ids are real."""
-        mask = np.zeros(len(ids), dtype=np.uint8)
-        mask[:n] = 1
+        mask = np.arange(len(ids)) < n
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(values), self.width) for values in (ids, mask)
         ]
@@ -102,25 +101,25 @@ class TokenFile:
         self.source = pa.memory_map(path) if local else files.open_input_file(path)
         self.reader = pa.ipc.open_file(self.source)
         self.width = self.reader.schema.field("ids").type.list_size
-        self._at, self._batch = -1, (np.zeros(0), np.zeros(0))
+        self._at, self._batch = -1, (np.zeros(0), pa.array([], pa.bool_()))
 
-    def _values(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
+    def _values(self, batch: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """All ids and masks of a batch."""
         if batch != self._at:
             held = self.reader.get_batch(batch)
-            self._batch = tuple(held.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1))
-            self._at = batch
+            ids = held.column(0).flatten().to_numpy(zero_copy_only=True)
+            self._at, self._batch = batch, (ids, held.column(1).flatten())
         return self._batch
 
     def __len__(self) -> int:
         last = self.reader.num_record_batches - 1
         return 0 if last < 0 else last * BATCH_ROWS + len(self._values(last)[0]) // self.width
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of a sequence."""
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of a sequence: both refer to the file's bytes."""
         ids, mask = self._values(number // BATCH_ROWS)
         start = number % BATCH_ROWS * self.width
-        return ids[start : start + self.width], mask[start : start + self.width]
+        return ids[start : start + self.width], mask.slice(start, self.width)
 
     def run(self, first: int, n: int) -> Iterator[np.ndarray]:
         """`n` ids from place `first` on, in views of one batch each."""
@@ -129,7 +128,7 @@ class TokenFile:
             ids, mask = self._values(first // full)
             start = first % full
             part = min(n, full - start)
-            if not mask[start : start + part].all() or start + part > len(ids):
+            if mask.slice(start, part).true_count != part:
                 raise ValueError("a document reaches into the padding of its file")
             yield ids[start : start + part]
             first, n = first + part, n - part
@@ -278,7 +277,7 @@ class TokenSequences:
     def __len__(self) -> int:
         return self.n
 
-    def __getitem__(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= number < self.n:
             raise IndexError(number)
         k = bisect_right(self.before, number) - 1
