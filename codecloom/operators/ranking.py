@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecloom.functions.hashing import order_hash
@@ -145,34 +145,47 @@ def batch_places(
     )
 
 
-def seeded_cap(
+def seeded_cut(
     df: DataFrame,
     keys: Sequence[str],
     cap: int,
     seed: int | str = 42,
     digits: int = PREFIX_DIGITS,
-) -> DataFrame:
-    """Keep the first `cap` rows in the order (md5(seed:keys), keys); all rows if there are fewer.
+) -> Column:
+    """Whether a row is among the first `cap` rows of `df` in the order (md5(seed:keys), keys).
 
-    The rows themselves are not shuffled or sorted: the position of the cap is found on the key
-    columns, first by prefix counts, then inside the one prefix that holds it, and the wide rows
-    are compared with that cut-off. The broadcast cut-off is a single row.
+    The position of the cap is found on the key columns, first by prefix counts, then inside the one
+    prefix that holds it; the condition compares a row with that cut-off, a scalar.
     """
     if cap <= 0:
-        return df.limit(0)
-    hashed = _with_hash(df, keys, seed, digits)
-    narrow = hashed.select(_HASH, _PREFIX, *keys)
+        return F.lit(False)
+    narrow = _with_hash(df, keys, seed, digits).select(_HASH, _PREFIX, *keys)
     edge = _prefix_offsets(narrow, []).where(
         (F.col(_BEFORE) < F.lit(cap)) & (F.col(_BEFORE) + F.col(_COUNT) >= F.lit(cap))
     )
-    last = F.struct(F.col(_HASH), *[F.col(k) for k in keys])
     inner = Window.partitionBy(_PREFIX).orderBy(_HASH, *keys)
+    place = F.struct(F.col(_HASH).alias("h"), *[F.col(k) for k in keys])
     cutoff = (
         narrow.join(F.broadcast(edge.select(_PREFIX, _BEFORE)), _PREFIX)
         .withColumn("__n", F.col(_BEFORE) + F.row_number().over(inner))
         .where(F.col("__n") == F.lit(cap))
-        .select(last.alias("last"))
+        .select(place.alias("last"))
     )
     # No row in `cutoff` means the source holds fewer rows than the cap.
     limit = cutoff.agg(F.max("last").alias("last")).scalar()
-    return hashed.where(limit.isNull() | (last <= limit)).drop(_HASH, _PREFIX)
+    own = F.struct(order_hash(keys, seed).alias("h"), *[F.col(k) for k in keys])
+    return limit.isNull() | (own <= limit)
+
+
+def seeded_cap(
+    df: DataFrame,
+    keys: Sequence[str],
+    cap: int,
+    seed: int | str = 42,
+    digits: int = PREFIX_DIGITS,
+) -> DataFrame:
+    """Keep the first `cap` rows in the order (md5(seed:keys), keys); all rows if there are fewer.
+
+    The rows themselves are not shuffled or sorted: see `seeded_cut`.
+    """
+    return df.limit(0) if cap <= 0 else df.where(seeded_cut(df, keys, cap, seed, digits))

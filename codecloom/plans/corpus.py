@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codecloom.config import CorpusConfig
+from codecloom.functions.codec import within_duration
 from codecloom.functions.sequences import ones_like, training_sequence
 from codecloom.layout import TokenLayout
 from codecloom.operators.codes import add_codes, filter_duration, within_or_unknown
-from codecloom.operators.sampling import ordered_union, source_cap
+from codecloom.operators.ranking import seeded_cut
+from codecloom.operators.sampling import KEYS, ordered_union, source_cap
 from codecloom.operators.tokens import add_text_tokens
-from codecloom.operators.validate import accepted, rejected, stage_counts
+from codecloom.operators.validate import accepted, flag_rows, rejected, stage_counts
 from codecloom.sources.load import load_sources
-from codecloom.sources.store import save_length_stats, save_training
+from codecloom.sources.store import (
+    ACCEPTED,
+    COUNTS_SCHEMA,
+    REJECTED,
+    ROWS_PER_FILE,
+    save_length_stats,
+    write_manifest,
+    write_rows,
+)
 
 ORDER_KEYS = ("source_ord", "row_file", "row_ord", "utt_id")
 DERIVED_COLUMNS = ("labels", "attention_mask")
@@ -43,17 +53,17 @@ def add_labels_and_mask(df: DataFrame) -> DataFrame:
     return df.withColumns({"labels": F.col("input_ids"), "attention_mask": ones_like(F.col("input_ids"))})
 
 
-def training_columns(df: DataFrame, derived: bool = True) -> DataFrame:
+def training_columns(df: DataFrame, derived: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """Order keys and the five training columns.
 
     With derived=False, labels and mask are left out: they repeat `input_ids`, take as much space
-    again, and the collation fills them in.
+    again, and the collation fills them in. `extra` columns follow.
     """
     keys = [k for k in ORDER_KEYS if k in df.columns]
     skipped = () if derived else DERIVED_COLUMNS
     whole = df.withColumn("encoded_len", F.col("encoded_len").cast("int"))
     full = add_labels_and_mask(whole) if derived else whole
-    return full.select(*keys, *[c for c in TRAINING_COLUMNS if c not in skipped])
+    return full.select(*keys, *[c for c in TRAINING_COLUMNS if c not in skipped], *extra)
 
 
 def usable_rows(df: DataFrame, layout: TokenLayout, max_seconds: float | None) -> DataFrame:
@@ -114,6 +124,52 @@ def corpus_counts(
     return ordered_union(parts)
 
 
+def observed_rows(
+    spark: SparkSession,
+    config: CorpusConfig,
+    tokenizer: Tokenizer,
+    layout: TokenLayout = TokenLayout(),
+    derived: bool = True,
+) -> tuple[DataFrame, list[Observation]]:
+    """Accepted and rejected rows of all sources in one plan, and the counts of each source.
+
+    Every source is scanned once: the reason is computed with the row, the counts are taken on the way
+    to the writer. Rejected rows have the order keys, `source` and the reason; their arrays are NULL. Only
+    a cap reads a source's keys besides, to find the cut-off.
+    """
+    parts, counts = [], []
+    for k, (cfg, rows) in enumerate(zip(config.sources, load_sources(spark, config, layout), strict=True)):
+        in_time = within_duration(F.col("encoded_len"), config.max_duration_sec)
+        # A NULL length cannot be compared; such rows are rejected, not filtered.
+        passes = F.lit(True) if in_time is None else F.coalesce(in_time, F.lit(True))
+        flagged = flag_rows(rows, layout).withColumn("__passes", passes)
+        bad = F.col("reject_reason").isNotNull()
+        seen = Observation(f"source-{k}")
+        flagged = flagged.observe(
+            seen,
+            F.count(F.lit(1)).alias("n_read"),
+            F.count_if("__passes").alias("n_in_duration"),
+            F.count_if(F.col("__passes") & bad).alias("n_rejected"),
+            F.count_if(F.col("__passes") & ~bad).alias("n_prepared"),
+        )
+        counts.append(seen)
+        kept = flagged.where("__passes")
+        if cfg.max_len is not None:
+            usable = usable_rows(rows, layout, config.max_duration_sec)
+            kept = kept.where(bad | seeded_cut(usable, KEYS, cfg.max_len, config.seed))
+        # A rejected row goes through the array work as an empty one.
+        empty = F.array().cast("array<int>")
+        safe = {c: F.when(bad, empty).otherwise(F.col(c)) for c in layout.layer_columns}
+        safe["text"] = F.when(bad, F.lit("")).otherwise(F.col("text"))
+        built = build_sequences(kept.withColumns(safe), tokenizer, layout)
+        built = built.withColumn("input_ids", F.when(~bad, F.col("input_ids")))
+        whole = training_columns(built, derived, ("source", "reject_reason"))
+        status = F.when(bad, F.lit(REJECTED)).otherwise(F.lit(ACCEPTED))
+        length = F.when(~bad, F.col("encoded_len"))
+        parts.append(whole.withColumns({"encoded_len": length, "status": status}))
+    return ordered_union(parts), counts
+
+
 def run_preparation(
     spark: SparkSession,
     config: CorpusConfig,
@@ -121,14 +177,28 @@ def run_preparation(
     output: str,
     layout: TokenLayout = TokenLayout(),
     derived: bool = True,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
-    """Save the corpus and, next to it, the rejected rows and (if configured) the statistics.
+    """Save the corpus with its rejected rows, stage counts and (if configured) statistics.
 
-    The statistics read the saved table, so the corpus is not prepared twice. A source with fewer
-    usable rows than its cap contributes all of them; `corpus_counts` marks it.
+    One job writes the rows of both kinds and counts them. The statistics read the saved lengths. The
+    manifest comes last; until then nothing can be opened, and a repeated run starts anew. A source with
+    fewer usable rows than its cap contributes all of them; the counts mark it.
     """
     base = output.rstrip("/")
-    save_training(prepare_corpus(spark, config, tokenizer, layout, derived), base)
-    save_training(corpus_rejects(spark, config, layout), f"{base}_rejects")
+    rows, seen = observed_rows(spark, config, tokenizer, layout, derived)
+    write_rows(rows, base, rows_per_file)
+    counts = []
+    for k, (cfg, found) in enumerate(zip(config.sources, seen, strict=True)):
+        n, cap = found.get, cfg.max_len
+        kept = n["n_prepared"] if cap is None else min(n["n_prepared"], cap)
+        counts.append(
+            (k, cfg.name, n["n_read"], n["n_in_duration"], n["n_rejected"], n["n_prepared"], cap, kept,
+             cap is not None and n["n_prepared"] < cap)
+        )
+    spark.createDataFrame(counts, COUNTS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{base}/counts")
     if config.length_statistics:
-        save_length_stats(spark.read.parquet(base), f"{base}_length_statistics")
+        lengths = spark.read.schema("encoded_len int, status string").parquet(f"{base}/rows")
+        lengths = lengths.where(F.col("status") == F.lit(ACCEPTED))
+        save_length_stats(lengths, f"{base}_length_statistics")
+    write_manifest(spark, base)

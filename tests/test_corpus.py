@@ -14,7 +14,16 @@ from codecloom.plans.corpus import (
     run_preparation,
 )
 from codecloom.sources.load import load_sources
-from codecloom.sources.store import load_training, open_training, read_length_stats
+from codecloom.sources.store import (
+    damaged_files,
+    load_training,
+    open_counts,
+    open_manifest,
+    open_rejects,
+    open_training,
+    read_length_stats,
+    save_training,
+)
 from tests.helpers import L, one
 
 LAYERS = ", ".join(f"{c} array<int>" for c in L.layer_columns)
@@ -82,7 +91,7 @@ def test_preparation_end_to_end(spark, config, tmp_path):
     assert stats.total_samples == 16
     assert stats.encoded_length.max == 3.0 and stats.duration_seconds.max == pytest.approx(0.24)
 
-    rejects = spark.read.parquet(f"{out}_rejects")
+    rejects = open_rejects(spark, out)
     assert {r.reject_reason for r in rejects.collect()} == {
         "null_layer", "ragged_layers", "empty_codes", "null_len", "null_code", "null_text"
     }
@@ -136,7 +145,7 @@ def test_missing_or_empty_corpus_is_an_error(spark, config, tmp_path):
     with pytest.raises(FileNotFoundError):
         open_training(spark, str(tmp_path / "nowhere"))
     empty = str(tmp_path / "empty")
-    prepare_corpus(spark, config, tokenizer).where(F.lit(False)).write.parquet(empty)
+    save_training(prepare_corpus(spark, config, tokenizer).where(F.lit(False)), empty)
     with pytest.raises(ValueError):
         open_training(spark, empty)
 
@@ -189,3 +198,55 @@ def test_rows_of_a_partitioned_folder_have_keys_of_their_own(spark, tmp_path):
     rows.coalesce(1).write.partitionBy("part").parquet(str(tmp_path / "in"))
     cfg = SourceConfig.from_dict({"name": "s", "path": str(tmp_path / "in"), "speaker_emb": None})
     assert load_source(spark, cfg, 0, L).select("utt_id").distinct().count() == 200
+
+
+def test_counts_are_observed_while_writing(spark, config, tmp_path):
+    out = str(tmp_path / "observed")
+    run_preparation(spark, config, tokenizer, out)
+    columns = ["source_ord", "source", "n_read", "n_in_duration", "n_rejected", "n_prepared", "cap", "n_kept", "short_of_cap"]
+    seen = {tuple(r) for r in open_counts(spark, out).select(columns).collect()}
+    assert seen == {tuple(r) for r in corpus_counts(spark, config).select(columns).collect()}
+    keys = ["source_ord", "utt_id", "reject_reason"]
+    assert {tuple(r) for r in open_rejects(spark, out).select(keys).collect()} == {
+        tuple(r) for r in corpus_rejects(spark, config).select(keys).collect()
+    }
+    kept = {tuple(r) for r in open_training(spark, out).select("source_ord", "utt_id").collect()}
+    assert kept == {tuple(r) for r in prepare_corpus(spark, config, tokenizer).select("source_ord", "utt_id").collect()}
+
+
+def test_a_source_is_scanned_once(spark, config):
+    from dataclasses import replace
+
+    from codecloom.plans.corpus import observed_rows
+
+    plain = replace(config, sources=tuple(replace(s, max_len=None) for s in config.sources))
+    rows, _ = observed_rows(spark, plain, tokenizer)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and "Exchange" not in plan
+
+
+def test_an_unfinished_corpus_cannot_be_opened(spark, config, tmp_path, monkeypatch):
+    from codecloom.plans import corpus
+
+    out = str(tmp_path / "died")
+
+    def dies(*_):
+        raise RuntimeError("the job died")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(corpus, "save_length_stats", dies)
+        with pytest.raises(RuntimeError):
+            run_preparation(spark, config, tokenizer, out)
+    for opened in (open_training, open_rejects, open_counts, open_manifest):
+        with pytest.raises(FileNotFoundError):
+            opened(spark, out)
+    run_preparation(spark, config, tokenizer, out, rows_per_file=2)
+    manifest = open_manifest(spark, out).collect()
+    assert open_training(spark, out).count() == 16
+    assert sum(r.n_rows for r in manifest) == 22 and max(r.n_rows for r in manifest) <= 2
+    assert damaged_files(spark, out).count() == 0
+    with pytest.raises(FileExistsError):
+        run_preparation(spark, config, tokenizer, out)
+    first = next(iter(sorted((tmp_path / "died" / "rows" / "status=accepted").glob("*.parquet"))))
+    first.unlink()
+    assert damaged_files(spark, out).count() == 1
