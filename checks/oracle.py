@@ -393,6 +393,14 @@ SELECT CAST(o AS INTEGER) AS source_ord, CASE o WHEN 0 THEN 'main' ELSE 'second'
        CAST(sum(encoded_len) AS BIGINT) AS codes,
        CAST(sum(len(speaker_emb)) AS BIGINT) AS speaker_values
 FROM spk, (SELECT unnest([0, 1]) AS o) GROUP BY o""",
+    ),
+    "source_split": q(
+        UTT,
+        """
+SELECT CAST(o AS INTEGER) AS source_ord, name AS source, count(*) AS n_rows,
+       CAST(sum(encoded_len) AS BIGINT) AS frames, CAST(sum(length(text)) AS BIGINT) AS codes
+FROM utt, (SELECT unnest([0, 1, 2]) AS o, unnest(['train', 'validation', 'all']) AS name)
+WHERE o = 2 OR (utt_id % 5 = 0) = (o = 1) GROUP BY o, name""",
     ),
     "training_load": q(
         PREPARED_KEYS,
@@ -420,6 +428,14 @@ SELECT p || substr(metric, 9) AS metric, count(*) AS n_rows,
        count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS n_values, max(step) AS last_step,
        round(avg(value) FILTER (NOT isnan(value)), 6) AS mean_value
 FROM log, (SELECT unnest(['metrics/', 'eval_metrics/']) AS p) GROUP BY 1""",
+    ),
+    "metric_log_rewritten": q(
+        LOG,
+        """
+SELECT 'run-' || (step % 3) AS run_id, metric, batch_id, count(*) AS n_rows,
+       count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS n_values, max(step) AS last_step,
+       round(avg(value) FILTER (NOT isnan(value)), 6) AS mean_value
+FROM log GROUP BY ALL""",
     ),
     "rope_params": q(PARAMS, "SELECT step, param_name, layer, round(weight, 6) AS weight FROM params"),
     # --- projections
@@ -444,6 +460,12 @@ FROM utt""",
     ),
     "text_tokens": q(VOCAB, "SELECT utt_id, nt AS n, md5(ts) AS tokens_md5 FROM toks"),
     "text_tokens_join": q(VOCAB, "SELECT utt_id, nt AS n, md5(ts) AS tokens_md5 FROM toks"),
+    "tokenizer_plugin": q(
+        VOCAB,
+        """
+SELECT utt_id, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(list_transform(w, lambda x: strlen(x)), ',')) AS ids_md5
+FROM (SELECT utt_id, list_filter(string_split(prompt, ' '), lambda x: x <> '') AS w FROM prompts)""",
+    ),
     "input_ids": q(IDS, "SELECT utt_id, n, md5(s) AS ids_md5 FROM ids"),
     "labels_mask": q(
         IDS,
@@ -519,6 +541,28 @@ SELECT CASE o WHEN 0 THEN 'main' ELSE 'second' END AS source, count(*) AS n_read
        CASE o WHEN 0 THEN count(*) ELSE least(count(*), 150) END AS n_kept,
        o = 1 AND count(*) < 150 AS short_of_cap, CAST(o AS INTEGER) AS source_ord
 FROM utt, (SELECT unnest([0, 1]) AS o) GROUP BY o""",
+    ),
+    "preparation_counts": q(
+        DAMAGE,
+        """
+, seen AS (
+  SELECT *, encoded_len IS NULL OR reason = 'null_len' OR encoded_len <= 1500 AS passes FROM damage),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY passes AND reason IS NULL
+                               ORDER BY md5('42:' || utt_id), CAST(utt_id AS VARCHAR)) AS r FROM seen),
+counted AS (
+  SELECT o, count(*) AS n_read, count(*) FILTER (passes) AS n_in_duration,
+         count(*) FILTER (passes AND reason IS NOT NULL) AS n_rejected,
+         count(*) FILTER (passes AND reason IS NULL) AS n_prepared,
+         count(DISTINCT reason) FILTER (passes) AS reasons,
+         CAST(sum(encoded_len) FILTER (passes AND reason IS NULL AND (o = 0 OR r <= 40)) AS BIGINT) AS frames
+  FROM ranked, (SELECT unnest([0, 1]) AS o) GROUP BY o)
+SELECT CAST(o AS INTEGER) AS source_ord, CASE o WHEN 0 THEN 'damaged' ELSE 'capped' END AS source, n_read,
+       n_in_duration, n_rejected, n_prepared, CASE o WHEN 1 THEN 40::BIGINT END AS cap,
+       CASE o WHEN 0 THEN n_prepared ELSE least(n_prepared, 40) END AS n_kept,
+       o = 1 AND n_prepared < 40 AS short_of_cap, n_rejected AS rejects_found, reasons,
+       CASE o WHEN 0 THEN n_prepared ELSE least(n_prepared, 40) END AS rows_found, frames
+FROM counted""",
     ),
     "corpus_rejects": q(
         DAMAGE,
@@ -743,6 +787,77 @@ FROM (SELECT seq_id // 5 AS step, seq_id, 'metrics/loss' AS metric, avg(nll) AS
       UNION ALL SELECT seq_id // 5, seq_id, 'metrics/layer_' || layer || '_ppl', exp(avg(nll)) FROM nll
                 WHERE layer IS NOT NULL GROUP BY seq_id, layer)
 WHERE seq_id % 5 < 3 GROUP BY step, metric""",
+    ),
+    "whole_evaluation": q(
+        PPL + "," + HIDDEN,
+        """
+, hits AS (
+  SELECT t.seq_id, t.layer AS true_layer, k.pred_layer, count(DISTINCT t.pos) AS n
+  FROM targets t JOIN top5 k ON k.seq_id = t.seq_id AND k.pos = t.pos
+  WHERE t.layer IS NOT NULL AND k.pred_layer IS NOT NULL GROUP BY ALL),
+cell AS (
+  SELECT s.seq_id, a.layer AS i, b.layer AS j,
+         coalesce(coalesce(h.n, 0) / nullif(sum(coalesce(h.n, 0)) OVER (PARTITION BY s.seq_id, a.layer), 0), 0) AS share
+  FROM (SELECT DISTINCT seq_id FROM targets) s, layers a, layers b
+  LEFT JOIN hits h ON h.seq_id = s.seq_id AND h.true_layer = a.layer AND h.pred_layer = b.layer),
+lp AS (
+  SELECT seq_id, layer, exp(avg(nll)) AS ppl FROM nll WHERE layer IS NOT NULL GROUP BY ALL),
+ov AS (
+  SELECT seq_id, model_layer, avg(list_aggregate(vec, 'var_samp')) AS v FROM hidden GROUP BY ALL),
+pairs AS (
+  SELECT c.seq_id, c.layer,
+         sqrt(list_sum(list_transform(s.logits, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+         / (1 + c.pos - s.pos) AS influence,
+         CASE WHEN s.label >= 16 AND s.label < 64 THEN (s.label - 16) // 12 END AS src
+  FROM targets c JOIN pred s ON s.seq_id = c.seq_id AND s.pos <= c.pos
+  WHERE c.layer IS NOT NULL AND c.seq_id % 5 = 0),
+every AS (
+  SELECT seq_id, 'loss' AS m, avg(nll) AS v FROM nll GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'text_ppl', exp(avg(nll)) FROM nll WHERE is_text GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'layer_' || layer || '_ppl', ppl FROM lp
+  UNION ALL SELECT seq_id, 'avg_audio_ppl', avg(ppl) FROM lp GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'ppl_variance', var_pop(ppl) / (avg(ppl) * avg(ppl)) FROM lp GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'ppl_std', stddev_pop(ppl) FROM lp GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'ppl_max_diff', max(ppl) - min(ppl) FROM lp GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'confusion_' || i || '_' || j, share FROM cell
+  UNION ALL SELECT seq_id, 'avg_diagonal', avg(share) FROM cell WHERE i = j GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'min_diagonal', min(share) FROM cell WHERE i = j GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'avg_off_diagonal', avg(share) FROM cell WHERE i <> j GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'max_off_diagonal', max(share) FROM cell WHERE i <> j GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'avg_output_variance', avg(v) FROM ov GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'min_output_variance', min(v) FROM ov GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'max_output_variance', max(v) FROM ov GROUP BY seq_id
+  UNION ALL SELECT seq_id, 'layer_' || layer || '_text_influence',
+                   coalesce(sum(influence) FILTER (src IS NULL), 0) / sum(influence) FROM pairs GROUP BY seq_id, layer
+  UNION ALL SELECT seq_id, 'layer_' || layer || '_same_layer_influence',
+                   coalesce(sum(influence) FILTER (src = layer), 0) / sum(influence) FROM pairs GROUP BY seq_id, layer
+  UNION ALL SELECT seq_id, 'layer_' || layer || '_cross_layer_influence',
+                   coalesce(sum(influence) FILTER (src <> layer), 0) / sum(influence) FROM pairs GROUP BY seq_id, layer)
+SELECT seq_id // 5 AS step, 'metrics/' || m AS metric, round(avg(v), 6) AS value
+FROM every WHERE seq_id % 5 < 3 AND v IS NOT NULL GROUP BY 1, 2""",
+    ),
+    "variance_reports": q(
+        HIDDEN,
+        """
+, recorded AS (
+  SELECT 10 * seq_id AS step, model_layer, avg(list_aggregate(vec, 'var_samp')) AS v FROM hidden GROUP BY ALL),
+reports AS (
+  SELECT DISTINCT 10 * seq_id + 5 AS step FROM hidden WHERE seq_id % 4 = 3
+  UNION SELECT 10 * seq_id + 7 FROM hidden WHERE seq_id % 8 = 7
+  UNION SELECT 10 * seq_id FROM hidden WHERE seq_id % 6 = 0),
+met AS (
+  SELECT r.step, v.v FROM recorded v ASOF JOIN reports r ON v.step <= r.step)
+SELECT r.step, count(m.v) AS n_values, round(avg(m.v), 6) AS avg_output_variance,
+       round(min(m.v), 6) AS min_output_variance, round(max(m.v), 6) AS max_output_variance
+FROM reports r LEFT JOIN met m ON m.step = r.step GROUP BY r.step""",
+    ),
+    "length_sketches": q(
+        UTT,
+        """
+SELECT language_tag, count(*) AS total_samples, round(avg(encoded_len), 6) AS mean,
+       round(stddev_pop(encoded_len), 6) AS std, min(encoded_len)::BIGINT AS shortest,
+       max(encoded_len)::BIGINT AS longest, true AS q25_near, true AS q50_near, true AS q75_near
+FROM utt WHERE encoded_len > 0 GROUP BY language_tag""",
     ),
     "alpha_stats": q(
         PARAMS,
@@ -799,6 +914,24 @@ SELECT step, round(early_alpha, 6) AS early_alpha, round(late_alpha, 6) AS late_
 SELECT utt_id, language_tag, encoded_len, CAST(o AS INTEGER) AS source_ord
 FROM utt JOIN (SELECT unnest(['en', 'fr', 'de', 'rest', 'en']) AS l, unnest(range(5)) AS o) s
   ON s.l = CASE WHEN language_tag IN ('en', 'fr', 'de') THEN language_tag ELSE 'rest' END""",
+    ),
+    "in_source_order": q(
+        UTT,
+        """
+SELECT CAST(o AS INTEGER) AS source_ord, utt_id AS doc_id, row_number() OVER (PARTITION BY o ORDER BY utt_id) - 1 AS row_no
+FROM utt, (SELECT unnest([0, 1]) AS o)""",
+    ),
+    "shard_order": q(
+        UTT,
+        """
+, numbered AS (
+  SELECT CAST(o AS INTEGER) AS source_ord, utt_id AS doc_id,
+         row_number() OVER (PARTITION BY o ORDER BY utt_id) - 1 AS row_no, count(*) OVER (PARTITION BY o) AS total
+  FROM utt, (SELECT unnest([0, 1]) AS o))
+SELECT source_ord, doc_id, row_no, CAST(n AS INTEGER) AS n,
+       CAST(CASE WHEN row_no < (total % n) * (total // n + 1) THEN row_no // (total // n + 1)
+                 ELSE (total % n) + (row_no - (total % n) * (total // n + 1)) // (total // n) END AS INTEGER) AS shard
+FROM numbered, (SELECT unnest([1, 3, 8]) AS n)""",
     ),
     "source_cap": q(
         UTT,

@@ -24,6 +24,7 @@ from codecloom.operators import positions as ps
 from codecloom.operators import run_metrics as rm
 from codecloom.operators import sampling as sm
 from codecloom.operators import scoring as sc
+from codecloom.operators import shards as sh
 from codecloom.operators import tokens as tk
 from codecloom.operators import validate as va
 from codecloom.operators import verdicts as vd
@@ -32,6 +33,7 @@ from codecloom.plans import evaluation as ev
 from codecloom.plans import training_view as tv
 from codecloom.session import shared_path
 from codecloom.sources import load as ld
+from codecloom.sources import metric_store as ms
 from codecloom.sources import store as st
 
 L = TokenLayout()
@@ -211,6 +213,85 @@ def metric_row(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks -----------------------------------------------------------------------
 
 
+def source_split(spark, sf):
+    """Two splits and no split of a corpus in folders of subsets, partitioned by split."""
+
+    def parts():
+        train = F.when(F.col("utt_id") % 5 == 0, "validation").otherwise("train")
+        return rows(spark, sf).withColumn("split", train)
+
+    key = (spark.sparkContext.applicationId, sf, "split_rows")
+    if key not in fx._TABLES:
+        path = shared_path(spark, "split_rows")
+        parts().write.partitionBy("split").parquet(f"{path}/speech")
+        fx._TABLES[key] = path
+    entry = {"path": fx._TABLES[key], "subset": "speech", "id_col": "utt_id", "speaker_emb": "speaker_emb"}
+    entries = [
+        {**entry, "name": "train", "split": "train", "split_col": "split"},
+        {**entry, "name": "validation", "split": "split=validation"},
+        {**entry, "name": "all"},
+    ]
+    config = CorpusConfig.from_dict({"sources": entries})
+    return sm.ordered_union(ld.load_sources(spark, config, L)).groupBy("source_ord", "source").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("encoded_len").alias("frames"),
+        F.sum(F.size("nano_layer_4").cast("bigint")).alias("codes"),
+    )
+
+
+def metric_log_rewritten(spark, sf):
+    """The log written twice, the second time by a job that dies before its blocks are in place."""
+    path = shared_path(spark, "metric_store")
+    log = fx.metric_log(spark, sf).withColumn("run_id", F.concat(F.lit("run-"), F.col("step") % F.lit(3)))
+    ms.write_metrics(log.where(F.col("step") % 4 != 0), path)
+    ms.stage_metrics(log, path)
+    ms.write_metrics(log.where(F.col("step") % 7 == 0), path)
+    kept = F.nanvl("value", F.lit(None).cast("double"))
+    return r6(
+        ms.read_metrics(spark, path)
+        .groupBy("run_id", "metric", "batch_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count(kept).alias("n_values"),
+            F.max("step").alias("last_step"),
+            F.avg(kept).alias("mean_value"),
+        )
+    )
+
+
+def preparation_counts(spark, sf):
+    """Counts observed while the rows of damaged sources were written, with the rejects beside them."""
+    key = (spark.sparkContext.applicationId, sf, "damaged_corpus")
+    if key not in fx._TABLES:
+        fx.stored(spark, sf, "damaged", lambda: damaged(spark, sf))
+        stored = fx._TABLES[(spark.sparkContext.applicationId, sf, "damaged")]
+        entry = {"path": stored, "name": "damaged", "id_col": "utt_id"}
+        entries = [entry, {**entry, "name": "capped", "max_len": 40}]
+        config = CorpusConfig.from_dict({"max_duration_sec": CAP_SECONDS, "sources": entries})
+        path = shared_path(spark, "damaged_corpus")
+        pc.run_preparation(spark, config, tokenizer(spark, sf).column, path, L, derived=False)
+        fx._TABLES[key] = path
+    path = fx._TABLES[key]
+    found = st.open_rejects(spark, path).groupBy("source_ord").agg(
+        F.count(F.lit(1)).alias("rejects_found"), F.count_distinct("reject_reason").alias("reasons")
+    )
+    kept = st.open_training(spark, path).groupBy("source_ord").agg(
+        F.count(F.lit(1)).alias("rows_found"), F.sum(F.col("encoded_len").cast("bigint")).alias("frames")
+    )
+    return st.open_counts(spark, path).join(found, "source_ord").join(kept, "source_ord")
+
+
+def tokenizer_plugin(spark, sf):
+    """A plugged-in tokenizer that takes lists of texts: every word becomes its number of bytes."""
+
+    def factory():
+        return lambda texts: [[len(w.encode()) for w in text.split(" ") if w] for text in texts]
+
+    prompts = tk.add_prompt(rows(spark, sf)).select("utt_id", "prompt")
+    ids = prompts.select("utt_id", tk.batch_tokenizer(factory)(F.col("prompt")).alias("ids"))
+    return ids.select("utt_id", F.size("ids").alias("n"), digest(F.col("ids")).alias("ids_md5"))
+
+
 def source_load(spark, sf):
     union = sm.ordered_union(ld.load_sources(spark, corpus_config(spark, sf), L))
     return union.groupBy("source_ord", "source", "language_tag").agg(
@@ -684,6 +765,58 @@ def batch_evaluation(spark, sf):
     return r6(ev.batch_evaluation(batches, TINY, 3))
 
 
+def whole_evaluation(spark, sf):
+    """Sequences stand for batches: five a step, of which three count; influences of the first one."""
+    s = F.col("seq_id")
+    keys = {"step": F.floor(s / F.lit(5)).cast("bigint"), "batch_id": s % F.lit(5)}
+    by = ["step", "batch_id"]
+    targets = sm.first_batches(targets_of(spark, sf).withColumns(keys), 1)
+    given = fx.predictions(spark, sf).withColumns(keys)
+    norms = given.select(*by, "seq_id", "pos", vectors.l2_norm(F.col("logits")).alias("norm"))
+    pairs = at.past_token_pairs(targets, norms, TINY, by=by, span=4)
+    gap = F.lit(1) + F.col("pos") - F.col("src_pos")
+    recorded = pairs.select(*by, "seq_id", "pos", "src_pos", (F.col("norm") / gap).alias("influence"))
+    tokens = given.select(*by, "seq_id", "pos", F.col("label").alias("token_id"))
+    classified = at.influence_by_target(recorded, targets, tokens, TINY, by=by)
+    aligned = fx.aligned_predictions(spark, sf).withColumns(keys)
+    hidden = fx.hidden_states(spark, sf).withColumns(keys)
+    return r6(ev.whole_evaluation(aligned, hidden, classified, TINY, 3))
+
+
+def variance_reports(spark, sf):
+    """Outputs recorded at every tenth step; reports between them, some right behind another."""
+    hidden = fx.hidden_states(spark, sf).withColumn("step", F.col("seq_id") * F.lit(10))
+    recorded = at.variance_per_output(hidden, ["step"])
+    every = hidden.select("seq_id").distinct()
+    late = every.where(F.col("seq_id") % 4 == 3).select((F.col("seq_id") * 10 + 5).alias("step"))
+    empty = every.where(F.col("seq_id") % 8 == 7).select((F.col("seq_id") * 10 + 7).alias("step"))
+    exact = every.where(F.col("seq_id") % 6 == 0).select((F.col("seq_id") * 10).alias("step"))
+    return r6(at.variance_reports(recorded, late.union(empty).union(exact)))
+
+
+def length_sketches(spark, sf):
+    """Sketches stored by source and language and merged: exact moments, quartiles within their rank error."""
+    usable = pc.usable_rows(rows(spark, sf), L, None).select("source", "language_tag", "encoded_len")
+    stored = fx.stored(
+        spark, sf, "length_sketches", lambda: cs.length_sketches(usable, ["source", "language_tag"])
+    )
+    stats = cs.sketch_stats(cs.merge_sketches(stored, ["language_tag"]), ["language_tag"])
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    hist = cs.length_histogram(usable, ["language_tag"]).join(
+        stats.select(F.col("language_tag").alias("tag"), *quartiles),
+        F.col("language_tag").eqNullSafe(F.col("tag")),
+    )
+    share = {q: F.sum(F.when(F.col("len") <= F.col(q), F.col("freq")).otherwise(0)) / F.sum("freq") for q in quartiles}
+    below = {q: F.sum(F.when(F.col("len") < F.col(q), F.col("freq")).otherwise(0)) / F.sum("freq") for q in quartiles}
+    near = [
+        ((share[q] >= F.lit(p - 0.02)) & (below[q] <= F.lit(p + 0.02))).alias(f"{q}_near")
+        for q, p in quartiles.items()
+    ]
+    checked = hist.groupBy("tag").agg(*near)
+    joined = stats.join(checked, F.col("language_tag").eqNullSafe(F.col("tag"))).drop("tag", *quartiles)
+    return r6(joined)
+
+
 def alpha_stats(spark, sf):
     return r6(ar.alpha_stats(alphas(spark, sf)))
 
@@ -724,6 +857,36 @@ def ordered_union(spark, sf):
     return sm.ordered_union(_by_language(spark, sf))
 
 
+def _in_files(spark, sf):
+    """The documents twice, as two sources, each row with its place in its file."""
+    docs = fx.table(spark, sf, "documents").select(
+        "doc_id", F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_ord")
+    )
+    return sm.ordered_union([docs, docs])
+
+
+def shard_order(spark, sf):
+    """Shards for three numbers of shards, put back together: every row with its shard and its number."""
+    given = _in_files(spark, sf)
+    starts = sh.file_starts(given)
+    parts = [
+        sh.shard(given, n, i, starts).select("source_ord", "doc_id", "row_no", F.lit(n).alias("n"), F.lit(i).alias("shard"))
+        for n in (1, 3, 8)
+        for i in range(n)
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def in_source_order(spark, sf):
+    """The order of the files restored after the rows were dealt anew: the sorted rows, numbered."""
+    numbered = sh.with_row_numbers(_in_files(spark, sf)).repartition(7, "doc_id")
+    placed = sm.in_source_order(numbered)
+    return placed.select("source_ord", "doc_id", "row_no")
+
+
 def source_cap(spark, sf):
     caps = (50, 60, None, 100000, 0)
     parts = [sm.source_cap(p, cap) for p, cap in zip(_by_language(spark, sf), caps, strict=True)]
@@ -838,21 +1001,21 @@ def alpha_pattern(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        source_load, training_load, training_save, stats_save, metric_log, rope_params,
-        canonical_rename, lang_prompt, text_tokens, text_tokens_join, input_ids, labels_mask,
+        source_load, source_split, training_load, training_save, stats_save, metric_log, metric_log_rewritten, rope_params,
+        canonical_rename, lang_prompt, text_tokens, text_tokens_join, tokenizer_plugin, input_ids, labels_mask,
         training_columns, vocab_extension, token_layer,
         duration_filter, nonempty_codes, valid_labels, layer_mask, step_cadence, row_validation,
-        reject_summary, corpus_rejects, corpus_counts, collation_checks,
+        reject_summary, corpus_rejects, corpus_counts, preparation_counts, collation_checks,
         frame_zip, layer_offset, frame_dedup, flatten_codes, frame_positions,
         frame_positions_sequences, frame_positions_tokens, speaker_positions, mask_insert,
         label_insert, pad_batch, batch_defaults, training_batches,
         causal_shift, token_nll, token_nll_wide, topk_tokens, vector_variance, vector_norm,
         token_lookup, layer_range_join, past_token_pairs,
-        length_stats, corpus_preparation, stage_counts, layer_ppl, text_ppl, ppl_summary,
+        length_stats, length_sketches, corpus_preparation, stage_counts, layer_ppl, text_ppl, ppl_summary,
         layer_confusion, confusion_normalized, confusion_summary, output_variance,
-        influence_share, eval_mean, batch_evaluation, alpha_stats, alpha_metrics, alpha_report, alpha_early_late, lm_loss,
+        influence_share, eval_mean, batch_evaluation, whole_evaluation, variance_reports, alpha_stats, alpha_metrics, alpha_report, alpha_early_late, lm_loss,
         metric_table,
-        ordered_union, source_cap, training_shuffle, influence_sample, batch_assign,
+        ordered_union, in_source_order, shard_order, source_cap, training_shuffle, influence_sample, batch_assign,
         eval_batch_limit, layer_sort,
         duration_sec, alpha_from_weight, metric_names,
         ppl_verdict, variance_verdict, influence_verdict, confusion_verdict, overall_assessment,

@@ -4,6 +4,9 @@ No text is lost: a word outside the vocabulary is spelled, as the byte id of a s
 its UTF-8 form. Words hold no space, so the ids give back the words.
 """
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -212,6 +215,31 @@ def custom_tokenizer(
     return encode
 
 
+def batch_tokenizer(
+    factory: Callable[[], Callable[[list[str]], list[list[int]]]],
+) -> Callable[[Column], Column]:
+    """Wrap a tokenizer that takes a list of texts; one call an Arrow batch.
+
+    `factory` builds it once per Python worker: it is kept in a module of that process, beyond the task. A
+    NULL text has NULL ids and is not handed over.
+    """
+    kept = f"_codecloom_tokenizer_{uuid.uuid4().hex}"
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        module = sys.modules.get(kept)
+        if module is None:
+            module = types.ModuleType(kept)
+            module.tokenizer = factory()
+            sys.modules[kept] = module
+        for prompts in batches:
+            found = iter(module.tokenizer(prompts.drop_null().to_pylist()))
+            rows = [next(found) if there else None for there in prompts.is_valid().to_pylist()]
+            yield pa.array(rows, pa.list_(pa.int64()))
+
+    return encode
+
+
 def add_text_tokens(
     df: DataFrame, tokenizer: Callable[[Column], Column], layout: TokenLayout, lead: bool = True
 ) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecloom.layout import TokenLayout
 from codecloom.operators import scoring as sc
-from codecloom.operators.attention_stats import output_variance, variance_per_output
+from codecloom.operators.attention_stats import influence_share, output_variance, variance_per_output
 from codecloom.operators.run_metrics import TRAIN_PREFIX, eval_mean, long_metrics
 from codecloom.operators.sampling import first_batches
 
@@ -51,15 +51,18 @@ def metric_row(
     return summary.withColumn("__v", single).select("*", "__v.*").drop("__v")
 
 
+def layer_columns(layout: TokenLayout) -> dict[str, Column]:
+    """Perplexity of each layer and each cell of the confusion, by name."""
+    layers = range(layout.num_audio_layers)
+    return {f"layer_{k}_ppl": F.col("ppl")[k] for k in layers} | {
+        f"confusion_{i}_{j}": sc.confusion_share(layout, i, j) for i in layers for j in layers
+    }
+
+
 def metric_table(row: DataFrame, layout: TokenLayout, by: Sequence[str] = ()) -> DataFrame:
     """Long form of everything in a metric row, layers and confusion cells included."""
-    layers = range(layout.num_audio_layers)
-    named = row.withColumns(
-        {f"layer_{k}_ppl": F.col("ppl")[k] for k in layers}
-        | {f"confusion_{i}_{j}": sc.confusion_share(layout, i, j) for i in layers for j in layers}
-    )
-    cells = [f"confusion_{i}_{j}" for i in layers for j in layers]
-    return long_metrics(named, [f"layer_{k}_ppl" for k in layers] + cells + list(SUMMARY_METRICS), by)
+    layers = layer_columns(layout)
+    return long_metrics(row.withColumns(layers), [*layers, *SUMMARY_METRICS], by)
 
 
 def batch_evaluation(
@@ -81,6 +84,38 @@ def batch_evaluation(
     return eval_mean(long_metrics(totals, ["loss", "text_ppl", *layers], keys), by)
 
 
+def whole_evaluation(
+    aligned: DataFrame,
+    hidden: DataFrame,
+    influences: DataFrame,
+    layout: TokenLayout,
+    max_batches: int = 10,
+    by: Sequence[str] = ("step",),
+    batch: str = "batch_id",
+) -> DataFrame:
+    """(by, metric, value): all metrics of each batch, averaged over the first batches.
+
+    Three inputs of different grain, each keyed by (by, batch) and read once: logits with their targets
+    (a row a position), hidden vectors (a row a position and output) and classified influences (a row a
+    pair, see `influence_by_target`), of which the first batch alone counts. They meet as metric rows, so
+    nothing is joined; later batches are left out before their rows are read. A batch without a value for a
+    metric does not count in its mean, and a metric without any value is left out.
+    """
+    keys = [*by, batch]
+    scored = sc.score_aligned(first_batches(aligned, max_batches, batch), layout, by=keys)
+    totals = sc.score_totals(scored, layout, keys).select(
+        *keys, "loss", "ppl", "text_ppl", *sc.perplexity_columns(), "confusion", *sc.confusion_columns(layout)
+    )
+    named = totals.withColumns(layer_columns(layout))
+    from_scores = [m for m in SUMMARY_METRICS if not m.endswith("output_variance")]
+    scores = long_metrics(named, ["loss", *layer_columns(layout), *from_scores], keys)
+    outputs = variance_per_output(first_batches(hidden, max_batches, batch), keys)
+    spread = [m for m in SUMMARY_METRICS if m.endswith("output_variance")]
+    variances = long_metrics(output_variance(outputs, keys), spread, keys)
+    shares = influence_metrics(influence_share(first_batches(influences, 1, batch), keys), keys)
+    return eval_mean(scores.unionByName(variances).unionByName(shares), by)
+
+
 def influence_metrics(shares: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Long form of influence shares; layers without influence have no rows."""
     kinds = ("text_influence", "same_layer_influence", "cross_layer_influence")
