@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecloom.session import shared_path
@@ -28,31 +27,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(base: str, taken: Iterable[str]) -> str:
+    """`base`, led by as many underscores as it takes to be none of the names (whatever their case)."""
+    held = {name.lower() for name in taken}
+    while base.lower() in held:
+        base = f"_{base}"
+    return base
+
+
 def with_place(df: DataFrame, name: str) -> DataFrame:
     """`df` with its rows numbered from 0 in the order in which its files hold them.
 
     Spark numbers files by the task that wrote them. A table that was not read from files is numbered
-    in the order of its partitions.
+    in the order of its partitions. `name` must be new; other columns keep their names and values. The
+    starts of the files are added up in Spark (a row a file) and joined as the planner sees fit.
     """
     if df.inputFiles():
         path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     else:
         path = F.spark_partition_id().cast("string")
         row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = df.select("*", path.alias("_path"), row.alias("_row"))
-    files = numbered.groupBy("_path").agg(F.count(F.lit(1)).alias("n")).collect()
-
-    def written_at(path: str) -> tuple[int, str]:
-        return int(re.sub(r"\D.*", "", path.rsplit("/", 1)[-1].removeprefix("part-")) or 0), path
-
-    before, starts = 0, []
-    for r in sorted(files, key=lambda r: written_at(r["_path"])):
-        starts.append((r["_path"], before))
-        before += r["n"]
-    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_path string, _before bigint"))
-    return numbered.join(table, "_path").select(
-        *[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_row")).alias(name)
-    )
+    file, inside = (fresh_name(n, [*df.columns, name]) for n in ("file", "inside"))
+    numbered = df.select("*", path.alias(file), row.alias(inside))
+    written_by = F.regexp_extract(F.substring_index(file, "/", -1), "^(?:part-)?([0-9]+)", 1)
+    order = F.coalesce(F.expr(f"try_cast(`{name}` AS bigint)"), F.lit(0))
+    sizes = numbered.groupBy(file).agg(F.count(F.lit(1)).alias("n")).withColumn(name, written_by)
+    earlier = Window.orderBy(order, file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
+    place = (F.col(f"s.{name}") + F.col(f"d.{inside}")).alias(name)
+    joined = numbered.alias("d").join(starts.alias("s"), F.col(f"d.{file}") == F.col(f"s.{file}"))
+    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], place)
 
 
 def id_order(col: str) -> Column:

@@ -145,12 +145,13 @@ def identify(
     lang_col: str = "lang",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, held_out, lang_pred, score, languages) and the columns of `carry` for every row.
+    """(id, held_out, lang_pred, score, languages, has_letter[, row]) for every row.
 
     `lang_pred` is the language with the largest share in the chosen set, `score` that share, and
     `languages` the set as `lang:share` pairs. NULL texts and texts without a letter are `und` with
-    score 0, and so is every text if there is nothing to learn from. Rows without a language are
-    predicted but not learnt from. NULL ids are not held out. Other columns are ignored.
+    score 0, and so is every text if there is nothing to learn from; `has_letter` tells the two apart. Rows
+    without a language are predicted but not learnt from. NULL ids are not held out. Other columns are
+    ignored, unless `carry` names them: then they come back in the struct `row`.
     """
     langs, log_p = learn(docs, id_col, text_col, lang_col)
     log_p = log_p.astype(np.float32)
@@ -160,10 +161,11 @@ def identify(
         log_table = log_p.astype(np.float64)
         table = np.exp(log_table)
         for batch in slices(batches, text=2):
-            best, share, sets = [], [], []
+            best, share, sets, letters = [], [], [], []
             for text in batch.column(2).to_pylist():
-                found = trigrams.counts(text) if text and langs else None
-                if found is None:
+                found = trigrams.counts(text) if text else None
+                letters.append(found is not None)
+                if found is None or not langs:
                     best.append(UNKNOWN)
                     share.append(0.0)
                     sets.append("")
@@ -183,6 +185,7 @@ def identify(
                     pa.array(best, pa.string()),
                     pa.array(share, pa.float64()),
                     pa.array(sets, pa.string()),
+                    pa.array(letters, pa.bool_()),
                     *batch.columns[3:],
                 ],
                 schema.names,
@@ -192,7 +195,7 @@ def identify(
         F.col(id_col).cast("bigint").alias("id"),
         held_out(id_col, *HELD_OUT).alias("held_out"),
         F.col(text_col).alias("text"),
-        *[F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)],
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     schema = T.StructType(
         [
@@ -201,7 +204,8 @@ def identify(
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("languages", T.StringType()),
+            T.StructField("has_letter", T.BooleanType()),
             *rows.schema.fields[3:],
         ]
     )
-    return rows.mapInArrow(run, schema).toDF(id_col, *schema.names[1:5], *carry)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)

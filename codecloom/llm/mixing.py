@@ -91,30 +91,6 @@ def block_slots(
             heapq.heappush(waiting, (max(slot, release), number, block + 1))
 
 
-def rounded_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Slots of one period, at least one for each source, by largest remainder; for a look at a mixture.
-
-    Only sources that would get no slot are raised, at the cost of the sources with the most slots.
-    """
-    exact = exact_weights(weights, period)
-    if not exact:
-        return {}
-    period = max(period, SLOTS_PER_SOURCE * len(exact))
-    total = sum(exact.values())
-    parts = {s: max(1, n * period // total) for s, n in exact.items()}
-    left = period - sum(parts.values())
-    for s in sorted(exact, key=lambda s: -(exact[s] * period % total))[: max(0, left)]:
-        parts[s] += 1
-    for _ in range(-left):
-        parts[max(parts, key=parts.get)] -= 1
-    return parts
-
-
-def period_schedule(parts: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, block, slot) of one period in which each source has its number of blocks."""
-    return list(block_slots(parts, parts))
-
-
 def source_sizes(docs: DataFrame, source_col: str = "source") -> dict[str | None, int]:
     rows = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return {r["s"]: r["n"] for r in rows.limit(MAX_SOURCES + 1).collect()}
@@ -168,31 +144,47 @@ def mixed_order(
         planned(docs, exact_weights(weights, period), {s: -(-n // block_docs) for s, n in sizes.items()}),
         "mixing-plan",
     )
-    source = F.col(source_col).cast("string")
-    hashed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col))).withColumn(
-        "_p", F.shiftrightunsigned("_h", 64 - PREFIX_BITS)
+    # The input's columns travel in one struct, so that they cannot meet a name used here.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"))
+    hashed = docs.select(
+        F.struct(*columns).alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").cast("string").alias("source"),
+        key.alias("hash"),
+        F.shiftrightunsigned(key, 64 - PREFIX_BITS).alias("prefix"),
     )
     # Rows of a source in front of each hash range: at most 2**PREFIX_BITS rows a source.
-    counts = hashed.groupBy(source.alias("_src"), F.col("_p").alias("_pre")).agg(
-        F.count(F.lit(1)).alias("_c")
-    )
-    ahead = Window.partitionBy("_src").orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_src", "_pre", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(source, "_p").orderBy("_h", id_col)
-    ranked = hashed.withColumn("_r", F.row_number().over(inside) - F.lit(1))
-    same = source.eqNullSafe(F.col("_src")) & (F.col("_p") == F.col("_pre"))
-    ranked = ranked.join(counts, same).withColumn("_rank", F.col("_r") + F.col("_before"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("_rank") / F.lit(block_docs)))
-    placed = ranked.join(plan, source.eqNullSafe(F.col("_s")) & (F.col("mix_block") == F.col("_b")))
-    position = F.col("mix_slot") * F.lit(block_docs) + F.col("_rank") % F.lit(block_docs)
-    return (
-        placed.withColumn("mix_slot", F.col("_t"))
-        .withColumn("mix_position", position)
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", "mix_position")
+    counts = hashed.groupBy(F.col("source").alias("s"), F.col("prefix").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("s", "p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "prefix").orderBy("hash", "id")
+    ranked = hashed.withColumn("number", F.row_number().over(inside) - F.lit(1))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p"))
+    rank = F.col("number") + F.col("before")
+    ranked = ranked.join(counts, same).select("row", "source", rank.alias("rank"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / F.lit(block_docs)))
+    placed = ranked.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    position = F.col("_t") * F.lit(block_docs) + F.col("rank") % F.lit(block_docs)
+    return placed.select(
+        "row.*",
+        F.col("block").alias("mix_block"),
+        F.col("_t").alias("mix_slot"),
+        position.alias("mix_position"),
     )
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` sorted by their place in the mixture, for writing the mixture as files."""
-    placed = mixed_order(docs, **options)
-    return placed.sort("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+def in_mixed_order(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options
+) -> DataFrame:
+    """The rows of `docs` sorted by their place in the mixture, for writing the mixture as files.
+
+    All columns come back as they were, whatever their names.
+    """
+    nested = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{source_col}`").alias("source"),
+    )
+    placed = mixed_order(nested, id_col="id", source_col="source", **options)
+    return placed.sort("mix_position").select("row.*")

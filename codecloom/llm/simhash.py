@@ -12,13 +12,14 @@ written to the shared folder, and only fingerprints that have a link take part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codecloom.llm.common import id_order, slices, whole_text, written
 
@@ -58,19 +59,29 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ord, fp) per row; `fp` holds the 64 bits as a signed long, `ord` sorts NULL ids last."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, ord, fp) per row; `fp` holds the 64 bits as a signed long, `ord` sorts NULL ids last.
+
+    The columns of `carry` follow as one struct `row`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=2):
             found = [fingerprint(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             fp = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["id", "ord", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp), *batch.columns[3:]], names)
 
     rows = docs.select(
-        F.col(id_col).cast("bigint").alias("id"), id_order(id_col).alias("ord"), whole_text(text_col).alias("text")
+        F.col(id_col).cast("bigint").alias("id"),
+        id_order(id_col).alias("ord"),
+        whole_text(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
-    return rows.mapInArrow(run, "id bigint, ord bigint, fp bigint")
+    fields = [T.StructField(n, T.LongType()) for n in ("id", "ord", "fp")] + rows.schema.fields[3:]
+    names = [f.name for f in fields]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def _segments(value):
@@ -136,25 +147,32 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         state = state.drop("old")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for every row.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, fingerprint, component_id[, component_fp, row]) for every row.
 
     Rows whose fingerprints differ in at most 3 bits are linked; the component id is the smallest id
     that can be reached along links. Texts without a word (NULL, empty, white space) have fingerprint
     zero and are linked like any other. NULL ids come last: a component of such rows alone has a NULL
-    component id. Rows that repeat an id keep a row each. Other columns are ignored.
+    component id. Rows that repeat an id keep a row each. Other columns are ignored, unless `carry` names
+    them: then they come back in the struct `row`, next to `component_fp`, the fingerprint that stands for
+    the component (components of rows that repeat an id may share their smallest id, but never that).
     """
-    marks = written(fingerprints(docs, id_col, text_col), "simhash-marks")
+    marks = written(fingerprints(docs, id_col, text_col, carry), "simhash-marks")
     # Several fingerprints may share a smallest id where ids repeat or are NULL: number them apart.
     nodes = marks.groupBy("fp").agg(F.min("ord").alias("first"))
     nodes = written(nodes, "simhash-nodes")
     pairs = close_pairs(nodes.select("fp"))
     keyed = nodes.select("fp", F.struct("first", "fp").alias("ord"))
-    found = components(keyed, pairs).select("fp", F.col("label.first").alias("label"))
-    smallest = nodes.join(found, "fp", "left").select("fp", F.coalesce("label", "first").alias("label"))
-    component = F.when(F.col("label") != F.lit(2**63 - 1), F.col("label"))
+    found = components(keyed, pairs).select("fp", F.col("label").alias("found"))
+    label = F.coalesce("found", F.struct("first", "fp"))
+    smallest = nodes.join(found, "fp", "left").select("fp", label.alias("label"))
+    component = F.when(F.col("label.first") != F.lit(2**63 - 1), F.col("label.first"))
+    more = [F.col("label.fp").alias("component_fp"), "row"] if carry else []
     return marks.join(smallest, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         component.alias("component_id"),
+        *more,
     )

@@ -10,6 +10,7 @@ from checks import compare
 from codecloom.llm.common import written
 from codecloom.llm.oracle import ORACLE
 from codecloom.llm.queries import QUERIES
+from codecloom.llm.simhash import near_duplicates
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -61,23 +62,69 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == {1, 2, 5, 6}
 
 
-def test_near_copies_with_edits_are_dropped(spark):
-    """100 words: with one word changed in the middle similarity 0.90, with two 0.81, with three 0.73."""
-    rows, stays = [], set()
-    for k in range(40):
-        words = [f"t{k}w{i}" for i in range(100)]
-        for edits in range(4):
-            changed = [f"e{edits}" if i in (20, 50, 80)[:edits] else w for i, w in enumerate(words)]
-            rows.append((4 * k + edits, " ".join(changed)))
-        if k % 2:  # without the steps between them, the first and the last are not alike
-            del rows[-3:-1]
-            stays |= {4 * k, 4 * k + 3}
-        else:
-            del rows[-1], rows[-2]
-            stays.add(4 * k)
+def near(spark, rows, schema="doc_id bigint, text string"):
+    docs = written(spark.createDataFrame(rows, schema).coalesce(1), "test-near")
+    return corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+
+
+def test_near_copies_by_fingerprint_are_dropped(spark):
+    """The stage keeps one row of each component of the operator."""
+    rows = []
+    for k in range(30):
+        words = [f"t{k}w{i}" for i in range(400)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join([*words[:-1], "edited"])))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    left = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
-    assert stays <= left and len(left - stays) <= 1
+    groups = {r["component_id"] for r in near_duplicates(docs).collect()}
+    left = sorted(r["doc_id"] for r in near(spark, rows).collect())
+    assert left == sorted(groups) and len(left) < 60
+
+
+def test_rows_of_one_id_stay_or_go_by_their_own_text(spark):
+    copy, other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(2, copy), (1, copy), (2, other), (None, third), (None, third), (None, copy)]
+    got = near(spark, rows).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, third), (1, copy), (2, other)]
+    assert near(spark, [(None, third), (None, third)]).count() == 1
+    # Two components may share their smallest id: both keep a row.
+    assert near(spark, [(3, copy), (3, other), (4, copy), (4, other)]).count() == 2
+
+
+def test_tables_without_any_language_keep_their_documents(spark):
+    rows = [(i, f"a text with some letters {i}", None) for i in range(5)] + [(9, "12 34", None), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.language_stage(spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 4] and all(r["lang"] is None for r in got)
+
+
+def test_missing_languages_are_filled_in(spark):
+    texts = {"en": "the cat and the dog were in the house with them", "de": "der hund und die katze sind nicht im haus"}
+    rows = [(i, texts[lang], lang) for i, lang in enumerate(["en", "de"] * 30)] + [(100, texts["de"], None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_stage(spark, docs, SF).collect()}
+    assert got[100] == "de" and all(got[i] == lang for i, _, lang in rows[:-1])
+
+
+CLASHING = ("_rank", "_h", "_s", "_p", "_before", "_path", "_row", "file", "place", "score", "languages", "held_out",
+            "lang_pred", "row", "kept", "n_lines", "hash", "id", "others", "component_fp", "mix_block", "own")
+
+
+def test_extra_columns_come_through_the_stages(spark):
+    """Columns that bear names used inside keep their values, repeated and NULL ids included."""
+    ids = [1, 2, 2, None, 5, 6]
+    rows = [
+        (i, f"text number {k} has words of its own {k * 7}", "en" if k % 2 else None, f"s{k % 2}", 5, *[f"{c}-{k}" for c in CLASHING])
+        for k, i in enumerate(ids)
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, "
+    docs = spark.createDataFrame(rows, schema + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(2)
+    want = {tuple(r[5:]) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), f"test-clash-{name}")
+        assert docs.columns[5:] == list(CLASHING)
+        assert {tuple(r)[5:] for r in docs.collect()} == want and docs.count() == len(ids)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert sorted((r["doc_id"] or 0) for r in packed.collect()) == [0, 1, 2, 2, 5, 6]
 
 
 def test_sequences_follow_the_mixture(spark):
