@@ -54,6 +54,8 @@ def with_place(df: DataFrame, name: str) -> DataFrame:
     sizes = numbered.groupBy(file).agg(F.count(F.lit(1)).alias("n")).withColumn(name, written_by)
     earlier = Window.orderBy(order, file).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(name))
+    # Stored, so that the planner knows its size: it broadcasts it while that is small.
+    starts = written(starts, "file-starts")
     place = (F.col(f"s.{name}") + F.col(f"d.{inside}")).alias(name)
     joined = numbered.alias("d").join(starts.alias("s"), F.col(f"d.{file}") == F.col(f"s.{file}"))
     return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], place)

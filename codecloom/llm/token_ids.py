@@ -25,9 +25,9 @@ import pyarrow.compute as pc
 
 # A remembered piece takes about this many bytes besides its characters and ids.
 ENTRY_BYTES = 150
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 # Texts tokenised together: more of them share more words.
-SLICE_ROWS, SLICE_BYTES = 8192, 12 << 20
+SLICE_ROWS, SLICE_BYTES = 8192, 8 << 20
 # A space before white space or at the end of a text does not begin a word.
 LOOSE_SPACE = r" (?:[\s\v\x1c-\x1f\x{85}\p{Z}]|\z)"
 # Characters up to the Latin extensions, without controls and spaces other than these.
@@ -84,8 +84,10 @@ def gathered(store: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np
     count = size[codes]
     offsets = np.zeros(len(codes) + 1, dtype=np.int64)
     np.cumsum(count, out=offsets[1:])
-    place = np.repeat(begin[codes] - offsets[:-1], count)
-    place += np.arange(len(place))
+    # Half the memory where places fit 32 bits.
+    kind = np.int32 if max(len(store), int(offsets[-1])) < 1 << 31 else np.int64
+    place = np.repeat((begin[codes] - offsets[:-1]).astype(kind), count)
+    place += np.arange(len(place), dtype=kind)
     return store[place], offsets
 
 
