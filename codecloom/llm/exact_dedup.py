@@ -2,16 +2,20 @@
 
 A key is the 64-bit hash of a normalised text. The index is a folder with
 
-* `entries`: one row per distinct text (bucket, hash, chain, sha, n_bytes, keep_id, n_rows), dealt to
-  owner tasks by bucket and sorted by hash inside it; texts that share a hash form a chain, and
-* `directory`: 2**depth cells, each pointing to a bucket that owns a range of hashes.
-
-The directory starts at the depth the number of keys asks for and is doubled while a bucket holds
-more than `capacity` distinct keys; only overfull buckets are split. Copies never fill a bucket:
-they are combined in each task before anything is shuffled.
-
-Bytes are compared, not only hashes: entries are the groups of (hash, whole normalised text), which
-the aggregation keeps apart byte by byte.
+* `rows`: the hash of every row, with its id,
+* `directory`: 2**depth cells, each pointing to a bucket that owns a range of hashes,
+* `entries`: one row per distinct text (bucket, hash, chain, chain_length, sha, n_bytes, keep_id, n_rows),
+  dealt to owner tasks by bucket and sorted by hash inside it, and
+* `chains`: the texts of hashes that several texts share.
+
+The directory comes first. It starts at the depth the number of keys asks for and is doubled while a
+bucket holds more than `capacity` distinct keys; only overfull buckets are split. Then every text goes to
+the bucket its cell names and is compared there, byte by byte, with the texts under its hash: an equal one
+takes it in, a different one makes the chain longer. Copies are combined in each task before they move.
+
+A row finds its entry the same way: cell, bucket, hash. Under a hash with one text that is the entry; along
+a longer chain the row's text is compared with each. A row whose cell names another bucket than the one
+that took its text finds nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from codecloom.session import shared_path
 
 BUCKET_CAPACITY = 1024
 MAX_DEPTH = 48
+# Cells of 16 bytes that are sent to every task; a larger directory is joined as the planner sees fit.
+BROADCAST_CELLS = 1 << 20
 
 
 def normalised(col: str) -> Column:
@@ -37,23 +43,48 @@ def normalised(col: str) -> Column:
     return F.regexp_replace(whole_text(col), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
+def hashed(text: Column, bits: int) -> Column:
+    """The first `bits` bits of a text's hash; the others are zero."""
+    spare = 64 - bits
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), spare), spare) if spare else F.xxhash64(text)
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    return rows.withColumn("hash", hashed(F.col("norm"), bits))
+
+
 def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
 @dataclass(frozen=True)
 class HashIndex:
-    """Where an index lies and how deep its directory is."""
+    """Where an index lies, how deep its directory is, and how many bits its hashes have."""
 
     path: str
     depth: int
+    bits: int = 64
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/rows")
 
     def entries(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/entries")
 
+    def chains(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/chains")
+
     def directory(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/directory")
 
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """Rows with the bucket their cell of the directory names, in a new column `bucket`."""
+        cells = self.directory(rows.sparkSession)
+        if cells.count() <= BROADCAST_CELLS:
+            cells = F.broadcast(cells)
+        return rows.withColumn("cell", _prefix(self.depth)).join(cells, "cell").drop("cell")
+
 
 def grow_directory(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, int]:
     """Buckets (depth, prefix, n_keys) of a column of distinct hashes, and the directory's depth.
@@ -85,44 +116,77 @@ def directory_cells(buckets: DataFrame, depth: int) -> DataFrame:
     """One row per cell of the doubled directory; a bucket of lesser depth owns several cells."""
     width = F.pow(F.lit(2.0), F.lit(depth) - F.col("depth")).cast("bigint")
     cells = F.sequence(F.col("prefix") * width, (F.col("prefix") + F.lit(1)) * width - F.lit(1))
-    bucket = F.concat_ws(":", F.col("depth"), F.col("prefix"))
+    bucket = F.col("prefix") * F.lit(64) + F.col("depth")
     return buckets.select(bucket.alias("bucket"), F.explode(cells).alias("cell"))
 
 
 def build_index(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = BUCKET_CAPACITY,
+    bits: int = 64,
 ) -> HashIndex:
-    """Index every text of `docs` in a new shared folder."""
+    """Index every text of `docs` in a new shared folder. Fewer `bits` of the hash make longer chains."""
     spark = docs.sparkSession
     path = shared_path(spark, "hash-index")
-    texts = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    groups = (
-        texts.groupBy(F.xxhash64("norm").alias("hash"), "norm")
+    texts = text_rows(docs, id_col, text_col, bits)
+    copies = F.count(F.lit(1)).alias("copies")
+    texts.groupBy("id", "hash").agg(copies).write.parquet(f"{path}/rows")
+    keys = spark.read.parquet(f"{path}/rows").select("hash").distinct()
+    buckets, depth = grow_directory(keys, capacity)
+    directory_cells(buckets, depth).write.parquet(f"{path}/directory")
+    index = HashIndex(path, depth, bits)
+    chain = Window.partitionBy("bucket", "hash")
+    (
+        index.routed(texts)
+        .groupBy("bucket", "hash", "norm")
         .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
         .select(
-            "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"),
+            "bucket", "hash", F.sha2("norm", 256).alias("sha"), F.octet_length("norm").alias("n_bytes"),
             "keep_id", "n_rows",
         )
-    )
-    groups = written(groups, "hash-groups")
-    buckets, depth = grow_directory(groups.select("hash").distinct(), capacity)
-    directory_cells(buckets, depth).write.parquet(f"{path}/directory")
-    cells = spark.read.parquet(f"{path}/directory")
-    chain = Window.partitionBy("bucket", "hash").orderBy("sha")
-    (
-        groups.withColumn("cell", _prefix(depth))
-        .join(cells, "cell")
-        .drop("cell")
         .repartition("bucket")
-        .withColumn("chain", F.row_number().over(chain))
+        .withColumn("chain", F.row_number().over(chain.orderBy("sha")))
+        .withColumn("chain_length", F.count(F.lit(1)).over(chain))
         .sortWithinPartitions("bucket", "hash", "chain")
         .write.parquet(f"{path}/entries")
-    )
-    return HashIndex(path, depth)
+    )
+    chained = index.entries(spark).where(F.col("chain_length") > F.lit(1))
+    if chained.isEmpty():
+        chained.select("bucket", "hash", "chain", F.lit("").alias("norm")).write.parquet(f"{path}/chains")
+    else:
+        held = texts.join(chained.select("hash").distinct(), "hash").select("hash", "norm").distinct()
+        held.withColumn("sha", F.sha2("norm", 256)).join(chained, ["hash", "sha"]).select(
+            "bucket", "hash", "chain", "norm"
+        ).write.parquet(f"{path}/chains")
+    return index
+
+
+def index_lookup(
+    docs: DataFrame, index: HashIndex, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, copies, keep_id, n_rows, sha) of the indexed rows of `docs`, found through the directory."""
+    spark = docs.sparkSession
+    entries = index.entries(spark)
+    facts = ["id", "copies", "keep_id", "n_rows", "sha"]
+    alone = entries.where(F.col("chain_length") == F.lit(1))
+    found = index.routed(index.rows(spark)).join(alone, ["bucket", "hash"]).select(*facts)
+    chains = index.chains(spark)
+    if chains.isEmpty():
+        return found
+    texts = text_rows(docs, id_col, text_col, index.bits).join(chains.select("hash").distinct(), "hash")
+    texts = texts.groupBy("id", "hash", "norm").agg(F.count(F.lit(1)).alias("copies"))
+    told = index.routed(texts).join(chains, ["bucket", "hash", "norm"])
+    return found.unionByName(told.join(entries, ["bucket", "hash", "chain"]).select(*facts))
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = BUCKET_CAPACITY,
+    bits: int = 64,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -130,20 +194,10 @@ def exact_groups(
     come last, and a group of NULL ids alone keeps one of them. Of rows that repeat an id and a text,
     one is kept. An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    index = build_index(docs, id_col, text_col, capacity)
-    norm = normalised(text_col)
-    rows = (
-        docs.select(
-            F.col(id_col).alias("id"), F.xxhash64(norm).alias("hash"), F.sha2(norm, 256).alias("sha")
-        )
-        .groupBy("id", "hash", "sha")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    entries = index.entries(spark).select("hash", "sha", "keep_id", "n_rows")
+    index = build_index(docs, id_col, text_col, capacity, bits)
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
     return (
-        rows.join(entries, ["hash", "sha"])
+        index_lookup(docs, index, id_col, text_col)
         .select("id", "keep_id", "n_rows", "sha", copy)
         .select(
             F.col("id").alias(id_col),

@@ -35,7 +35,7 @@ EXACT_DOUBLE, EXACT_LONG = 2.0**53, 2.0**62
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec, norm2): floor(256 x) as float64 bytes, of vectors whose components are all finite."""
+    """(id, vec, norm2): floor(256 x) as float64 bytes, of vectors whose scaled components are all finite."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=4096):
@@ -47,7 +47,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 with np.errstate(over="ignore"):
                     q = np.floor(SCALE * x)
                     norm = float(q @ q)
-                if not np.isfinite(x).all():
+                if not np.isfinite(q).all():
                     continue
                 ids.append(key)
                 rows.append(q.tobytes())
@@ -148,8 +148,8 @@ def exact_top_k(
     """(query_id, rank, vec_id, score): each query's k best candidates, ties to the smaller id.
 
     Queries are rows whose id is divisible by `query_step`; candidates are all rows but the query's
-    own. NULL vectors, NULL ids and vectors with a NULL or non-finite component take no part. A
-    shorter vector counts as filled up with zeros. Of rows that repeat an id the smallest vector
+    own. NULL vectors, NULL ids and vectors with a NULL or non-finite component take no part, nor do
+    those with a component that is no longer finite times 256 (from about 7e305). A shorter vector counts as filled up with zeros. Of rows that repeat an id the smallest vector
     counts. An empty table gives an empty result; other columns are ignored.
     """
     table = written(quantised(vectors, id_col, vector_col), "topk-vectors")

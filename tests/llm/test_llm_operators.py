@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from codecloom.llm import mixing, packing, topk
-from codecloom.llm.exact_dedup import build_index, exact_groups
+from codecloom.llm.exact_dedup import HashIndex, build_index, exact_groups, index_lookup
 from codecloom.llm.induced_sort import sorted_suffixes
 from codecloom.llm.language_id import identify
 from codecloom.llm.line_dedup import line_dedup
@@ -67,8 +67,8 @@ def order(i):
     return 2**63 - 1 if i is None else i
 
 
-@pytest.mark.parametrize("capacity", [1, 3, 1024])
-def test_exact_groups(docs, capacity):
+@pytest.mark.parametrize("capacity, bits", [(1, 64), (3, 64), (1024, 64), (3, 2), (1024, 3)])
+def test_exact_groups(docs, capacity, bits):
     norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in TEXTS]
     want, seen = [], set()
     for i, t in norm:
@@ -77,7 +77,7 @@ def test_exact_groups(docs, capacity):
         first = i == keep and (i, t) not in seen
         seen.add((i, t))
         want.append((i, keep, sum(u == t for _, u in norm), first, hashlib.sha256(t.encode()).hexdigest()))
-    got = exact_groups(docs, capacity=capacity)
+    got = exact_groups(docs, capacity=capacity, bits=bits)
     assert bag(got, *got.columns) == sorted(want, key=repr)
 
 
@@ -91,6 +91,26 @@ def test_index_buckets_hold_their_capacity(spark, docs):
     assert entries.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in TEXTS})
 
 
+def test_texts_of_one_hash_make_a_chain(spark, docs):
+    index = build_index(docs, bits=1)
+    assert index.entries(spark).agg({"chain": "max"}).first()[0] > 2
+    assert index.chains(spark).count() == index.entries(spark).where("chain_length > 1").count()
+    assert build_index(docs).chains(spark).isEmpty()
+
+
+def test_rows_are_found_through_the_directory(spark, docs, tmp_path):
+    index = build_index(docs, capacity=2)
+    assert index_lookup(docs, index).agg({"copies": "sum"}).first()[0] == len(TEXTS)
+    # The same rows and entries under a directory that names each bucket for its neighbour's cell.
+    cells = sorted(index.directory(spark).collect(), key=lambda r: r["cell"])
+    turned = [(cells[k - 1]["bucket"], c["cell"]) for k, c in enumerate(cells)]
+    wrong = HashIndex(str(tmp_path / "wrong"), index.depth)
+    spark.createDataFrame(turned, "bucket bigint, cell bigint").write.parquet(f"{wrong.path}/directory")
+    for part in ("rows", "entries", "chains"):
+        spark.read.parquet(f"{index.path}/{part}").write.parquet(f"{wrong.path}/{part}")
+    assert index_lookup(docs, wrong).count() < index_lookup(docs, index).count()
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_line_dedup(docs, batches):
     def key(line):
@@ -244,17 +264,18 @@ VECTORS = [
     (0, [0.5, -0.25, 1.0]), (50, [0.1, 0.2]), (1, [0.5, -0.25, 1.0]), (2, [0.5, -0.25, 1.0]), (3, None),
     (4, [float("nan"), 0.0, 0.0]), (5, [1.0, None, 0.0]), (6, [float("inf"), 0.0, 0.0]), (7, []),
     (8, [-0.001, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (100, [2.0, 2.0, 2.0]), (9, [3.0, -3.0, 0.5]),
+    (150, [1.0, -1.7e308, 0.0]),
 ]
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e7, 1e16])
+@pytest.mark.parametrize("scale", [1.0, 1e7, 1e16, 1e300])
 def test_exact_top_k(spark, scale):
     rows = [(i, None if v is None else [None if x is None else x * scale for x in v]) for i, v in VECTORS]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     usable = {
         i: [int(np.floor(256 * x)) for x in v]
         for i, v in rows
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+        if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v)
     }
     want = []
     for q in (k for k in usable if k % 50 == 0):
