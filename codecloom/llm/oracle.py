@@ -5,21 +5,37 @@ WITH RECURSIVE msgs AS (
     SELECT conv_id, turn::BIGINT AS turn, role, string_split(coalesce(text, ''), chr(10)) AS parts
     FROM conversations
 ), lines AS (
-    SELECT conv_id, turn, line,
-           length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
-           lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', ''),
-                                     '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
-    FROM (SELECT conv_id, turn, unnest(parts) AS line FROM msgs
-          WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
-), own AS (
-    SELECT conv_id, norm, min(turn) AS origin FROM lines WHERE level = 0 AND norm <> '' GROUP BY ALL
+    SELECT conv_id, turn, msg, pos, CASE WHEN norm = '' THEN -1 ELSE level END AS level, norm
+    FROM (
+        SELECT conv_id, turn, msg, pos,
+               length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+               lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', ''),
+                                         '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+        FROM (SELECT conv_id, turn, msg, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+              FROM (SELECT *, row_number() OVER () AS msg FROM msgs)
+              WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+    )
+), runs AS (
+    SELECT *, sum(seam) OVER (PARTITION BY msg ORDER BY pos) AS run
+    FROM (SELECT *, (level IS DISTINCT FROM lag(level) OVER (PARTITION BY msg ORDER BY pos))::INT AS seam FROM lines)
+), passages AS (
+    SELECT conv_id, turn, level, list(norm ORDER BY pos) AS parts FROM runs WHERE level >= 0
+    GROUP BY conv_id, turn, msg, run, level
+), pieces AS (
+    SELECT DISTINCT conv_id, turn, level, piece
+    FROM (SELECT conv_id, turn, level, unnest(list_concat(parts, [whole], string_split(
+              regexp_replace(whole, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)))) AS piece
+          FROM (SELECT *, array_to_string(parts, ' ') AS whole FROM passages))
+    WHERE piece <> ''
+), linked AS (
+    SELECT q.conv_id, q.turn, q.level, q.piece, max(o.turn) AS origin
+    FROM pieces q JOIN pieces o ON q.conv_id = o.conv_id AND q.piece = o.piece AND o.level = 0 AND o.turn < q.turn
+    WHERE q.level > 0 GROUP BY ALL
 ), per_origin AS (
-    SELECT l.conv_id, l.turn, l.level, o.origin, count(*) AS n
-    FROM lines l JOIN own o ON l.conv_id = o.conv_id AND l.norm = o.norm AND o.origin < l.turn
-    WHERE l.level > 0 GROUP BY ALL
+    SELECT conv_id, turn, level, origin, count(*) AS n, sum(length(piece)) AS letters FROM linked GROUP BY ALL
 ), links AS (
     SELECT *, sum(n) OVER (PARTITION BY conv_id, turn)::BIGINT AS n_linked FROM per_origin
-    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1
+    QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, letters DESC, origin DESC) = 1
 ), chain AS (
     SELECT conv_id, turn, origin AS root, 1::BIGINT AS depth FROM links
     UNION ALL

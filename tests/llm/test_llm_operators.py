@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,6 +15,7 @@ from codecloom.llm.exact_dedup import HashIndex, build_index, exact_groups, inde
 from codecloom.llm.induced_sort import sorted_suffixes
 from codecloom.llm.language_id import identify
 from codecloom.llm.line_dedup import line_dedup
+from codecloom.llm.oracle import ORACLE
 from codecloom.llm.queries import tokenizer_path
 from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import fingerprint, near_duplicates
@@ -372,7 +374,8 @@ def test_threads(spark):
 
     assert facts(1, 0, rows[0][3]) == (None, 0, 0, 0, 0)
     assert facts(1, 1, "An unrelated remark") == (None, 1, 0, 0, 0)
-    assert facts(1, 2, "My answer") == (0, 0, 1, 2, 2)
+    # Both lines and the passage they make.
+    assert facts(1, 2, "My answer") == (0, 0, 1, 2, 3)
     assert facts(1, 3, "Thanks") == (2, 0, 2, 2, 2)
     assert facts(1, 4, "Late") == (0, 0, 1, 2, 1)
     assert facts(1, 5, "bye") == (3, 0, 3, 1, 1)
@@ -383,6 +386,54 @@ def test_threads(spark):
     assert in_one == [0, 2, 3, 4, 5, 1]
 
 
+QUOTES = [
+    (1, 0, "Thanks"),
+    (1, 1, "The harbour was built of granite. Its walls were raised again after the flood.\nThanks"),
+    (1, 2, "Thanks\n\nSomething else"),
+    # Wrapped anew, so that no quoted line is a line of the original.
+    (1, 3, "> The harbour was built of\n> granite. Its walls were raised\n>  again after the flood.\n> Thanks\nWhen?"),
+    # One sentence of it, wrapped.
+    (1, 4, "> Its walls were\n> raised again after the flood.\nWhich flood?"),
+    # A passage of several levels; the outermost level links first.
+    (1, 5, "> Which flood?\n> > Its walls were raised again after the flood.\n> Which flood?\nThe one of 1953."),
+    # A shared line alone goes to the latest that has it.
+    (1, 6, "> Thanks\nWelcome"),
+    (1, 7, "> A b.\n> C d.\nnothing of it was said"),
+    (2, 0, "A b. C d."), (2, 1, "A b."), (2, 2, "C d."),
+    (2, 3, "> A b. C d.\nthe whole passage was said in turn 0"),
+    (2, 3000, "> A b.\nblocks of turns later"),
+    (2, 5000, "A b."), (2, 5000, "A b."),
+    (2, 5001, ">a B.\nsame block"),
+    (2, 5000, "> A b.\na message does not quote itself"),
+    (3, 0, ""), (3, 1, "> \n>\n> -\n>> 1\n"), (3, -5, "-\n1"),
+]
+
+
+def test_quoted_passages(spark, tmp_path):
+    rows = [(c, t, "user", x) for c, t, x in QUOTES]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = threaded_conversations(df)
+    reply = {(r["conv_id"], r["turn"]): r["reply_to"] for r in got.collect()}
+    assert [reply[1, t] for t in range(8)] == [None, None, None, 1, 1, 4, 2, None]
+    assert [reply[2, t] for t in (3, 3000, 5000, 5001)] == [0, 1, 1, 5000]
+    assert reply[3, 1] == -5
+    # The same rows by SQL.
+    df.coalesce(1).write.parquet(str(tmp_path / "talks"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/talks/*.parquet')")
+    want = con.execute(ORACLE["op1_quote_links"])
+    names = [d[0] for d in want.description]
+    assert bag(got, *names) == sorted(want.fetchall(), key=repr)
+
+
+def test_a_line_that_a_long_conversation_repeats(spark):
+    rows = [(1, t, "user", "> Same line.\nSame line." if t else "Same line.") for t in range(5000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = threaded_conversations(df)
+    assert got.where("turn > 0 and (reply_to <> turn - 1 or thread_root <> 0 or depth <> turn)").isEmpty()
+    assert got.count() == len(rows)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
