@@ -7,13 +7,15 @@ weights are averaged. What is left after shrinkage is a small sparse vector of a
 weights, which scoring tasks receive with their code.
 
 Learning uses at most about MAX_SHARDS * SHARD_ROWS labelled documents, picked by a hash of their id;
-every document is scored.
+every document is scored. `setting_losses` compares settings by cross-validation over labelled rows that
+may be learnt from; held-out labels take no part in it.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,29 @@ from codecloom.llm.common import held_out, slices, whole_text
 HASH_BITS = 18
 SHARD_ROWS = 4096
 MAX_SHARDS = 16
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
+# Labelled rows that the comparison of settings uses at most, about, and its folds.
+SEARCH_ROWS = 8192
+FOLDS = 4
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How FTRL-proximal learns: the learning rate alpha / (beta + sqrt(n)), shrinkage, and passes.
+
+    alpha, l1 and the passes are those of least loss in `setting_losses` over GRID.
+    """
+
+    alpha: float = 1.0
+    beta: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.1
+    epochs: int = 3
+
+
+GRID = tuple(Settings(alpha=a, l1=s) for a in (0.3, 1.0, 3.0) for s in (2.0, 4.0, 8.0, 16.0, 32.0))
+GRID_EPOCHS = 8
 
 # A-Z to lower case, ASCII white space, controls and punctuation to a space.
 _LETTERS = bytes(
@@ -54,20 +75,21 @@ def features(text: bytes) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal over binary features, with an intercept that is not shrunk."""
 
-    def __init__(self, size: int = 1 << HASH_BITS):
+    def __init__(self, settings: Settings, size: int = 1 << HASH_BITS):
+        self.s = settings
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.bias = size
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        shrunk = np.sign(z) * np.maximum(0.0, np.abs(z) - L1)
-        w = -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        shrunk = np.sign(z) * np.maximum(0.0, np.abs(z) - self.s.l1)
+        w = -shrunk / ((self.s.beta + np.sqrt(n)) / self.s.alpha + self.s.l2)
         if isinstance(at, slice):
             w[self.bias] = self.intercept()
         return w
 
     def intercept(self) -> float:
-        return -self.z[self.bias] / ((BETA + np.sqrt(self.n[self.bias])) / ALPHA)
+        return -self.z[self.bias] / ((self.s.beta + np.sqrt(self.n[self.bias])) / self.s.alpha)
 
     def learn(self, at: np.ndarray, label: int) -> None:
         """One step on a text with the distinct features `at`."""
@@ -76,16 +98,20 @@ class Ftrl:
         g = p - label
         for where, value in ((at, w), (self.bias, w0)):
             n = self.n[where]
-            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA
+            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.s.alpha
             self.z[where] += g - sigma * value
             self.n[where] = n + g * g
 
 
-def train_shard(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def probability(score: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(score, -35, 35)))
+
+
+def train_shard(texts: list[bytes], labels: list[int], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and values of the weights that are not zero."""
-    model = Ftrl()
+    model = Ftrl(settings)
     found = [np.unique(features(t)) for t in texts]
-    for _ in range(EPOCHS):
+    for _ in range(settings.epochs):
         for at, label in zip(found, labels):
             model.learn(at, label)
     w = model.weights()
@@ -93,33 +119,95 @@ def train_shard(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, np.n
     return at, w[at]
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str
-) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged weights over the shards (indexes, values); empty if there is nothing to learn from."""
-    known = (
+def learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y) of the labels that may be learnt from; of several of one id the largest."""
+    return (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .where(~held_out(id_col, *HELD_OUT))
         .groupBy(F.col(id_col).cast("bigint").alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     )
+
+
+def at_most(known: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """About `limit` of the rows, picked by a hash of the id, and how many there were."""
     n = known.count()
-    limit = MAX_SHARDS * SHARD_ROWS
     if n > limit:
         share = int(limit / n * (1 << 30))
         known = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) < F.lit(share))
-    shards = max(1, min(MAX_SHARDS, n // SHARD_ROWS))
-    # The labels picked are bounded by `limit`, so they may be sent to every task.
-    rows = (
-        docs.select(F.col(id_col).cast("bigint").alias("_id"), whole_text(text_col).alias("_t"))
-        .join(F.broadcast(known), "_id")
-        .withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(shards)))
-        .withColumn("_order", F.xxhash64("_id", F.lit(13)))
+    return known, n
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    # The labels picked are bounded in number, so they may be sent to every task.
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), whole_text(text_col).alias("_t"))
+    return texts.join(F.broadcast(known), "_id").withColumn("_order", F.xxhash64("_id", F.lit(13)))
+
+
+def in_order(rows: pd.DataFrame) -> tuple[list[bytes], list[int]]:
+    rows = rows.sort_values(["_order", "_id", "_t"])
+    return [t.encode("utf-8", "surrogatepass") for t in rows["_t"]], rows["_y"].tolist()
+
+
+def setting_losses(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    grid: tuple[Settings, ...] = GRID,
+    epochs: int = GRID_EPOCHS,
+) -> DataFrame:
+    """(setting, epochs, n, loss): mean log loss of each setting of `grid` after each number of passes.
+
+    Labelled rows that may be learnt from, at most about SEARCH_ROWS of them, are dealt to folds by a hash
+    of their id; a group learns on all folds but one and is measured on that one. Held-out rows are not read.
+    """
+    known, _ = at_most(learnable(labels, id_col, label_col), SEARCH_ROWS)
+    rows = labelled_texts(docs, known, id_col, text_col)
+    rows = rows.withColumn("_in", F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(FOLDS)).cast("int"))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    rows = rows.withColumn("_fold", every(FOLDS)).withColumn("_setting", every(len(grid)))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        fold, setting = key
+        model = Ftrl(grid[setting])
+        inside = rows["_in"] == fold
+        sets = []
+        for part in (rows[~inside], rows[inside]):
+            texts, marks = in_order(part)
+            sets.append(([np.unique(features(t)) for t in texts], np.array(marks)))
+        (learn, learn_y), (test, test_y) = sets
+        out = []
+        for done in range(1, epochs + 1):
+            for at, label in zip(learn, learn_y):
+                model.learn(at, label)
+            w = model.weights()
+            p = probability(np.array([w[at].sum() for at in test]) + w[model.bias])
+            loss = -np.log(np.where(test_y == 1, p, 1 - p)).sum()
+            out.append((setting, done, len(test), float(loss)))
+        return pd.DataFrame(out, columns=["setting", "epochs", "n", "loss"])
+
+    found = rows.groupBy("_fold", "_setting").applyInPandas(run, "setting int, epochs int, n bigint, loss double")
+    return found.groupBy("setting", "epochs").agg(
+        F.sum("n").alias("n"), (F.sum("loss") / F.greatest(F.sum("n"), F.lit(1))).alias("loss")
     )
 
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, settings: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """Averaged weights over the shards (indexes, values); empty if there is nothing to learn from."""
+    known, n = at_most(learnable(labels, id_col, label_col), MAX_SHARDS * SHARD_ROWS)
+    shards = max(1, min(MAX_SHARDS, n // SHARD_ROWS))
+    rows = labelled_texts(docs, known, id_col, text_col)
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(shards)))
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_order", "_id", "_t"])
-        at, w = train_shard([t.encode("utf-8", "surrogatepass") for t in rows["_t"]], rows["_y"].tolist())
+        at, w = train_shard(*in_order(rows), settings)
         return pd.DataFrame({"at": at, "w": w})
 
     per_shard = rows.groupBy("_shard").applyInPandas(run, "at bigint, w double")
@@ -134,6 +222,7 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    settings: Settings = Settings(),
 ) -> DataFrame:
     """(id, held_out, score, predicted) for every row.
 
@@ -142,7 +231,7 @@ def toxicity(
     one id the largest counts. Without labels every score is 0. NULL ids are not held out. Other
     columns are ignored.
     """
-    at, values = train(docs, labels, id_col, text_col, label_col)
+    at, values = train(docs, labels, id_col, text_col, label_col, settings)
     bias_at = 1 << HASH_BITS
     learned = bool(len(at))
 
@@ -156,7 +245,7 @@ def toxicity(
                 found = features(text)
                 found = np.unique(found[active[found]])
                 out.append(float(weights[found].sum() + weights[bias_at]))
-            score = 1.0 / (1.0 + np.exp(-np.clip(np.array(out), -35, 35))) if learned else np.zeros(len(out))
+            score = probability(np.array(out)) if learned else np.zeros(len(out))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
                 ["id", "held_out", "score", "predicted"],

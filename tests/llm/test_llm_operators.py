@@ -1,6 +1,7 @@
 """Operators against brute force on small tables that hold every odd case."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -21,7 +22,7 @@ from codecloom.llm.quote_links import threaded_conversations
 from codecloom.llm.simhash import fingerprint, near_duplicates
 from codecloom.llm.suffix_dedup import suffix_dedup
 from codecloom.llm.token_ids import WordIds
-from codecloom.llm.toxicity import toxicity
+from codecloom.llm.toxicity import Settings, features, setting_losses, toxicity, train_shard
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 PASSAGE = "This sentence is long enough to be a passage of more than fifty bytes, surely. "
@@ -386,6 +387,67 @@ def test_threads(spark):
     assert in_one == [0, 2, 3, 4, 5, 1]
 
 
+def slow_ftrl(found, labels, s):
+    """Weights by coordinate, a dictionary and a loop for each step."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i != "bias" and abs(z.get(i, 0.0)) <= s.l1:
+            return 0.0
+        shrink, l2 = (0.0, 0.0) if i == "bias" else (s.l1, s.l2)
+        rate = (s.beta + math.sqrt(n.get(i, 0.0))) / s.alpha + l2
+        return -(z.get(i, 0.0) - math.copysign(shrink, z.get(i, 0.0))) / rate
+
+    for _ in range(s.epochs):
+        for at, label in zip(found, labels):
+            w = {i: weight(i) for i in [*at, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w[i]
+                n[i] = old + g * g
+    return {i: weight(i) for i in z if weight(i) != 0}
+
+
+@pytest.mark.parametrize("settings", [Settings(l1=0.2), Settings(alpha=0.3, beta=2.0, l1=1.0, l2=0.5, epochs=5)])
+def test_ftrl_equals_a_slow_one(settings):
+    words = "calm kind awful grumble river stone paper".split()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 9))).encode() for _ in range(80)]
+    labels = [int(b"awful" in t) for t in texts]
+    at, w = train_shard(texts, labels, settings)
+    want = slow_ftrl([sorted(set(features(t).tolist())) for t in texts], labels, settings)
+    want = {1 << 18 if i == "bias" else i: x for i, x in want.items()}
+    assert sorted(at.tolist()) == sorted(want)
+    assert np.allclose(w, [want[i] for i in at.tolist()], rtol=1e-9, atol=1e-12)
+
+
+def test_held_out_labels_take_no_part_in_the_choice_of_settings(spark):
+    texts = [(i, f"word{i % 7} " + ("you awful grumble" if i % 3 == 0 else "a kind greeting")) for i in range(200)]
+    docs = spark.createDataFrame([*texts, (None, None), (500, None), (501, "")], "doc_id bigint, text string")
+    grid = (Settings(l1=0.5), Settings(l1=50.0))
+
+    def losses(flip):
+        marks = [(i, int(i % 3 == 0) ^ (flip and zlib.crc32(str(i).encode()) % 4 == 2)) for i, _ in texts]
+        labels = spark.createDataFrame([*marks, (500, 0), (501, 0), (7, None)], "doc_id bigint, toxic int")
+        return bag(setting_losses(docs, labels, grid=grid, epochs=2), "setting", "epochs", "n", "loss")
+
+    plain = losses(False)
+    assert plain == losses(True) and len(plain) == 4
+    assert plain[1][3] < plain[3][3]  # weights that are all shrunk away learn nothing
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert setting_losses(docs, none, grid=grid).count() == 0
+
+
+def test_very_long_texts_have_scores(spark):
+    rows = [(i, ("you awful grumble " if i % 3 == 0 else "a kind greeting ") * 4) for i in range(120)]
+    rows += [(200, "you awful grumble " * 100_000), (201, "x" * 2_000_000), (202, "a kind greeting " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity(docs, labels, settings=Settings(l1=1.0)).collect()}
+    assert got[200] == 1 and got[202] == 0 and len(got) == len(rows)
+
+
 QUOTES = [
     (1, 0, "Thanks"),
     (1, 1, "The harbour was built of granite. Its walls were raised again after the flood.\nThanks"),
