@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from codecloom.llm import mixing, packing, topk
+from codecloom.llm.common import written
 from codecloom.llm.exact_dedup import HashIndex, build_index, exact_groups, index_lookup
 from codecloom.llm.induced_sort import sorted_suffixes
 from codecloom.llm.language_id import identify
@@ -387,6 +388,33 @@ def test_threads(spark):
     assert in_one == [0, 2, 3, 4, 5, 1]
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9])
+def test_top_k_of_clusters_skips_blocks(spark, scale, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 12)) * 10
+    x = np.round((centres[rng.integers(0, 8, 3000)] + rng.normal(size=(3000, 12)) * 0.1) * scale, 3)
+    x[::7] = x[0]
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)] + [(50, [1e3] * 12), (50, x[50].tolist())]
+    sent = []
+    monkeypatch.setattr(topk, "written", lambda df, name: (sent.append((name, w := written(df, name))), w)[1])
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    kept = {}
+    for i, v in rows:
+        q = np.floor(256 * np.array(v))
+        if i not in kept or q.tobytes() < kept[i].tobytes():
+            kept[i] = q
+    whole = {i: [int(c) for c in v] for i, v in kept.items()}
+    want = []
+    for q in range(0, 3000, 50):
+        dots = [(-min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(dots)[:5], 1)]
+    assert bag(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    asked = dict(sent)["topk-queries"]
+    if scale < 1e9:  # beyond, most scores stop at the largest long, and no bound is below that
+        blocks = asked.select("cb").distinct().count()
+        assert asked.groupBy("id").count().agg({"count": "avg"}).first()[0] < blocks / 2
+
+
 def slow_ftrl(found, labels, s):
     """Weights by coordinate, a dictionary and a loop for each step."""
     z, n = {}, {}
