@@ -52,11 +52,11 @@ def test_corpus_by_a_factory_and_by_a_vocabulary(spark, files):
     main([config, str(files / "a"), "--tokenizer", f"{__name__}:lengths_factory", "--stored-labels"], spark)
     assert text_ids(spark, str(files / "a")) == [[109], [115]]
     assert "labels" in spark.read.parquet(str(files / "a" / "rows")).columns
-    spark.createDataFrame([("hello", 20), ("there", 21), ("en:", 22)], "word string, token_id int").write.parquet(
+    spark.createDataFrame([("hello", 300), ("there", 301), ("en:", 302)], "word string, token_id int").write.parquet(
         str(files / "vocab")
     )
     main([config, str(files / "b"), "--vocabulary", str(files / "vocab"), "--rows-per-file", "1"], spark)
-    assert text_ids(spark, str(files / "b")) == [[22, 20], [22, 20, 21]]
+    assert text_ids(spark, str(files / "b")) == [[302, 300], [302, 300, 301]]
 
 
 def test_refused_arguments(files):
