@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     layout = TokenLayout()
     spark = spark or SparkSession.builder.appName("codecloom-prepare").getOrCreate()
     if args.vocabulary:
-        tokenizer = WordTokenizer(spark.read.parquet(args.vocabulary), layout)
+        tokenizer = WordTokenizer(spark.read.parquet(args.vocabulary), layout).column
     elif args.tokenizer:
         tokenizer = batch_tokenizer(named_factory(args.tokenizer))
     else:
