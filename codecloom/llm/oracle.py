@@ -136,10 +136,43 @@ WITH pieces AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
+# Bytes are compared as hexadecimal text; windows are taken from chunks, as substr walks a long text from its start.
+OP8 = r"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS num, coalesce(doc_id, 9223372036854775807) AS ord,
+           hex(encode(coalesce(text, ''))) AS t
+    FROM documents
+), chunks AS (
+    SELECT num, ord, c, substr(t, 512 * c + 1, 610) AS part
+    FROM (SELECT num, ord, t, unnest(range(0, (length(t) // 2 - 50) // 256 + 1)) AS c FROM docs WHERE length(t) >= 100)
+), windows AS (
+    SELECT num, ord, 256 * c + i AS i, substr(part, 2 * i + 1, 100) AS w
+    FROM (SELECT *, unnest(range(0, length(part) // 2 - 49)) AS i FROM chunks)
+), firsts AS (
+    SELECT w, min(ord) AS first FROM windows GROUP BY w
+), hits AS (
+    SELECT num, i, coalesce((i > 50 + lag(i) OVER (PARTITION BY num ORDER BY i))::INT, 1) AS seam
+    FROM windows JOIN firsts USING (w) WHERE first < ord
+), spans AS (
+    SELECT num, min(i) AS a, max(i) + 50 AS b
+    FROM (SELECT num, i, sum(seam) OVER (PARTITION BY num ORDER BY i) AS run FROM hits) GROUP BY num, run
+), left_over AS (
+    SELECT num, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+           string_agg(substr(t, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+    FROM (SELECT num, a, b, coalesce(lag(b) OVER (PARTITION BY num ORDER BY a), 0) AS before FROM spans)
+    JOIN docs USING (num) GROUP BY num
+)
+SELECT doc_id, (length(t) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(t, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (num)
+"""
+
 ORACLE = {
     "op1_quote_links": OP1,
     "op4_line_dedup": OP4,
     "op7_topk_search": OP7,
+    "op8_suffix_dedup": OP8,
     "op9_exact_dedup": OP9,
     "op12_collocations": OP12,
 }

@@ -11,6 +11,10 @@
 3. Shards. Segments are dealt to shards by anchor, so equal windows meet in one shard. A shard sorts
    the suffixes of its segments by induction (`induced_sort`), and neighbours that agree on WINDOW
    bytes form a group, whose smallest document is known then. Bytes are compared, not hashes.
+   Shards above SHARD_LIMIT bytes (an anchor at the edge of a passage that very many documents hold has
+   as many segments) are not sorted whole: their segments are cut into pieces of BLOCK windows at places
+   fixed by the anchor, and pieces are dealt by the bytes that all windows of a piece hold, so equal
+   windows still meet. Equal pieces are combined before they are shuffled.
 4. Spans. Windows whose smallest document is another one are joined to their documents, and the bytes
    they cover are cut out.
 
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +47,10 @@ RANGES = 24
 RANGE_ANCHORS = 4 << 20
 SHARDS = 64
 SHARD_BYTES = 6 << 20
+SHARD_LIMIT = 2 * SHARD_BYTES
+BLOCK = 3
+PIECE_BYTES = 5  # of pieces for a byte of segments
+MOST_BROADCAST = 1 << 20
 CHUNK = 8 << 20
 
 
@@ -187,13 +196,16 @@ def shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def segment_id(segment: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little", signed=True)
+    """Spark's xxhash64 of the bytes."""
+    h = xxhash.xxh64_intdigest(segment, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
     """(num, first, start, anchor, sid) of the runs of windows around shared anchors.
 
-    With `bytes_too` (first, anchor, segment) instead. Segments are told apart by anchor and sid.
+    With `bytes_too` (first, anchor, segment) instead. Segments are told apart by anchor and sid. `anchor`
+    holds the anchor's hash in its low 32 bits and its place in the segment above them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +215,7 @@ def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
             for num, first, text, places in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()
             ):
-                h, _, start, count = all_anchors(text)
+                h, at, start, count = all_anchors(text)
                 order, bounds = dealt(h, ranges)
                 pick = []
                 for place in places:
@@ -211,8 +223,8 @@ def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
                     bits = np.unpackbits(np.frombuffer(place["bits"], dtype=np.uint8), count=len(o))
                     pick.append(o[bits.astype(bool)])
                 pick = np.sort(np.concatenate(pick))
-                low = (h[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                for i, a, c in zip(low.tolist(), start[pick].tolist(), count[pick].tolist()):
+                codes = (h[pick] & np.uint64(0xFFFFFFFF)).astype(np.int64) | (at[pick] - start[pick]) << 32
+                for i, a, c in zip(codes.tolist(), start[pick].tolist(), count[pick].tolist()):
                     segment = text[a : a + c - 1 + WINDOW]
                     row = (first, i, segment) if bytes_too else (num, first, a, i, segment_id(segment))
                     for column, value in zip(out, row):
@@ -220,16 +232,90 @@ def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
     if bytes_too:
-        names, kinds = ["first", "anchor", "segment"], [pa.int64(), pa.int32(), pa.binary()]
-        schema = "first bigint, anchor int, segment binary"
+        names, kinds = ["first", "anchor", "segment"], [pa.int64(), pa.int64(), pa.binary()]
+        schema = "first bigint, anchor bigint, segment binary"
     else:
         names = ["num", "first", "start", "anchor", "sid"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        schema = "num bigint, first bigint, start bigint, anchor int, sid bigint"
+        kinds = [pa.int64()] * 5
+        schema = "num bigint, first bigint, start bigint, anchor bigint, sid bigint"
     # The id is not used here, but all readers of the texts take the same columns.
     return found.select("num", "first", "text", "places", "id").mapInArrow(run, schema)
 
 
+def oversized(distinct: DataFrame, most: int) -> DataFrame:
+    """(shard, parts) of the shards that are cut up. `most` bounds their number; beyond it they are not broadcast."""
+    sizes = distinct.groupBy("shard").agg(
+        F.sum(F.octet_length("segment")).alias("held"), F.min("first").alias("oldest"), F.max("last").alias("newest")
+    )
+    # No document is above the last one: this holds always, but all readers of the segments take the same columns.
+    large = sizes.where((F.col("held") > F.lit(SHARD_LIMIT)) & (F.col("oldest") <= F.col("newest")))
+    parts = F.ceil(F.col("held") * F.lit(PIECE_BYTES) / F.lit(SHARD_BYTES)).alias("parts")
+    large = large.select("shard", parts)
+    return F.broadcast(large) if most <= MOST_BROADCAST else large
+
+
+def pieces(hot: DataFrame) -> DataFrame:
+    """(anchor, sid, shift, shard, part, code, piece, first, last): segments cut into pieces of BLOCK windows.
+
+    A window's block is given by the bytes before its anchor, so equal windows are in equal blocks, and all
+    windows of a block hold the same core of WINDOW - BLOCK + 1 bytes, by which pieces are dealt. `code` is
+    to the piece what `anchor` is to the segment, and `shift` is the piece's place in the segment.
+    """
+    at = F.shiftright("anchor", 32).cast("int").alias("at")
+    windows = (F.octet_length("segment") - F.lit(WINDOW - 1)).alias("windows")
+    blocks = F.expr(f"sequence((at - windows + 1) div {BLOCK}, at div {BLOCK})")
+    cut = hot.select("*", at, windows).select("*", F.explode(blocks).alias("block"))
+    # The block's windows would be those from `begin` on; the segment may hold some of them only.
+    begin = F.col("at") - F.col("block").cast("int") * F.lit(BLOCK) - F.lit(BLOCK - 1)
+    cut = cut.withColumn("begin", begin).withColumn("shift", F.greatest(F.lit(0), "begin"))
+    end = F.least(F.col("windows"), F.col("begin") + F.lit(BLOCK)) + F.lit(WINDOW - 1)
+    core = F.substr("segment", F.col("begin") + F.lit(BLOCK), F.lit(WINDOW - BLOCK + 1))
+    return cut.select(
+        "anchor",
+        F.xxhash64("segment").alias("sid"),
+        "shift",
+        "shard",
+        F.pmod(F.xxhash64("block", core), F.col("parts")).alias("part"),
+        (F.col("anchor") - F.shiftleft(F.col("shift").cast("bigint"), 32)).alias("code"),
+        F.substr("segment", F.col("shift") + F.lit(1), end - F.col("shift")).alias("piece"),
+        "first",
+        "last",
+    )
+
+
+def merged_pieces(cut: DataFrame) -> DataFrame:
+    """(shard, part, anchor, segment, first, last): one row per distinct piece."""
+    return (
+        cut.groupBy("shard", "part", "code", "piece")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .select("shard", "part", F.col("code").alias("anchor"), F.col("piece").alias("segment"), "first", "last")
+    )
+
+
+def runs_of_owners(distinct: DataFrame, most: int) -> DataFrame:
+    """(anchor, sid, runs): runs of windows of a segment and their smallest document; several rows a segment."""
+    large = oversized(distinct, most)
+    owners = "anchor bigint, sid bigint, offsets array<bigint>, firsts array<bigint>"
+    runs = F.arrays_zip(
+        F.slice("offsets", F.lit(1), F.size("firsts")).alias("a"),
+        F.slice("offsets", F.lit(2), F.size("firsts")).alias("b"),
+        F.col("firsts").alias("f"),
+    ).alias("runs")
+    whole = distinct.join(large, "shard", "left_anti").groupBy("shard").applyInPandas(window_owners, owners)
+    cut = pieces(distinct.join(large, "shard"))
+    fates = merged_pieces(cut).groupBy("shard", "part").applyInPandas(window_owners, owners)
+    fates = fates.select(F.col("anchor").alias("code"), F.col("sid").alias("piece_sid"), runs)
+    places = cut.select("anchor", "sid", "shift", "code", F.xxhash64("piece").alias("piece_sid"))
+    moved = F.transform(
+        "runs",
+        lambda x: F.struct(
+            (F.col("shift") + x["a"]).alias("a"), (F.col("shift") + x["b"]).alias("b"), x["f"].alias("f")
+        ),
+    )
+    parts = places.join(fates, ["code", "piece_sid"]).select("anchor", "sid", moved.alias("runs"))
+    return whole.select("anchor", "sid", runs).unionByName(parts)
+
+
 def window_owners(rows: pd.DataFrame) -> pd.DataFrame:
     """(anchor, sid, offsets, firsts): the smallest document of a segment's windows, as runs.
 
@@ -286,7 +372,9 @@ def window_owners(rows: pd.DataFrame) -> pd.DataFrame:
         firsts.append(values[heads])
     some = rows.iloc[kept]
     sids = np.array([segment_id(x) for x in some["segment"]], dtype=np.int64)
-    return pd.DataFrame({"anchor": some["anchor"].array, "sid": sids, "offsets": offsets, "firsts": firsts})
+    # Without a row the type of a list could not be told.
+    lists = {k: pd.Series(v, dtype=object) for k, v in (("offsets", offsets), ("firsts", firsts))}
+    return pd.DataFrame({"anchor": some["anchor"].array, "sid": sids, **lists})
 
 
 def cut(text: bytes, starts: list[int], ends: list[int]) -> tuple[bytes, int, int]:
@@ -340,21 +428,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         segments(owners, ranges, True)
         .groupBy("anchor", "segment")
         .agg(F.min("first").alias("first"), F.max("first").alias("last"))
+        .withColumn("shard", F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(shards))
     )
-    fates = (
-        distinct.withColumn("shard", F.pmod("anchor", F.lit(shards)))
-        .groupBy("shard")
-        .applyInPandas(window_owners, "anchor int, sid bigint, offsets array<bigint>, firsts array<bigint>")
-    )
-    runs = F.arrays_zip(
-        F.slice("offsets", F.lit(1), F.size("firsts")).alias("a"),
-        F.slice("offsets", F.lit(2), F.size("firsts")).alias("b"),
-        F.col("firsts").alias("f"),
-    )
+    fates = runs_of_owners(distinct, 2 * total // SHARD_LIMIT)
     hits = F.filter("runs", lambda x: x["f"] < F.col("first"))
     spans = (
         segments(owners, ranges, False)
-        .join(fates.select("anchor", "sid", runs.alias("runs")), ["anchor", "sid"])
+        .join(fates, ["anchor", "sid"])
         .select("num", "start", hits.alias("hits"))
         .where(F.size("hits") > F.lit(0))
         .select(

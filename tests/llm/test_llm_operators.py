@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from codecloom.llm import mixing, packing, topk
+from codecloom.llm import mixing, packing, suffix_dedup as suffixes, topk
 from codecloom.llm.common import written
 from codecloom.llm.exact_dedup import HashIndex, build_index, exact_groups, index_lookup
 from codecloom.llm.induced_sort import sorted_suffixes
@@ -302,7 +303,12 @@ def test_sorted_suffixes_with_and_without_disk():
         assert heads == sorted(heads)
 
 
-def test_suffix_dedup(docs):
+@pytest.mark.parametrize("limit", [suffixes.SHARD_LIMIT, 300, 1])
+@pytest.mark.parametrize("most", [0, suffixes.MOST_BROADCAST])
+def test_suffix_dedup(docs, monkeypatch, limit, most):
+    """Shards of any size may be cut up, whether their numbers are broadcast or not."""
+    monkeypatch.setattr(suffixes, "SHARD_LIMIT", limit)
+    monkeypatch.setattr(suffixes, "MOST_BROADCAST", most)
     raw = [(order(i), (t or "").encode()) for i, t in TEXTS]
     first = {}
     for o, b in raw:
@@ -321,6 +327,32 @@ def test_suffix_dedup(docs):
     assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_one_passage_in_very_many_documents(spark, monkeypatch):
+    """The edges of the passage are anchors with a segment a document: no group holds them all."""
+    n = 100_000
+    monkeypatch.setattr(suffixes, "SHARD_LIMIT", 1 << 20)
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 1 << 19)
+    taken = []
+    monkeypatch.setattr(suffixes, "pieces", lambda hot, make=suffixes.pieces: taken.append(make(hot)) or taken[0])
+    texts = [(i, hashlib.sha256(str(i).encode()).hexdigest(), hashlib.md5(str(i).encode()).hexdigest()) for i in range(n)]
+    docs = spark.sql(
+        f"SELECT id AS doc_id, concat(sha2(CAST(id AS STRING), 256), '{PASSAGE}', md5(CAST(id AS STRING))) AS text "
+        f"FROM range({n})"
+    )
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup(docs).collect()}
+    seen, want = {"", }, {}
+    for i, left, right in texts:
+        ends = [right[:k] for k in range(1, 20)], [left[-k:] + "|" for k in range(1, 20)]
+        # What earlier documents have next to the passage goes with it.
+        more = sum(next(k for k, e in enumerate(end) if e not in seen) for end in ends)
+        want[i] = (len(PASSAGE) + more, 1) if i else (0, 0)
+        seen.update(*ends)
+    assert got == want
+    sizes = suffixes.merged_pieces(taken[0]).groupBy("shard", "part").agg(F.sum(F.octet_length("segment")).alias("held"))
+    largest, total = sizes.agg(F.max("held"), F.sum("held")).first()
+    assert total > 10 << 20 and largest < 2 << 20
+
+
 def test_languages(spark):
     en = "the house and the garden are where they have been for years "
     de = "das haus und der garten sind dort wo sie seit jahren waren "
