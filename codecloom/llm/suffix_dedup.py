@@ -233,7 +233,7 @@ def segments(found: DataFrame, ranges: int, bytes_too: bool) -> DataFrame:
 
     if bytes_too:
         names, kinds = ["first", "anchor", "segment"], [pa.int64(), pa.int64(), pa.binary()]
-        schema = "first bigint, anchor bigint, segment binary"
+        schema = "first bigint NOT NULL, anchor bigint NOT NULL, segment binary NOT NULL"
     else:
         names = ["num", "first", "start", "anchor", "sid"]
         kinds = [pa.int64()] * 5
@@ -264,7 +264,8 @@ def pieces(hot: DataFrame) -> DataFrame:
     at = F.shiftright("anchor", 32).cast("int").alias("at")
     windows = (F.octet_length("segment") - F.lit(WINDOW - 1)).alias("windows")
     blocks = F.expr(f"sequence((at - windows + 1) div {BLOCK}, at div {BLOCK})")
-    cut = hot.select("*", at, windows).select("*", F.explode(blocks).alias("block"))
+    # No sequence is empty; the outer form puts no filter on the segments, which other readers would not share.
+    cut = hot.select("*", at, windows).select("*", F.explode_outer(blocks).alias("block"))
     # The block's windows would be those from `begin` on; the segment may hold some of them only.
     begin = F.col("at") - F.col("block").cast("int") * F.lit(BLOCK) - F.lit(BLOCK - 1)
     cut = cut.withColumn("begin", begin).withColumn("shift", F.greatest(F.lit(0), "begin"))
@@ -293,7 +294,10 @@ def merged_pieces(cut: DataFrame) -> DataFrame:
 
 
 def runs_of_owners(distinct: DataFrame, most: int) -> DataFrame:
-    """(anchor, sid, runs): runs of windows of a segment and their smallest document; several rows a segment."""
+    """(anchor, sid, runs): runs of windows of a segment and their smallest document; several rows a segment.
+
+    The exchange of the segments is read three times. Keys that cannot be NULL keep filters out of it.
+    """
     large = oversized(distinct, most)
     owners = "anchor bigint, sid bigint, offsets array<bigint>, firsts array<bigint>"
     runs = F.arrays_zip(
@@ -301,11 +305,15 @@ def runs_of_owners(distinct: DataFrame, most: int) -> DataFrame:
         F.slice("offsets", F.lit(2), F.size("firsts")).alias("b"),
         F.col("firsts").alias("f"),
     ).alias("runs")
-    whole = distinct.join(large, "shard", "left_anti").groupBy("shard").applyInPandas(window_owners, owners)
+    # An anti-join would be moved below the exchange.
+    small = distinct.join(large, "shard", "left").where(F.col("parts").isNull()).drop("parts")
+    whole = small.groupBy("shard").applyInPandas(window_owners, owners)
     cut = pieces(distinct.join(large, "shard"))
     fates = merged_pieces(cut).groupBy("shard", "part").applyInPandas(window_owners, owners)
     fates = fates.select(F.col("anchor").alias("code"), F.col("sid").alias("piece_sid"), runs)
-    places = cut.select("anchor", "sid", "shift", "code", F.xxhash64("piece").alias("piece_sid"))
+    # The condition always holds and keeps the columns of the exchange, as in `oversized`.
+    places = cut.where(F.col("first") <= F.col("last"))
+    places = places.select("anchor", "sid", "shift", "code", F.xxhash64("piece").alias("piece_sid"))
     moved = F.transform(
         "runs",
         lambda x: F.struct(
@@ -428,7 +436,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         segments(owners, ranges, True)
         .groupBy("anchor", "segment")
         .agg(F.min("first").alias("first"), F.max("first").alias("last"))
-        .withColumn("shard", F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(shards))
+        .withColumn("shard", F.coalesce(F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(shards), F.lit(0)))
     )
     fates = runs_of_owners(distinct, 2 * total // SHARD_LIMIT)
     hits = F.filter("runs", lambda x: x["f"] < F.col("first"))
