@@ -155,12 +155,20 @@ def identify(
     """
     langs, log_p = learn(docs, id_col, text_col, lang_col)
     log_p = log_p.astype(np.float32)
+    # A text that comes back in the row is sent once.
+    inside = list(carry).index(text_col) if text_col in carry else None
+
+    def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if inside is None:
+            return batch
+        row = batch.column(2)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], row.field(inside), row], ["id", "held_out", "text", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trigrams = Trigrams()
         log_table = log_p.astype(np.float64)
         table = np.exp(log_table)
-        for batch in slices(batches, text=2):
+        for batch in slices(map(with_text, batches), text=2):
             best, share, sets, letters = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = trigrams.counts(text) if text else None
@@ -194,7 +202,7 @@ def identify(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"),
         held_out(id_col, *HELD_OUT).alias("held_out"),
-        F.col(text_col).alias("text"),
+        *([F.col(text_col).alias("text")] if inside is None else []),
         *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
     schema = T.StructType(
@@ -205,7 +213,7 @@ def identify(
             T.StructField("score", T.DoubleType()),
             T.StructField("languages", T.StringType()),
             T.StructField("has_letter", T.BooleanType()),
-            *rows.schema.fields[3:],
+            *[field for field in rows.schema.fields[2:] if field.name == "row"],
         ]
     )
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
