@@ -6,9 +6,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from codecloom import fixtures as fx
+from codecloom.functions import codec
 from codecloom.functions.slices import slices
 from codecloom.layout import TokenLayout
 from codecloom.operators import positions, tokens
+from codecloom.operators.codes import add_codes, add_frames, drop_repeated_frames
 from codecloom.operators.positions import sequence_positions
 from codecloom.operators.tokens import FIRST_BYTE_ID, SPELLED_ID, WordTokenizer
 from codecloom.sources.files import ROW_GROUP_BYTES
@@ -96,3 +98,26 @@ def test_workers_take_slices(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(ids)), "id int, ids array<bigint>").coalesce(1)
     got = [r.q for r in df.select("id", sequence_positions(L)("ids").alias("q")).orderBy("id").collect()]
     assert got == [[0.0, 1.0, 1.0, 1.0], [], None, [0.0, 0.0, 0.0, 0.0, 1.0], [0.0]] * 4
+
+
+def test_codes_are_those_of_the_array_expressions(spark, monkeypatch):
+    """Repeats at the edges of slices, NULL codes, ragged, empty and NULL layers."""
+    rows = [
+        ([1, 1, 1, 2], [5, 5, 5, 5], [0, 0, 0, 0], [9, 9, 9, 9]),
+        ([1, 1, None, None, 0], [5] * 5, [0] * 5, [9] * 5),
+        ([1, 1, 1], [2, 2], [3], [4, 4, 4]),
+        ([], [], [], []),
+        ([9], [9], [9], [9]),
+        ([9, 9], [9, 9], [9, 9], [9, 9]),
+        (None, [1], [1], [1]),
+        ([None] * 3, [None] * 3, [None] * 3, [None] * 3),
+    ] * 3
+    names = ", ".join(f"{c} array<int>" for c in L.layer_columns)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"id int, {names}").coalesce(1)
+    slow = drop_repeated_frames(add_frames(df, L)).select("id", codec.frame_tokens(F.col("frames"), L).alias("codes"))
+    expected = [r.codes for r in slow.orderBy("id").collect()]
+    for size in (1, 6, 1 << 19):
+        monkeypatch.setattr(codec, "FRAMES_PER_SLICE", size)
+        found = add_codes(df, L).select("id", "codes").orderBy("id")
+        assert [r.codes for r in found.collect()] == expected
+        assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
