@@ -59,7 +59,8 @@ def stage_metrics(metrics: DataFrame, path: str, block: int = STEP_BLOCK) -> str
     spark, name = metrics.sparkSession, uuid.uuid4().hex
     base = _staged(path)
     new_path, building = f"{base}/new-{name}", f"{base}/building-{name}"
-    _keyed(metrics, block).write.partitionBy(*BLOCKS).parquet(new_path)
+    # A block has its rows in one task and one file, else every task writes a file in every block.
+    _keyed(metrics, block).repartition(*BLOCKS).write.partitionBy(*BLOCKS).parquet(new_path)
     new = spark.read.schema(LOG_SCHEMA).parquet(new_path)
     merged = new
     if exists(spark, path):

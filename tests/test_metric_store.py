@@ -72,3 +72,18 @@ def test_only_touched_blocks_are_read(spark, tmp_path):
     after = {p: p.stat().st_mtime_ns for p in (tmp_path / "log").rglob("*.parquet")}
     gone = {p.parent.name for p in before.keys() - after.keys()}
     assert gone == {"step_block=0"} and all(after[p] == t for p, t in before.items() if p in after)
+
+
+def test_a_block_is_one_file_while_it_is_staged(spark, tmp_path, monkeypatch):
+    """The files of a write follow its blocks, not blocks times tasks."""
+    monkeypatch.setattr(ms, "remove", lambda *_: None)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        log = spark.range(400).selectExpr("id step", "id % 3 batch_id", "'m' metric", "1.0D value", "concat('r', id % 2) run_id")
+        ms.stage_metrics(log, str(tmp_path / "log"), block=100)
+    finally:
+        spark.conf.set(coalesce, before)
+    (new,) = (tmp_path / "log_staged").glob("new-*")
+    assert len(list(new.rglob("*.parquet"))) == 8
