@@ -1,5 +1,8 @@
 """Long arrays: what is moved, written and held at a time."""
 
+import pathlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -13,7 +16,8 @@ from codecloom.operators import positions, tokens
 from codecloom.operators.codes import add_codes, add_frames, drop_repeated_frames
 from codecloom.operators.positions import sequence_positions
 from codecloom.operators.tokens import FIRST_BYTE_ID, SPELLED_ID, WordTokenizer
-from codecloom.sources.files import ROW_GROUP_BYTES
+from codecloom.session import SETTINGS, small_batches
+from codecloom.sources.files import ROW_GROUP_BYTES, ROW_GROUP_ROWS
 from codecloom.sources.store import write_rows
 
 L = TokenLayout()
@@ -121,3 +125,42 @@ def test_codes_are_those_of_the_array_expressions(spark, monkeypatch):
         found = add_codes(df, L).select("id", "codes").orderBy("id")
         assert [r.codes for r in found.collect()] == expected
         assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_row_groups_of_long_arrays_have_few_rows(spark, tmp_path):
+    """Arrays that compress well take little room in the file and much in a reader."""
+    wide = spark.range(0, 2000, 1, 1).select("id", F.array_repeat(F.lit(1), 2000).alias("ids"))
+    write_rows(wide.withColumn("status", F.lit("accepted")), str(tmp_path / "rows"))
+    fx.stored(spark, str(tmp_path), "wide", lambda: wide)
+    fx.stored(spark, str(tmp_path), "narrow", lambda: wide.select("id"))
+    paths = {n: fx._TABLES[(spark.sparkContext.applicationId, str(tmp_path), n)] for n in ("wide", "narrow")}
+    for folder in (str(tmp_path / "rows"), paths["wide"]):
+        facts = [pq.ParquetFile(f).metadata for f in pathlib.Path(folder).rglob("*.parquet")]
+        sizes = [m.row_group(k).num_rows for m in facts for k in range(m.num_row_groups)]
+        assert sum(sizes) == 2000 and max(sizes) <= ROW_GROUP_ROWS
+    assert spark.read.parquet(paths["narrow"]).count() == 2000
+
+
+def test_long_arrays_go_to_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = int(SETTINGS[name])
+    before = spark.conf.get(name)
+
+    @F.arrow_udf("array<bigint>")
+    def sizes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[batch.nbytes]] * len(batch))
+
+    names = ", ".join(f"{c} array<int>" for c in L.layer_columns)
+    empty = spark.createDataFrame([], f"id int, {names}")
+    try:
+        spark.conf.set(name, str(8 * most))
+        add_codes(empty, L)
+        assert spark.conf.get(name) == str(most)
+        wide = spark.range(0, 400, 1, 1).select(F.array_repeat(F.lit(1).cast("bigint"), 16_384).alias("ids"))  # 52 MB
+        assert max(r.n[0] for r in wide.select(sizes("ids").alias("n")).collect()) < 2 * most
+        spark.conf.set(name, "1000")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
