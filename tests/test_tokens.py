@@ -131,3 +131,23 @@ def test_hot_word_is_not_shuffled_by_word(spark, vocab):
     out = tk.lookup_words(hot, vocab, L)
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert one(out.agg(F.sum(F.col("token_ids")[0]).alias("s"))).s == 666 * W + 334 * (W + 1)
+
+
+def test_prompts_are_shuffled_and_words_are_not(spark, texts, vocab, monkeypatch):
+    monkeypatch.setattr(tk, "PROMPT_BYTES", 1)
+    out = tk.text_tokens_by_join(texts, vocab, L)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    assert {r.utt_id: r.text_tokens for r in out.collect()} == WANT
+    # As many partitions as the sizes of the prompts ask for.
+    size = tk.add_prompt(texts).agg(F.sum(F.octet_length("prompt"))).first()[0]
+    assert f"hashpartitioning(utt_id" in plan and f", {max(size, 8)})" in plan
+
+
+def test_prompts_with_repeated_and_null_keys(spark, vocab):
+    given = spark.createDataFrame([(1, "the cat"), (1, "cat"), (None, "the"), (2, None)], "utt_id bigint, text string")
+    df = given.withColumn("language_tag", F.lit(None).cast("string"))
+    got = {r.utt_id: r.text_tokens for r in tk.text_tokens_by_join(df, vocab, L).collect()}
+    start, end = L.start_of_text, L.end_of_text
+    assert got == {1: [start, W, W + 1, W + 1, end], None: [start, W, end], 2: [start, end]}
