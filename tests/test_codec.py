@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codecloom.config import SourceConfig
+from codecloom.functions import codec
 from codecloom.functions.codec import duration_seconds, shift_layers, without_repeats
 from codecloom.operators.codes import (
     add_codes,
@@ -117,3 +118,33 @@ def test_codes_need_no_exchange(spark, tmp_path):
     plan = add_codes(spark.read.parquet(path), L)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("arrays_zip") == 1
+
+
+def test_shift_and_texts_go_to_workers_once(spark, monkeypatch):
+    """NULL codes, frames, arrays and slices of a row; nothing is computed a frame in the JVM."""
+    frames = [
+        [(1, 2, 3, 4), None, (5, None, 7, 8)],
+        [],
+        None,
+        [(None, None, None, None), (9, 9, 9, 9)],
+        [(i, 0, 0, i) for i in range(50)],
+    ]
+    names = ", ".join(f"{c}: int" for c in L.layer_columns)
+    df = spark.createDataFrame(list(enumerate(frames)), f"id int, frames array<struct<{names}>>").coalesce(1)
+    shifts = [k * L.audio_codebook_size for k in range(4)]
+
+    def moved(frame):
+        return tuple(None if x is None else x + s for x, s in zip(frame or (None,) * 4, shifts))
+
+    wanted = [None if f is None else [moved(x) for x in f] for f in frames]
+    got = [r.f for r in df.select("id", shift_layers(F.col("frames"), L).alias("f")).orderBy("id").collect()]
+    assert [None if f is None else [tuple(x) for x in f] for f in got] == wanted
+    texts = [
+        None if f is None else ";".join(",".join(str(x) for x in frame if x is not None) for frame in f) for f in wanted
+    ]
+    for size in (1, 1 << 19):
+        monkeypatch.setattr(codec, "FRAMES_PER_SLICE", size)
+        out = df.select("id", codec.frame_texts(shift_layers(F.col("frames"), L), L).alias("t")).orderBy("id")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "transform(" not in plan
+        assert [r.t for r in out.collect()] == texts
