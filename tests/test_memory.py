@@ -159,6 +159,10 @@ def test_long_arrays_go_to_workers_in_small_batches(spark):
         assert spark.conf.get(name) == str(most)
         wide = spark.range(0, 400, 1, 1).select(F.array_repeat(F.lit(1).cast("bigint"), 16_384).alias("ids"))  # 52 MB
         assert max(r.n[0] for r in wide.select(sizes("ids").alias("n")).collect()) < 2 * most
+        for given in ("64m", "64MB", "67108864b", "1g"):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == str(most)
         spark.conf.set(name, "1000")
         small_batches(spark)
         assert spark.conf.get(name) == "1000"
