@@ -16,6 +16,7 @@ from codecloom.operators import positions, tokens
 from codecloom.operators.codes import add_codes, add_frames, drop_repeated_frames
 from codecloom.operators.positions import sequence_positions
 from codecloom.operators.tokens import FIRST_BYTE_ID, SPELLED_ID, WordTokenizer
+from codecloom.plans.corpus import build_sequences
 from codecloom.session import SETTINGS, small_batches
 from codecloom.sources.files import ROW_GROUP_BYTES, ROW_GROUP_ROWS
 from codecloom.sources.store import write_rows
@@ -168,3 +169,32 @@ def test_long_arrays_go_to_workers_in_small_batches(spark):
         assert spark.conf.get(name) == "1000"
     finally:
         spark.conf.set(name, before)
+
+
+def test_sequences_take_one_worker_step(spark):
+    """A step that evaluates Python keeps its rows in pages of up to 64 MB and has a worker for each task."""
+    vocab = spark.createDataFrame([("a", 300)], "word string, token_id bigint")
+    names = ", ".join(f"{c} array<int>" for c in L.layer_columns)
+    schema = f"utt_id int, text string, language_tag string, {names}"
+    df = spark.createDataFrame([(1, "a b", "EN", *[[1, 1, 2]] * 4), (2, None, None, *[[3]] * 4)], schema)
+    built = build_sequences(df, WordTokenizer(vocab, L).column, L)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    rows = {r.utt_id: r for r in built.collect()}
+    spelled = [x for w in ("en:", "b") for x in [SPELLED_ID, *(FIRST_BYTE_ID + b for b in w.encode())]]
+    assert rows[1].text_tokens == [L.start_of_text, *spelled[:4], 300, *spelled[4:], L.end_of_text]
+    assert rows[1].codes == [L.layer_start(k) + c for c in (1, 2) for k in range(4)]
+    assert rows[2].text_tokens == [L.start_of_text, L.end_of_text]
+
+
+def test_words_cut_in_workers_are_those_of_the_expression(spark, monkeypatch):
+    texts = ["a\tb\r\n c\f d\x0be", "", None, "a", "b", " \t ", " a", "a ", " x  ", "é \U0001f600b", "\0 c", ""] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, p string").coalesce(1)
+    vocab = spark.createDataFrame([("a", 300), ("é", 301)], "word string, token_id bigint")
+    cut = {r.id: r.w or [] for r in df.select("id", tokens.words(F.col("p")).alias("w")).collect()}
+    known = {"a": [300], "é": [301]}
+    for size in (1, 3, 1 << 18):
+        monkeypatch.setattr(tokens, "WORDS_PER_SLICE", size)
+        for r in df.select("id", WordTokenizer(vocab, L).column(F.col("p")).alias("t")).collect():
+            want = [known.get(w) or [SPELLED_ID, *(FIRST_BYTE_ID + b for b in w.encode())] for w in cut[r.id]]
+            assert r.t == [x for ids in want for x in ids]
