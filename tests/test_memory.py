@@ -198,3 +198,12 @@ def test_words_cut_in_workers_are_those_of_the_expression(spark, monkeypatch):
         for r in df.select("id", WordTokenizer(vocab, L).column(F.col("p")).alias("t")).collect():
             want = [known.get(w) or [SPELLED_ID, *(FIRST_BYTE_ID + b for b in w.encode())] for w in cut[r.id]]
             assert r.t == [x for ids in want for x in ids]
+
+
+def test_readers_decode_few_rows_at_a_time(spark, tmp_path):
+    """A reader's vectors hold a row group of values with their levels, many times its size in the file."""
+    wide = spark.range(0, 500, 1, 1).select("id", F.array_repeat(F.lit(1), 2000).alias("ids"))
+    fx.stored(spark, str(tmp_path), "few", lambda: wide)
+    path = fx._TABLES[(spark.sparkContext.applicationId, str(tmp_path), "few")]
+    facts = [pq.ParquetFile(f).metadata for f in pathlib.Path(path).rglob("*.parquet")]
+    assert max(m.row_group(k).num_rows for m in facts for k in range(m.num_row_groups)) <= 64
