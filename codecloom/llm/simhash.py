@@ -107,9 +107,12 @@ def close_pairs(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= F.lit(distance)
     same = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.value") == F.col("t.value"))
+    # Each fingerprint has 66 probes and 2 rows of the table, but the planner sizes what is exploded like the
+    # stored fingerprints: it would broadcast the probes of some hundred thousand. So the join is named.
     return (
         probes.alias("p")
-        .join(table.alias("t"), same & (F.col("a") < F.col("b")) & near)
+        .hint("merge")
+        .join(table.alias("t").hint("merge"), same & (F.col("a") < F.col("b")) & near)
         .select("a", "b")
         .distinct()
     )
